@@ -19,10 +19,16 @@ LAYOUTS = (
 ZONE_SUFFIX = "(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
+def has_clock(text: Column | str) -> Column:
+    return as_col(text).rlike("[0-9]{1,2}:[0-9]{2}")
+
+
 def parse_naive(text: Column | str, layouts: Sequence[str] = LAYOUTS) -> Column:
     """Wall-clock timestamp without zone; NULL where nothing fits."""
-    bare = F.regexp_replace(F.trim(as_col(text)), ZONE_SUFFIX, "")
-    bare = F.regexp_replace(bare, "\\.[0-9]+$", "")
+    bare = F.trim(as_col(text))
+    # Only text with a clock part can carry an offset ("02-01-2024" must keep its year).
+    clock = F.regexp_replace(F.regexp_replace(bare, ZONE_SUFFIX, ""), "\\.[0-9]+$", "")
+    bare = F.when(has_clock(text), clock).otherwise(bare)
     return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in layouts])
 
 
@@ -32,9 +38,8 @@ def zone_offset_seconds(text: Column | str) -> Column:
     digits = F.regexp_replace(suffix, ":", "")
     sign = F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
     span = F.substring(digits, 2, 2).cast("int") * 3600 + F.substring(digits, 4, 2).cast("int") * 60
-    # A bare date ends in -dd-dd-like text only when it has no time part.
-    has_clock = as_col(text).rlike("[0-9]{1,2}:[0-9]{2}")
-    return F.when(~has_clock | (suffix == ""), F.lit(None).cast("int")).when(suffix == "Z", 0).otherwise(sign * span)
+    none = F.lit(None).cast("int")
+    return F.when(~has_clock(text) | (suffix == ""), none).when(suffix == "Z", 0).otherwise(sign * span)
 
 
 def parse_utc(text: Column | str) -> Column:
