@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -189,27 +188,18 @@ def from_archive_file(df: DataFrame, file_name: str) -> DataFrame:
     )
 
 
-LAYOUT_READERS = {
+LAYOUTS = {
     "merged": from_merged_file,
     "context": from_context_file,
     "archive": from_archive_file,
 }
 
 
-def layout_of(file_name: str) -> str:
-    """Which layout a master input file has, by name; unknown names are an error."""
-    if file_name == "final_news_merged.csv":
-        return "merged"
-    if re.fullmatch(r"preprocessed_nifty_context_part\d+\.csv", file_name):
-        return "context"
-    if re.fullmatch(r"Nifty50_news_data\(.*\)\.csv", file_name):
-        return "archive"
-    raise ValueError(f"Unsupported input file: {file_name}")
-
-
-def to_master(df: DataFrame, file_name: str, layout: str | None = None) -> DataFrame:
+def to_master(df: DataFrame, file_name: str, layout: str) -> DataFrame:
     """One input file in master schema; rows without datetime or headline are dropped."""
-    rows = reindex(LAYOUT_READERS[layout or layout_of(file_name)](df, file_name))
+    if layout not in LAYOUTS:
+        raise ValueError(f"Unsupported input layout for {file_name}: {layout}")
+    rows = reindex(LAYOUTS[layout](df, file_name))
     return rows.na.drop(subset=["datetime", "headline"]).filter(F.col("headline").rlike("\\S"))
 
 
