@@ -48,7 +48,8 @@ def log_pos(x: Column) -> Column:
 
 def rounded(x: Column | str, digits: int = 6) -> Column:
     """Round and fold -0.0 into 0.0."""
-    return F.round(as_col(x), digits) + F.lit(0.0)
+    r = F.round(as_col(x), digits)
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def trailing(over: WindowSpec, rows: int) -> WindowSpec:

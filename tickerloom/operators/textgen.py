@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fill_template
-from .dedup import keep_first
 
 OUTPUT = ("id", "text", "label", "label_name", "lang", "source_type", "seed_template_idx")
 
@@ -83,7 +82,12 @@ def generate(seeds: DataFrame, key: str, sets: Sequence[TemplateSet] = DEFAULT_S
     """Unique texts over all sets; optionally the first ``target_per_label`` per set."""
     parts = []
     for spec in sets:
-        unique = keep_first(fill_set(seeds, key, spec), ["text"], ["_key"])
+        # everything but the template index follows from the text: a hash aggregate, not a sort
+        filled = fill_set(seeds, key, spec)
+        fixed = [c for c in OUTPUT if c not in ("text", "seed_template_idx")]
+        unique = filled.groupBy("text", *fixed).agg(
+            F.min_by("seed_template_idx", "_key").alias("seed_template_idx"), F.min("_key").alias("_key")
+        )
         if target_per_label is not None:
             unique = unique.orderBy("_key").limit(target_per_label)
         parts.append(unique)
