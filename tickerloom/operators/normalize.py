@@ -150,7 +150,7 @@ def _ticker(df: DataFrame, name: str) -> Column:
     return upper_trim(F.col(name)) if name in df.columns else F.lit("")
 
 
-def from_merged_file(df: DataFrame, file_name: str) -> DataFrame:
+def from_merged_file(df: DataFrame, file_name: str, carry: Sequence[str] = ()) -> DataFrame:
     """Master rows from the ingest step's merged file."""
     when = parse_utc("datetime")
     return df.select(
@@ -158,11 +158,11 @@ def from_merged_file(df: DataFrame, file_name: str) -> DataFrame:
         *[_text(df, c).alias(c) for c in ("headline", "body", "source", "source_type")],
         blank_to(_text(df, "lang"), "unknown").alias("lang"), _text(df, "url").alias("url"),
         *[F.lit("").alias(c) for c in ("company", "tags", "author")],
-        F.lit(file_name).alias("source_file"),
+        F.lit(file_name).alias("source_file"), *carry,
     )
 
 
-def from_context_file(df: DataFrame, file_name: str) -> DataFrame:
+def from_context_file(df: DataFrame, file_name: str, carry: Sequence[str] = ()) -> DataFrame:
     """Master rows from a preprocessed context file (has its own trade_date)."""
     when = parse_utc("datetime")
     own_day = F.to_date(parse_utc("trade_date")) if "trade_date" in df.columns else F.lit(None).cast("date")
@@ -172,11 +172,11 @@ def from_context_file(df: DataFrame, file_name: str) -> DataFrame:
         *[_text(df, c).alias(c) for c in ("headline", "body", "source", "source_type")],
         blank_to(_text(df, "lang"), "unknown").alias("lang"),
         *[_text(df, c).alias(c) for c in ("url", "company", "tags")],
-        F.lit("").alias("author"), blank_to(_text(df, "source_file"), file_name).alias("source_file"),
+        F.lit("").alias("author"), blank_to(_text(df, "source_file"), file_name).alias("source_file"), *carry,
     )
 
 
-def from_archive_file(df: DataFrame, file_name: str) -> DataFrame:
+def from_archive_file(df: DataFrame, file_name: str, carry: Sequence[str] = ()) -> DataFrame:
     """Master rows from the English archive layout (symbol, datePublished, articleBody, ...)."""
     when = parse_utc("datePublished") if "datePublished" in df.columns else F.lit(None).cast("timestamp_ntz")
     return df.select(
@@ -184,7 +184,7 @@ def from_archive_file(df: DataFrame, file_name: str) -> DataFrame:
         _text(df, "headline").alias("headline"), _text(df, "articleBody").alias("body"),
         F.lit("Moneycontrol").alias("source"), F.lit("archive").alias("source_type"), F.lit("en").alias("lang"),
         *[_text(df, c).alias(c) for c in ("url", "company", "tags", "author")],
-        F.lit(file_name).alias("source_file"),
+        F.lit(file_name).alias("source_file"), *carry,
     )
 
 
@@ -195,11 +195,14 @@ LAYOUTS = {
 }
 
 
-def to_master(df: DataFrame, file_name: str, layout: str) -> DataFrame:
-    """One input file in master schema; rows without datetime or headline are dropped."""
+def to_master(df: DataFrame, file_name: str, layout: str, carry: Sequence[str] = ()) -> DataFrame:
+    """One input file in master schema; rows without datetime or headline are dropped.
+
+    ``carry`` names extra columns to keep, such as the row's position in its file.
+    """
     if layout not in LAYOUTS:
         raise ValueError(f"Unsupported input layout for {file_name}: {layout}")
-    rows = reindex(LAYOUTS[layout](df, file_name))
+    rows = reindex(LAYOUTS[layout](df, file_name, carry), (*MASTER_COLUMNS, *carry))
     return rows.na.drop(subset=["datetime", "headline"]).filter(F.col("headline").rlike("\\S"))
 
 
