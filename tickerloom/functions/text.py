@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import as_col
 
-DEVANAGARI_GAP = "[^\\u0900-\\u097F]"
+DEVANAGARI_GAP = "[^\\u0900-\\u097F]+"
 
 
 def drop_breaks(x: Column | str) -> Column:
@@ -66,12 +66,11 @@ def devanagari_ratio(x: Column | str) -> Column:
     return kept / F.greatest(F.length(x), F.lit(1))
 
 
-def language_label(x: Column | str, threshold: float = 0.85) -> Column:
-    """en / hi / hinglish / unknown from the share of Devanagari characters."""
-    text = F.coalesce(as_col(x), F.lit(""))
-    share = devanagari_ratio(text)
+def language_label(x: Column | str, share: Column | str, threshold: float = 0.85) -> Column:
+    """en / hi / hinglish / unknown from the text and its share of Devanagari characters."""
+    share = as_col(share)
     return (
-        F.when(~text.rlike("\\S"), "unknown")
+        F.when(~F.coalesce(as_col(x), F.lit("")).rlike("\\S"), "unknown")
         .when((share > 0.05) & (share < 0.85), "hinglish")
         .when(share >= threshold, "hi")
         .when(share > 0.05, "hinglish")
@@ -79,6 +78,12 @@ def language_label(x: Column | str, threshold: float = 0.85) -> Column:
     )
 
 
+def detect_language(df: DataFrame, text: str, out: str, threshold: float = 0.85) -> DataFrame:
+    """Language label column; the share is computed once per row."""
+    shared = df.withColumn("_share", devanagari_ratio(F.coalesce(F.col(text), F.lit(""))))
+    return shared.withColumn(out, language_label(text, "_share", threshold)).drop("_share")
+
+
 def fill_template(template: Column | str, slots: dict[str, Column]) -> Column:
     out = as_col(template)
     for name, value in slots.items():

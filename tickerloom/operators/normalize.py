@@ -83,13 +83,19 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def filter_tickers(df: DataFrame, tickers: Sequence[str] | None) -> DataFrame:
-    """Rows of the given tickers; falls back to headline mentions without a ticker column."""
+    """Rows of the given tickers, upper-cased.
+
+    A table without a ticker column is matched by headline mentions instead; an
+    article that mentions several tickers counts for each of them.
+    """
     if not tickers:
         return df
+    wanted = [t.upper() for t in tickers]
     if "ticker" in df.columns:
-        return df.filter(F.upper("ticker").isin([t.upper() for t in tickers]))
+        return df.withColumn("ticker", F.upper("ticker")).filter(F.col("ticker").isin(wanted))
     if "headline" in df.columns:
-        return df.filter(mentions_any("headline", tickers))
+        found = F.array_compact(F.array(*[F.when(mentions_any("headline", [t]), F.lit(t)) for t in wanted]))
+        return df.withColumn("ticker", F.explode(found))
     return df
 
 

@@ -20,16 +20,15 @@ def monte_carlo(df: DataFrame, one_pass: Callable[[Column], Column], passes: int
                 mean: str = "prob", variance: str = "variance") -> DataFrame:
     """Mean and unbiased variance over stochastic passes, inside each row.
 
-    ``one_pass`` maps the pass number to a probability.  The passes live in an
-    array of fixed length, so nothing is exploded or shuffled.
+    ``one_pass`` maps the pass number to a probability.  The passes are the
+    elements of one array expression, so they are generated code and nothing is
+    exploded or shuffled.
     """
-    draws = F.transform(F.sequence(F.lit(1), F.lit(passes)), one_pass)
+    draws = F.array(*[one_pass(F.lit(i)) for i in range(1, passes + 1)])
     add = lambda acc, x: acc + x
     out = df.withColumn("_draws", draws)
     out = out.withColumn(mean, F.aggregate("_draws", F.lit(0.0), add) / F.lit(float(passes)))
-    spread = F.aggregate(
-        F.transform("_draws", lambda x: (x - F.col(mean)) * (x - F.col(mean))), F.lit(0.0), add
-    )
+    spread = F.aggregate("_draws", F.lit(0.0), lambda acc, x: acc + (x - F.col(mean)) * (x - F.col(mean)))
     return out.withColumn(variance, spread / F.lit(float(passes - 1))).drop("_draws")
 
 

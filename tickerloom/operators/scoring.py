@@ -43,13 +43,10 @@ MIXED_LANGUAGE_WORDS = WordLists(
 )
 
 
-def word_list_scores(text: Column | str, words: WordLists) -> dict[str, Column]:
-    """pos = hits/(hits + misses + 1) and so on; text without list words is neutral."""
+def listed_words(text: Column | str, words: WordLists) -> Column:
+    """The text's words that are on either list, in order, duplicates kept."""
     tokens = F.split(F.lower(F.coalesce(as_col(text), F.lit(""))), NOT_LETTERS)
-    good = F.size(F.filter(tokens, lambda w: w.isin(*words.positive)))
-    bad = F.size(F.filter(tokens, lambda w: w.isin(*words.negative)))
-    total = good + bad + F.lit(1)
-    return {"pos": good / total, "neg": bad / total, "neu": F.lit(1.0) / total}
+    return F.filter(tokens, lambda w: w.isin(*words.positive, *words.negative))
 
 
 def score_by_language(df: DataFrame, text: str, lang: str, english: WordLists = MARKET_WORDS,
@@ -57,14 +54,20 @@ def score_by_language(df: DataFrame, text: str, lang: str, english: WordLists =
                       other_langs: Sequence[str] = ("hi", "hinglish")) -> DataFrame:
     """Route every row to its language's scorer in place; no split-and-rejoin.
 
-    Rows of neither class get the neutral vector.
+    pos = hits / (hits + misses + 1), neg alike, neu the rest; text without
+    list words is neutral, and so are rows of neither language class.  The text
+    is tokenised once; the counts run over the few listed words that are left.
     """
-    en, hi = word_list_scores(text, english), word_list_scores(text, other)
     is_en, is_other = F.col(lang) == "en", F.col(lang).isin(*other_langs)
-    neutral = {"pos": 0.0, "neg": 0.0, "neu": 1.0}
-    return df.withColumns({
-        c: F.when(is_en, en[c]).when(is_other, hi[c]).otherwise(F.lit(neutral[c])) for c in SCORES
-    })
+    kept = F.when(is_en, listed_words(text, english)).when(is_other, listed_words(text, other)).otherwise(
+        F.array().cast("array<string>"))
+    positive = F.when(is_en, F.size(F.filter("_kept", lambda w: w.isin(*english.positive)))).otherwise(
+        F.size(F.filter("_kept", lambda w: w.isin(*other.positive))))
+    counted = df.withColumn("_kept", kept).withColumns({"_good": positive, "_all": F.size("_kept")})
+    total = F.col("_all") + F.lit(1)
+    return counted.withColumns({
+        "pos": F.col("_good") / total, "neg": (F.col("_all") - F.col("_good")) / total, "neu": F.lit(1.0) / total,
+    }).drop("_kept", "_good", "_all")
 
 
 def model_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]]):

@@ -150,10 +150,8 @@ def lang_ratio(spark, sf_dir):
         .when(kind == 3, F.when(F.col("doc_id") % 8 == 3, "  ").otherwise(F.col("text")))
         .otherwise(F.col("text"))
     )
-    rows = d.select("doc_id", moved.alias("t"))
-    return rows.select(
-        "doc_id", rounded(X.devanagari_ratio("t")).alias("ratio"), X.language_label("t").alias("label")
-    )
+    rows = d.select("doc_id", moved.alias("t")).withColumn("share", X.devanagari_ratio("t"))
+    return rows.select("doc_id", rounded("share").alias("ratio"), X.language_label("t", "share").alias("label"))
 
 
 def source_weights(spark, sf_dir):

@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import article_key, language_label
+from ..functions.text import article_key, detect_language
 from ..functions.timing import gated_date, split_name
 from ..operators import fusion, price_features as pf, scoring, sentiment, sequences
 from ..operators.bars import daily_bars
@@ -177,5 +177,5 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_language(df: DataFrame) -> DataFrame:
     """Detected language; text of unknown language goes to the English scorer."""
-    found = language_label("news_input")
-    return df.withColumn("language", F.when(found == "unknown", "en").otherwise(found))
+    found = detect_language(df, "news_input", "language")
+    return found.withColumn("language", F.when(F.col("language") == "unknown", "en").otherwise(F.col("language")))

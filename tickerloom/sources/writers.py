@@ -13,7 +13,9 @@ TITLE_NAMES = {"Date": "date", "Open": "open", "High": "high", "Low": "low", "Cl
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV parts, quoted so that embedded quotes and line breaks survive."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
+    ).csv(path)
 
 
 def write_by_ticker(df: DataFrame, path: str, order: str = "trade_date", mode: str = "overwrite") -> None:
