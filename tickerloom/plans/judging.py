@@ -47,7 +47,7 @@ def eval_per_ticker(spark, sf_dir):
 
 def _rolling(days):
     def query(spark, sf_dir):
-        s = E.rolling_accuracy(_judged(spark, sf_dir), days, "row_id", block=1 << 10)
+        s = E.rolling_accuracy(_judged(spark, sf_dir), days, "row_id", block_bits=10)
         # twelve digits: shorter roundings meet exact decimal ties of n / 2^k here
         return s.select("trade_date", "row_id", rounded("accuracy", 12).alias("accuracy"))
 

@@ -10,7 +10,7 @@ import dataclasses
 import datetime as dt
 import posixpath
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,7 @@ class Workspace:
     root: str
     settings: Settings
     force: bool = False
+    rebuilt: set[str] = field(default_factory=set)
 
     def path(self, *parts: str) -> str:
         return posixpath.join(self.root, *parts)
@@ -45,11 +46,13 @@ class Workspace:
         """The stage's table, built when it is missing, stale or from other settings."""
         signature = self.settings.signature(*sections)
         path = self.path("stage", name)
-        forced = self.force or self.settings.cache.force_rerun
+        # a forced stage is rebuilt once per workspace, not on every use
+        forced = (self.force or self.settings.cache.force_rerun) and name not in self.rebuilt
         if not self.manifest.fresh(name, ttl_days, signature, forced):
             build(path)
             self.manifest.mark(name, signature=signature, **extra)
-        return self.spark.read.parquet(path)
+            self.rebuilt.add(name)
+        return readers.read_by_ticker(self.spark, path)
 
     @property
     def tickers(self) -> list[str]:
@@ -123,7 +126,8 @@ def fuse(ws: Workspace) -> DataFrame:
     def build(path: str) -> None:
         table = scores
         if table is None:  # price-only training: every ticker is uncovered and gets the neutral vector
-            table = prices.select("ticker", "trade_date", *[F.lit(0.0).alias(c) for c in fusion.SENTIMENT]).limit(0)
+            empty = prices.select("ticker", "trade_date", *[F.lit(0.0).alias(c) for c in fusion.SENTIMENT])
+            table = empty.filter(F.lit(False))
         joined = fusion.attach_sentiment(prices, table)
         labelled = fusion.forward_label(joined, opts.training.label_horizon_days, opts.training.label_threshold)
         ranked = pf.with_window_length(pf.with_atr_percentile(labelled), opts.features)
@@ -176,7 +180,7 @@ def scored_split(ws: Workspace, split: str) -> DataFrame:
 
 
 def evaluate(ws: Workspace, split: str = "test") -> dict[str, DataFrame]:
-    tables = E.report_tables(scored_split(ws, split), split, ws.settings.evaluation)
+    tables = E.report_tables(scored_split(ws, split), split, ws.settings.evaluation, block_bits=48)
     writers.write_report(tables, ws.path("reports", split))
     return tables
 

@@ -119,9 +119,18 @@ def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> Dat
     return union_by_name(frames)
 
 
+def read_by_ticker(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by ticker; all-digit tickers stay text."""
+    schema = spark.read.parquet(path).schema
+    fixed = T.StructType([
+        T.StructField("ticker", T.StringType()) if f.name == "ticker" else f for f in schema.fields
+    ])
+    return spark.read.schema(fixed).parquet(path)
+
+
 def read_price_table(spark: SparkSession, path: str) -> DataFrame:
     """Bars from one Parquet table partitioned by ticker (the layout for large universes)."""
-    return price_table(spark.read.parquet(path))
+    return price_table(read_by_ticker(spark, path))
 
 
 def price_tickers(spark: SparkSession, folder: str, skip: Sequence[str] = ()) -> list[str]:
@@ -156,7 +165,7 @@ def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
     """Stored daily sentiment; a ``date`` column is accepted as the day."""
-    df = spark.read.parquet(path)
+    df = read_by_ticker(spark, path)
     if "date" in df.columns:
         df = df.withColumnRenamed("date", "trade_date")
     return df.withColumn("trade_date", F.to_date("trade_date"))
