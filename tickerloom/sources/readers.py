@@ -99,26 +99,30 @@ def price_candidates(ticker: str) -> tuple[str, ...]:
 def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> DataFrame:
     """Bars of the tickers from one file per ticker, first existing candidate wins.
 
-    A ticker without a file raises FileNotFoundError.  Files of one format are
-    read together; the ticker comes from the file name.
+    A ticker without a file raises FileNotFoundError.  Files of one format and
+    header are one scan; the ticker comes from the file name.
     """
     have = set(Folder(spark, folder).names())
-    chosen: dict[str, list[str]] = {"parquet": [], "csv": []}
+    groups: dict[tuple[str, ...], list[str]] = {}
     for ticker in tickers:
         name = next((c for c in price_candidates(ticker) if c in have), None)
         if name is None:
             raise FileNotFoundError(f"no price file for {ticker} in {folder}: expected one of {price_candidates(ticker)}")
-        chosen[name.rsplit(".", 1)[1]].append(posixpath.join(folder, name))
-    stem = F.upper(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.(?:parquet|csv)$", 1))
+        path = posixpath.join(folder, name)
+        kind = name.rsplit(".", 1)[1]
+        groups.setdefault((kind, *_open_prices(spark, kind, [path]).columns), []).append(path)
+    stem = F.upper(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)\\.(?:parquet|csv)(?:/[^/]*)?$", 1))
     frames = []
-    for path in chosen["parquet"]:
-        frames.append(price_table(spark.read.parquet(path).withColumn("ticker", stem)))
-    for path in chosen["csv"]:
-        raw = read_csv(spark, path, multi_line=False)
-        frames.append(price_table(raw.select(*[c for c in raw.columns if c.strip().lower() != "ticker"], stem.alias("ticker"))))
+    for (kind, *columns), paths in groups.items():
+        own = [c for c in columns if c.strip().lower() != "ticker"]
+        frames.append(price_table(_open_prices(spark, kind, paths).select(*[F.col(f"`{c}`") for c in own], stem.alias("ticker"))))
     return union_by_name(frames)
 
 
+def _open_prices(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    return spark.read.parquet(*paths) if kind == "parquet" else read_csv(spark, paths, multi_line=False)
+
+
 def read_by_ticker(spark: SparkSession, path: str) -> DataFrame:
     """A table partitioned by ticker; all-digit tickers stay text."""
     schema = spark.read.parquet(path).schema
