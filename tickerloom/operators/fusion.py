@@ -13,27 +13,28 @@ from ..settings import sentiment_columns
 SENTIMENT = sentiment_columns()
 
 
-def attach_sentiment(prices: DataFrame, sentiment: DataFrame, columns: Sequence[str] = SENTIMENT,
-                     covered: DataFrame | None = None) -> DataFrame:
+def attach_sentiment(prices: DataFrame, sentiment: DataFrame, columns: Sequence[str] = SENTIMENT) -> DataFrame:
     """Price rows with the sentiment of their date.
 
-    Sentiment of non-trading days drops out.  Gaps carry the last value over at
-    most five price rows, then 0.  Tickers with no sentiment table at all
-    (``covered``, by default those absent from ``sentiment``) get the constant
-    neutral vector.
+    Gaps carry the last value over at most five price rows, then 0.  Tickers
+    with no sentiment at all get the constant neutral vector.
+
+    The full join keeps sentiment of non-trading days just long enough to see
+    which tickers have any; it is dropped before the rows are counted for the
+    gap limit.  That costs one pass over the sentiment plan instead of two, and
+    every window shares one exchange on the ticker.
     """
-    joined = prices.join(sentiment.select("ticker", "trade_date", *columns), ["ticker", "trade_date"], "left")
-    if covered is None:
-        # the join result knows it: a ticker is covered when any sentiment row exists for it
-        covered = sentiment.select("ticker").distinct()
-    flagged = joined.join(covered.select("ticker", F.lit(True).alias("_covered")), "ticker", "left")
+    right = sentiment.select("ticker", "trade_date", *columns, F.lit(True).alias("_scored"))
+    joined = prices.withColumn("_priced", F.lit(True)).join(right, ["ticker", "trade_date"], "full")
+    covered = F.max(F.coalesce("_scored", F.lit(False))).over(Window.partitionBy("ticker"))
+    rows = joined.withColumn("_covered", covered).filter(F.col("_priced"))
     by = series()
     filled = {}
     for c in columns:
         carried = F.coalesce(fill_forward(c, 5, by), F.lit(0.0))
         neutral = F.lit(1.0 if c.startswith("neu") else 0.0)
         filled[c] = F.when(F.col("_covered"), carried).otherwise(neutral)
-    return flagged.withColumns(filled).drop("_covered")
+    return rows.withColumns(filled).drop("_covered", "_scored", "_priced")
 
 
 def forward_label(df: DataFrame, horizon: int = 3, threshold: float = 0.008) -> DataFrame:

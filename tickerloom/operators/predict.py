@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
-from .sequences import latest_samples
 
 PREDICTION_COLUMNS = (
     "ticker", "date", "direction", "actual_direction", "prediction_result", "prob_up",
@@ -45,11 +44,21 @@ def decide(df: DataFrame, confidence_threshold: float = 0.65) -> DataFrame:
 
 
 def latest_predictions(scored_samples: DataFrame, confidence_threshold: float = 0.65) -> DataFrame:
-    """One row per ticker: the newest labelled sample judged against its label."""
-    counts = scored_samples.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_samples"))
-    newest = decide(latest_samples(scored_samples), confidence_threshold)
+    """One row per ticker: the newest labelled sample judged against its label.
+
+    A single aggregate with a map-side part; the samples are read once.
+    """
+    newest = scored_samples.groupBy("ticker").agg(
+        *[F.max_by(c, "trade_date").alias(c) for c in ("label", "prob", "variance")],
+        F.count(F.lit(1)).alias("n_samples"), F.max("trade_date").alias("trade_date"),
+    )
+    return judge_latest(newest, confidence_threshold)
+
+
+def judge_latest(newest: DataFrame, confidence_threshold: float = 0.65) -> DataFrame:
+    """The prediction table from one scored row per ticker with its sample count."""
     actual = F.when(F.col("label") == 1, "UP").otherwise("DOWN")
-    out = newest.join(counts, "ticker").withColumn("actual_direction", actual).withColumn(
+    out = decide(newest, confidence_threshold).withColumn("actual_direction", actual).withColumn(
         "prediction_result", D.outcome("direction", "actual_direction")
     )
     return out.withColumn("date", F.date_format("trade_date", "yyyy-MM-dd")).select(*PREDICTION_COLUMNS)

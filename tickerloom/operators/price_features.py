@@ -7,7 +7,7 @@ the two window levels share a single exchange and a single sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import (
@@ -88,22 +88,14 @@ def with_window_length(features: DataFrame, opts: FeatureSettings = FeatureSetti
 
 
 def from_date(bars: DataFrame, features_of, start, lookback_rows: int) -> DataFrame:
-    """Features from ``start`` on without reading each ticker's whole history.
+    """Features from ``start`` on without reading the whole history.
 
-    The bound is in rows, so the earliest bar needed is found per ticker first
-    (a top-k that is limited before its shuffle), then pushed below the windows.
-    Not valid for full-history percentiles.
+    The look-back is counted in rows, so the earliest bar any ticker needs is
+    found first (a top-k limited before its shuffle); as a scalar it becomes an
+    ordinary date filter on the scan.  Not valid for full-history percentiles.
     """
-    from pyspark.sql import Window
-
     newest_first = Window.partitionBy("ticker").orderBy(F.col("trade_date").desc())
     before = bars.filter(F.col("trade_date") < F.lit(start)).select("ticker", "trade_date")
-    margin = (
-        before.withColumn("_n", F.row_number().over(newest_first))
-        .filter(F.col("_n") <= lookback_rows)
-        .groupBy("ticker").agg(F.min("trade_date").alias("_from"))
-    )
-    needed = bars.join(margin, "ticker", "left").filter(
-        F.col("trade_date") >= F.coalesce("_from", F.lit(start).cast("date"))
-    ).drop("_from")
-    return features_of(needed).filter(F.col("trade_date") >= F.lit(start))
+    needed = before.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= lookback_rows)
+    earliest = needed.agg(F.coalesce(F.min("trade_date"), F.lit(start).cast("date"))).scalar()
+    return features_of(bars.filter(F.col("trade_date") >= earliest)).filter(F.col("trade_date") >= F.lit(start))

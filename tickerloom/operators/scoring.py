@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +89,29 @@ def model_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]]):
 
 
 def missing_scores(articles: DataFrame, scored: DataFrame) -> DataFrame:
-    """Articles that have no cached score yet (keyed by content, not by position)."""
-    return articles.join(scored.select("row_hash").distinct(), "row_hash", "left_anti")
+    """Articles that have no stored score yet (keyed by content, not by position)."""
+    return articles.join(scored.select("row_hash"), "row_hash", "left_anti")
+
+
+def score_with_store(articles: DataFrame, score: Column, path: str) -> DataFrame:
+    """Articles with scores, computing only what the store at ``path`` lacks.
+
+    ``score`` is a struct<pos, neg, neu> column.  One score per row_hash is
+    appended to the store; a rerun after a failure continues from there.
+    Articles without a score get the neutral vector.
+    """
+    spark = articles.sparkSession
+    schema = "row_hash string, pos double, neg double, neu double"
+    todo = articles.dropDuplicates(["row_hash"])
+    try:
+        todo = missing_scores(todo, spark.read.schema(schema).parquet(path))
+    except AnalysisException:  # no store yet
+        pass
+    fresh = todo.select("row_hash", score.alias("_s")).select("row_hash", "_s.*")
+    fresh.na.drop(subset=list(SCORES)).write.mode("append").parquet(path)
+    stored = spark.read.schema(schema).parquet(path).dropDuplicates(["row_hash"])  # two runs may overlap
+    neutral = {"pos": F.coalesce("pos", F.lit(0.0)), "neg": F.coalesce("neg", F.lit(0.0)), "neu": F.coalesce("neu", F.lit(1.0))}
+    return articles.join(stored, "row_hash", "left").withColumns(neutral)
 
 
 def reorder_scores(values: Column | str, labels: Sequence[str]) -> dict[str, Column]:

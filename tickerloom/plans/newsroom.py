@@ -8,7 +8,8 @@ from ..functions import text as X
 from ..functions.matching import source_weight
 from ..functions.numeric import rounded
 from ..functions.timing import parse_market, gated_date, seconds_of_day
-from ..operators import dedup, normalize as N, splits, textgen
+from ..operators import dedup, normalize as N, scoring, splits, textgen
+from ..session import shared_folder
 from ..settings import TAG_PATTERNS
 from . import views as V
 from .sql import r6, r6_all, weight_case, with_views, words
@@ -19,6 +20,7 @@ PHRASES = (
     "state bank of india cuts rates", "Tata Motors exports rise, TCS flat", "Kotak\nsecurities on bharti airtel",
     "adani ports and axis bank", "reliance retail opens stores",
 )
+MENTIONED = ("INFOSYS", "ICICI", "axis", "kotak", "tcs", "hdfc")
 SOURCES = ("context", "legacy", "second")
 VOWELS = ("aeiou", "अएइओउ")
 LETTERS = ("abcdefghijklmnopqrstuvwxyz ", "".join(chr(0x0915 + i) for i in range(27)))
@@ -188,6 +190,31 @@ def label_counts(spark, sf_dir):
     return textgen.label_counts(_labelled_texts(spark, sf_dir))
 
 
+def headline_mentions(spark, sf_dir):
+    """Articles without a ticker column, matched to tickers named in the headline."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", _phrase().alias("headline"))
+    return N.filter_tickers(d, MENTIONED).select("doc_id", "ticker")
+
+
+def score_store(spark, sf_dir):
+    """Scores kept in a content-keyed store that is filled in two runs."""
+    path = shared_folder(spark, "scores")
+    d = V.documents_scored(spark, sf_dir)
+    rows = d.select("doc_id", "lang", "row_hash", *[F.col(c).alias(f"{c}_in") for c in ("pos", "neg", "neu")])
+    score = F.struct(*[F.col(f"{c}_in").alias(c) for c in ("pos", "neg", "neu")])
+    scoring.score_with_store(rows.filter("lang = 'en'"), score, path)
+    out = scoring.score_with_store(rows, score, path)
+    return out.select("doc_id", *[rounded(c).alias(c) for c in ("pos", "neg", "neu")])
+
+
+def reordered_scores(spark, sf_dir):
+    """A model's probability array mapped to score columns by label name."""
+    d = V.documents_scored(spark, sf_dir)
+    probs = d.select("doc_id", F.array("neg", "neu", "pos").alias("p"))
+    mapped = scoring.reorder_scores("p", ("Negative", "NEUTRAL", "positive"))
+    return probs.select("doc_id", *[rounded(mapped[c]).alias(c) for c in ("pos", "neg", "neu")])
+
+
 TEMPLATES = textgen.DEFAULT_SETS[0]
 
 
@@ -215,6 +242,7 @@ QUERIES = {
     f.__name__: f for f in (
         news_gate, news_zones, news_dedup_hash, news_merge_dedup, ingest_tagged, headline_tagging, tag_coverage,
         clean_text_slice, lang_ratio, source_weights, article_scores, distill_sample, label_counts, template_generate,
+        headline_mentions, score_store, reordered_scores,
     )
 }
 
@@ -301,4 +329,12 @@ ORACLES = {
         FROM ({_LABELLED}) ORDER BY md5(doc_id || '-42'), doc_id LIMIT 200""",
     "label_counts": f"SELECT label_name, count(*) AS n FROM ({_LABELLED}) GROUP BY 1",
     "template_generate": _template_sql(),
+    "headline_mentions": f"""
+        SELECT doc_id, ticker FROM (SELECT doc_id, {_PHRASE_SQL} AS headline FROM documents),
+               (SELECT unnest([{words(t.upper() for t in MENTIONED)}]) AS ticker)
+        WHERE contains(upper(headline), ticker)""",
+    "score_store": with_views(
+        "docs_scored", f"SELECT doc_id, {r6_all(('pos', 'neg', 'neu'))} FROM docs_scored"),
+    "reordered_scores": with_views(
+        "docs_scored", f"SELECT doc_id, {r6_all(('pos', 'neg', 'neu'))} FROM docs_scored"),
 }

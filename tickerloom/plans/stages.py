@@ -88,8 +88,12 @@ def clean(ws: Workspace, path: str, out: str, clean_first: bool = True) -> None:
     writers.write_csv(N.clean_scraped(readers.read_csv(ws.spark, path, strict=True), clean_first), out)
 
 
-def sentiment(ws: Workspace) -> DataFrame:
-    """Rolling daily sentiment of all tickers from the news folder."""
+def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
+    """Rolling daily sentiment of all tickers from the news folder.
+
+    ``english`` and ``other`` are optional model scorers (see ``model_scorer``);
+    their scores are stored per article text and never computed twice.
+    """
     opts = ws.settings
 
     def build(path: str) -> None:
@@ -98,7 +102,12 @@ def sentiment(ws: Workspace) -> DataFrame:
             raise FileNotFoundError(f"no news files in {ws.path('raw', 'news')}")
         news = prepare_news(raw, ws.tickers, [readers.FILE_ORDER, readers.ROW_ORDER])
         labelled = detect_language(news, "headline", "detected_lang", opts.nlp.lang_confidence_threshold)
-        scored = scoring.score_by_language(labelled, "headline", "detected_lang")
+        if english is None:
+            scored = scoring.score_by_language(labelled, "headline", "detected_lang")
+        else:
+            chosen = F.when(F.col("detected_lang") == "en", english("headline")).when(
+                F.col("detected_lang").isin("hi", "hinglish"), (other or english)("headline"))
+            scored = scoring.score_with_store(labelled, chosen, ws.path("scores"))
         daily = S.daily_sentiment(
             scored, opts.nlp.hindi_min_articles, lang="detected_lang", weights=opts.source_weights)
         writers.write_by_ticker(S.rolling_sentiment(daily, opts.nlp.sentiment_windows), path)
@@ -190,10 +199,9 @@ def predict(ws: Workspace) -> DataFrame:
     model, _ = _load_model(ws)
     all_rows = sequences.flat_features(fuse(ws))
     counts = all_rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_samples"))
-    newest = sequences.latest_samples(all_rows.select("ticker", "trade_date", "label", "features"))
+    newest = sequences.latest_samples(all_rows.select("ticker", "trade_date", "label", "features")).join(counts, "ticker")
     scored = M.mc_scores(newest, model, ws.settings.model, ws.settings.seed)
-    out = P.latest_predictions(scored.drop("features"), ws.settings.model.confidence_threshold)
-    out = out.drop("n_samples").join(counts, "ticker").select(*P.PREDICTION_COLUMNS).orderBy("date", "ticker")
+    out = P.judge_latest(scored, ws.settings.model.confidence_threshold).orderBy("date", "ticker")
     writers.write_csv(out, ws.path("predictions"))
     return out
 
