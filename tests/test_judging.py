@@ -154,7 +154,7 @@ def test_weights_stay_within_bounds(spark):
 
 def test_monte_carlo_is_mean_and_unbiased_variance(spark):
     df = spark.createDataFrame([(1.0,), (2.0,)], "x double")
-    out = P.monte_carlo(df, lambda i: F.col("x") / (i + 1.0), 5).collect()
+    out = P.monte_carlo(df, ["x"], lambda i: F.col("x") / (i + 1.0), 5).collect()
     for r in out:
         draws = r.x / (np.arange(1, 6) + 1.0)
         assert r.prob == pytest.approx(draws.mean()) and r.variance == pytest.approx(draws.var(ddof=1))

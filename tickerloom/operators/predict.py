@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,20 +15,19 @@ PREDICTION_COLUMNS = (
 )
 
 
-def monte_carlo(df: DataFrame, one_pass: Callable[[Column], Column], passes: int,
+def monte_carlo(df: DataFrame, keys: Sequence[str], one_pass: Callable[[Column], Column], passes: int,
                 mean: str = "prob", variance: str = "variance") -> DataFrame:
-    """Mean and unbiased variance over stochastic passes, inside each row.
+    """Mean and unbiased variance over stochastic passes per key.
 
-    ``one_pass`` maps the pass number to a probability.  The passes are the
-    elements of one array expression, so they are generated code and nothing is
-    exploded or shuffled.
+    ``one_pass`` maps the pass number to a probability.  The passes of a row
+    are generated next to each other and the map-side aggregate folds them at
+    once, so one row per key is shuffled.  Array functions would save that
+    shuffle but run outside generated code, which costs several times more.
     """
-    draws = F.array(*[one_pass(F.lit(i)) for i in range(1, passes + 1)])
-    add = lambda acc, x: acc + x
-    out = df.withColumn("_draws", draws)
-    out = out.withColumn(mean, F.aggregate("_draws", F.lit(0.0), add) / F.lit(float(passes)))
-    spread = F.aggregate("_draws", F.lit(0.0), lambda acc, x: acc + (x - F.col(mean)) * (x - F.col(mean)))
-    return out.withColumn(variance, spread / F.lit(float(passes - 1))).drop("_draws")
+    draws = df.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
+    return draws.select(*keys, one_pass(F.col("_pass")).alias("_p")).groupBy(*keys).agg(
+        F.avg("_p").alias(mean), F.var_samp("_p").alias(variance)
+    )
 
 
 def decide(df: DataFrame, confidence_threshold: float = 0.65) -> DataFrame:

@@ -57,7 +57,7 @@ def mc_mean_var(spark, sf_dir):
         noise = (F.col("row_id") * 31 + i * 7919) % 10007 / 10007.0 - 0.5
         return D.sigmoid((F.col("prob") - 0.5) * 4 + noise * 8)
 
-    out = P.monte_carlo(rows.select("row_id", F.col("prob")), one_pass, PASSES, "mc_prob", "mc_var")
+    out = P.monte_carlo(rows.select("row_id", "prob"), ["row_id"], one_pass, PASSES, "mc_prob", "mc_var")
     return out.select(
         "row_id", *_r("mc_prob", "mc_var"),
         D.direction_or_abstain("mc_prob", D.fixed_abstain("mc_var", 0.93)).alias("direction"),

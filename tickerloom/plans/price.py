@@ -15,15 +15,21 @@ from .sql import r6, r6_all, with_views
 SINCE = dt.date(2000, 1, 1)
 
 
+# The plain range mean is a short decimal; eight digits keep it off rounding ties.
+DIGITS = {"atr": 8}
+
+
 def _feature_query(*names: str):
     def query(spark, sf_dir):
-        return V.features(spark, sf_dir).select("ticker", "trade_date", *[rounded(n).alias(n) for n in names])
+        cells = [rounded(n, DIGITS.get(n, 6)).alias(n) for n in names]
+        return V.features(spark, sf_dir).select("ticker", "trade_date", *cells)
 
     return query
 
 
 def _feature_sql(*names: str) -> str:
-    return with_views("features", f"SELECT ticker, trade_date, {r6_all(names)} FROM features")
+    cells = ", ".join(f"{r6(n, DIGITS.get(n, 6))} AS {n}" for n in names)
+    return with_views("features", f"SELECT ticker, trade_date, {cells} FROM features")
 
 
 def bars_daily(spark, sf_dir):
