@@ -38,6 +38,21 @@ def test_time_zones(spark, text, market, utc):
     assert tuple(str(v) if v else None for v in got) == (market, utc)
 
 
+def test_parsing_does_not_depend_on_the_session_zone(spark):
+    skipped = "2024-03-10 02:30:00"  # does not exist in New York
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert str(one(spark, skipped, T.parse_naive)[0]) == skipped
+        assert str(one(spark, skipped + "Z", T.parse_market)[0]) == "2024-03-10 08:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_strip_removes_what_python_removes(spark):
+    text = "\u00a0\u2003\x1f a \u3000b\u200b \t\u2028"
+    assert one(spark, text, X.strip) == (text.strip(),)
+
+
 def test_wall_date_ignores_the_zone(spark):
     assert one(spark, "2024-03-01 00:00:00+05:30", T.wall_date) == (dt.date(2024, 3, 1),)
 

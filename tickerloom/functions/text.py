@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from .numeric import as_col
 
+# Everything Python's str.strip() removes.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 DEVANAGARI_GAP = "[^\\u0900-\\u097F]+"
 
 
+def strip(x: Column | str) -> Column:
+    """Outer white space removed; a scan from both ends, no regular expression over the text."""
+    return F.btrim(as_col(x), F.lit(WHITESPACE))
+
+
 def drop_breaks(x: Column | str) -> Column:
     """Newline -> space, carriage return removed."""
     return F.replace(F.replace(as_col(x), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
@@ -22,8 +31,8 @@ def newline_to_space(x: Column | str) -> Column:
 
 def tidy(x: Column | str) -> Column:
     """NULL -> empty, both line-break characters -> space, outer blanks stripped."""
-    flat = F.translate(F.coalesce(as_col(x), F.lit("")), "\n\r", "  ")
-    return F.regexp_replace(flat, "^\\s+|\\s+$", "")
+    text = F.coalesce(as_col(x), F.lit(""))
+    return strip(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
 
 
 def cut_then_clean(x: Column | str, limit: int = 500) -> Column:
@@ -36,7 +45,7 @@ def clean_then_cut(x: Column | str, limit: int = 500) -> Column:
 
 
 def upper_trim(x: Column | str) -> Column:
-    return F.regexp_replace(F.upper(F.coalesce(as_col(x), F.lit(""))), "^\\s+|\\s+$", "")
+    return strip(F.upper(F.coalesce(as_col(x), F.lit(""))))
 
 
 def blank_to(x: Column, default: str) -> Column:
@@ -70,7 +79,7 @@ def language_label(x: Column | str, share: Column | str, threshold: float = 0.85
     """en / hi / hinglish / unknown from the text and its share of Devanagari characters."""
     share = as_col(share)
     return (
-        F.when(~F.coalesce(as_col(x), F.lit("")).rlike("\\S"), "unknown")
+        F.when(strip(F.coalesce(as_col(x), F.lit(""))) == "", "unknown")
         .when((share > 0.05) & (share < 0.85), "hinglish")
         .when(share >= threshold, "hi")
         .when(share > 0.05, "hinglish")

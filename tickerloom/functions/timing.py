@@ -29,7 +29,11 @@ def parse_naive(text: Column | str, layouts: Sequence[str] = LAYOUTS) -> Column:
     # Only text with a clock part can carry an offset ("02-01-2024" must keep its year).
     clock = F.regexp_replace(F.regexp_replace(bare, ZONE_SUFFIX, ""), "\\.[0-9]+$", "")
     bare = F.when(has_clock(text), clock).otherwise(bare)
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz") for f in layouts])
+    # Read as UTC instants and counted from the zone-less epoch: the session's own
+    # zone, with its skipped and repeated hours, plays no part.
+    utc = F.concat(bare, F.lit(" +0000"))
+    instant = F.coalesce(*[F.try_to_timestamp(utc, F.lit(f + " Z")) for f in layouts])
+    return F.timestamp_add("SECOND", F.unix_seconds(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def zone_offset_seconds(text: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import last_pattern_tag, mentions_any
 from ..functions.numeric import as_col
-from ..functions.text import blank_to, clean_then_cut, cut_then_clean, drop_breaks, newline_to_space, tidy, upper_trim
+from ..functions.text import blank_to, clean_then_cut, cut_then_clean, drop_breaks, newline_to_space, strip, tidy, upper_trim
 from ..functions.timing import parse_naive, parse_utc, wall_date
 
 # --- fixed values: column names and mappings of the file layouts ---
@@ -209,7 +209,7 @@ def to_master(df: DataFrame, file_name: str, layout: str, carry: Sequence[str] =
     if layout not in LAYOUTS:
         raise ValueError(f"Unsupported input layout for {file_name}: {layout}")
     rows = reindex(LAYOUTS[layout](df, file_name, carry), (*MASTER_COLUMNS, *carry))
-    return rows.na.drop(subset=["datetime", "headline"]).filter(F.col("headline").rlike("\\S"))
+    return rows.na.drop(subset=["datetime", "headline"]).filter(strip("headline") != "")
 
 
 def price_table(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import evaluation as E
+from ..session import shared_folder
+from ..sources import writers
 from . import views as V
 from .sql import r6, r6_all, with_views
 
@@ -45,6 +47,15 @@ def eval_per_ticker(spark, sf_dir):
         "ticker", "n_active", *_r("accuracy", "macro_f1", "abstention_rate"))
 
 
+def report_json(spark, sf_dir):
+    """The per-ticker section after the whole report went through its JSON sink."""
+    path = shared_folder(spark, "report")
+    writers.write_report(E.report_tables(V.eval_rows(spark, sf_dir), "test"), path)
+    schema = "ticker string, n_active long, accuracy double, macro_f1 double, abstention_rate double"
+    return spark.read.schema(schema).json(f"{path}/per_ticker").select(
+        "ticker", "n_active", *_r("accuracy", "macro_f1", "abstention_rate"))
+
+
 def _rolling(days):
     def query(spark, sf_dir):
         s = E.rolling_accuracy(_judged(spark, sf_dir), days, "row_id", block_bits=10)
@@ -96,7 +107,7 @@ QUERIES = {
     "abstain_threshold": abstain_threshold, "eval_overall": eval_overall, "eval_tiers": eval_tiers,
     "eval_per_ticker": eval_per_ticker, "eval_rolling30": _rolling(30), "eval_rolling5": _rolling(5),
     "eval_rolling_summary": eval_rolling_summary, "ece": ece, "reliability": reliability, "confusion": confusion,
-    "epoch_means": epoch_means, "best_epoch": best_epoch, "lowest_loss_epoch": lowest_loss_epoch,
+    "report_json": report_json, "epoch_means": epoch_means, "best_epoch": best_epoch, "lowest_loss_epoch": lowest_loss_epoch,
 }
 
 _COUNTS = """
@@ -153,6 +164,9 @@ ORACLES = {
     "eval_per_ticker": with_views("judged", f"""
         SELECT ticker, n_active, {r6_all(('accuracy', 'macro_f1', 'abstention_rate'))}
         FROM ({_metrics('ticker')}) WHERE n_active > 0"""),
+    "report_json": with_views("judged", f"""
+        SELECT ticker, n_active, {r6_all(('accuracy', 'macro_f1', 'abstention_rate'))}
+        FROM ({_metrics('ticker')}) WHERE n_active > 0"""),
     "eval_rolling30": with_views("judged", f"""
         SELECT trade_date, row_id, {r6('accuracy', 12)} AS accuracy FROM ({_rolling_sql(30)})"""),
     "eval_rolling5": with_views("judged", f"""

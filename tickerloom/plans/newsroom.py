@@ -142,6 +142,16 @@ def clean_text_slice(spark, sf_dir):
     )
 
 
+def summary_fallback(spark, sf_dir):
+    """Long bodies go through a summariser that fails on some; those and short ones are cut."""
+    d = V.table(spark, sf_dir, "documents")
+
+    def first_words(body):
+        return F.when(F.col("doc_id") % 3 != 0, F.concat_ws(" ", F.slice(F.split(body, " "), 1, 10)))
+
+    return d.select("doc_id", scoring.summarise_long("text", first_words).alias("body"))
+
+
 def lang_ratio(spark, sf_dir):
     """Script share and language label; two thirds of the texts are transliterated first."""
     d = V.table(spark, sf_dir, "documents")
@@ -242,7 +252,7 @@ QUERIES = {
     f.__name__: f for f in (
         news_gate, news_zones, news_dedup_hash, news_merge_dedup, ingest_tagged, headline_tagging, tag_coverage,
         clean_text_slice, lang_ratio, source_weights, article_scores, distill_sample, label_counts, template_generate,
-        headline_mentions, score_store, reordered_scores,
+        summary_fallback, headline_mentions, score_store, reordered_scores,
     )
 }
 
@@ -309,6 +319,11 @@ ORACLES = {
                replace(replace(substr(t, 1, 500), chr(10), ' '), chr(13), '') AS cut_first,
                substr(replace(replace(t, chr(10), ' '), chr(13), ''), 1, 500) AS clean_first
         FROM (SELECT doc_id, {_NOISY} AS t FROM documents)""",
+    "summary_fallback": """
+        SELECT doc_id, CASE WHEN length(t) > 150 AND doc_id % 3 <> 0
+                            THEN array_to_string(list_slice(string_split(substr(t, 1, 4000), ' '), 1, 10), ' ')
+                            ELSE substr(t, 1, 500) END AS body
+        FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), '') AS t FROM documents)""",
     "lang_ratio": f"""
         SELECT doc_id, {r6('r')} AS ratio,
                CASE WHEN trim(t) = '' THEN 'unknown' WHEN r > 0.05 AND r < 0.85 THEN 'hinglish' WHEN r >= 0.85 THEN 'hi'

@@ -83,7 +83,8 @@ def read_news(spark: SparkSession, folder: str, master: str = MASTER_NEWS, multi
     frames = []
     for i, name in enumerate(news_files(spark, folder, master)):
         try:
-            raw = read_csv(spark, posixpath.join(folder, name), multi_line)
+            # the master's texts carry no line breaks, so its parts can be split
+            raw = read_csv(spark, posixpath.join(folder, name), multi_line and name != master)
         except Exception as exc:  # an unreadable file is reported and left out
             print(f"[skip] {name}: {exc}")
             continue
