@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom import __main__ as cli
+from tickerloom.functions.timing import gated_date
 from tickerloom.operators import normalize as N
 from tickerloom.operators.sentiment import blend_classes, daily_sentiment
 from tickerloom.plans import stages
@@ -219,7 +220,7 @@ def test_stream_over_two_batches_equals_batch(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
-        S.upsert_by_batch(S.daily_class_sums(stream), ["ticker", "trade_date"], f"{work}/rows", f"{work}/state").awaitTermination()
+        S.upsert_by_batch(S.daily_class_sums(stream), f"{work}/rows", f"{work}/state").awaitTermination()
 
     run()
     rows(2, 9).coalesce(1).write.mode("append").parquet(str(src))
@@ -227,9 +228,24 @@ def test_stream_over_two_batches_equals_batch(spark, tmp_path):
     run()
     got = blend_classes(S.latest_state(spark.read.parquet(f"{work}/rows"), ["ticker", "trade_date"]))
     batch = spark.read.parquet(str(src))
-    want = daily_sentiment(S.gated_stream(batch))
+    want = daily_sentiment(batch.withColumn("trade_date", gated_date("pub_dt")))
     key = lambda r: (r.ticker, r.trade_date)
     a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
     assert [key(r) for r in a] == [key(r) for r in b]
     for x, y in zip(a, b):
         assert (x.pos, x.neg, x.neu, x.hi_count) == pytest.approx((y.pos, y.neg, y.neu, y.hi_count))
+
+
+def test_finished_days_leave_the_state(spark, tmp_path):
+    src, work = tmp_path / "in", str(tmp_path / "w")
+    schema = "ticker string, lang string, source string, pos double, neg double, neu double, pub_dt timestamp"
+    sizes = []
+    for i, day in enumerate((1, 10, 20, 28)):
+        rows = [(t, "en", "reuters", 0.5, 0.2, 0.3, dt.datetime(2024, 1, day, 10)) for t in "ABCDE"]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).parquet(str(src))
+        query = S.upsert_by_batch(S.daily_class_sums(stream), f"{work}/rows", f"{work}/state")
+        query.awaitTermination()
+        sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert max(sizes) <= 10 and sizes[-1] <= 5  # never all twenty (ticker, day) keys
+    assert spark.read.parquet(f"{work}/rows").count() == 20

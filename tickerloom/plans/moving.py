@@ -47,15 +47,17 @@ def stream_daily_sentiment(spark, sf_dir):
     scored = V.documents_scored(spark, sf_dir)
     n_docs = V.table(spark, sf_dir, "documents").count()  # fixed for the life of the stream
     schema = V.table(spark, sf_dir, "orders").schema
-    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
-    secs = (F.col("o_orderkey") * 7919 % 86400).cast("int")
+    # a glob serves both layouts of the table, one file or a folder of parts
+    orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/[o]rders.parquet")
+    epoch_day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
+    seconds = epoch_day.cast("long") * 86400 + F.col("o_orderkey") * 7919 % 86400
     articles = orders.select(
         F.col("o_orderstatus").alias("ticker"), (F.col("o_orderkey") % n_docs).alias("doc_id"),
-        F.timestamp_add("SECOND", secs, F.col("o_orderdate")).cast("timestamp").alias("pub_dt"),
+        F.timestamp_seconds(seconds).alias("pub_dt"),
     ).join(scored, "doc_id")
     sums = S.daily_class_sums(articles, other_langs=V.OTHER_LANGS, weights=V.TRUST)
     work = shared_folder(spark, "stream")
-    query = S.upsert_by_batch(sums, ["ticker", "trade_date"], f"{work}/rows", f"{work}/state")
+    query = S.upsert_by_batch(sums, f"{work}/rows", f"{work}/state")
     query.awaitTermination()
     state = S.latest_state(spark.read.parquet(f"{work}/rows"), ["ticker", "trade_date"])
     out = blend_classes(state)

@@ -1,7 +1,7 @@
 """Incremental daily sentiment and bars.
 
-Only day-level aggregates stream natively: the gate assigns every article to a
-trading date, and the date is the aggregation window.  Row-count windows over
+Only day-level aggregates stream natively: on a clock moved by the time after
+the close, a trading date is a calendar day and thus an aggregation window.  Row-count windows over
 days are recomputed from the day-level tables, which are small.
 """
 
@@ -9,36 +9,46 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timing import gated_date
 from ..operators.sentiment import class_means
+from ..settings import MARKET_CLOSE_SECONDS
 
 
-def gated_stream(articles: DataFrame, published: str = "pub_dt", lateness: str = "2 days") -> DataFrame:
-    """Stream with an event-time column, a trading date and a watermark.
+GATE_TIME = "_gate_time"
 
-    ``published`` must be a TIMESTAMP; watermarks reject zone-less timestamps.
+
+def with_gate_time(articles: DataFrame, published: str = "pub_dt", zone: str = "UTC") -> DataFrame:
+    """Adds the market clock moved so that midnight falls on the close.
+
+    ``published`` is a TIMESTAMP (watermarks reject zone-less ones); ``zone`` is
+    the market's zone.  A calendar day of the moved clock is one trading date.
     """
-    return articles.withWatermark(published, lateness).withColumn("trade_date", gated_date(published))
+    local = F.from_utc_timestamp(F.col(published), zone)
+    return articles.withColumn(GATE_TIME, F.timestamp_add("SECOND", F.lit(86_400 - MARKET_CLOSE_SECONDS), local))
+
+
+def gate_day(time: str | Column) -> Column:
+    """Day of a gate time, counted from the epoch so that the session's zone plays no part."""
+    days = F.floor(F.unix_seconds(F.col(time) if isinstance(time, str) else time) / 86_400).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
 
 
-def daily_class_sums(articles: DataFrame, published: str = "pub_dt", lateness: str = "2 days", **options) -> DataFrame:
+def daily_class_sums(articles: DataFrame, published: str = "pub_dt", zone: str = "UTC", lateness: str = "2 days",
+                     **options) -> DataFrame:
     """Streaming per (ticker, trading date) sums; feed them to ``blend_classes``.
 
-    Grouping by a one-day window over the gated day start lets the watermark
-    retire finished days from the state.
+    The watermark is set on the very column the one-day window groups by, so
+    finished days leave the state.
     """
-    gated = gated_stream(articles, published, lateness)
-    # moving the clock by the time left after the close puts the gate at midnight
-    shifted = F.timestamp_add("SECOND", F.lit(86_400 - 55_800), F.col(published))
-    day = F.window(shifted, "1 day").alias("day")
-    return class_means(gated, day=day, **options).withColumn("trade_date", F.to_date("day.start")).drop("day")
+    timed = with_gate_time(articles, published, zone).withWatermark(GATE_TIME, lateness)
+    sums = class_means(timed, day=F.window(GATE_TIME, "1 day").alias("day"), **options)
+    return sums.withColumn("trade_date", gate_day(F.col("day.start"))).drop("day")
 
 
-def upsert_by_batch(stream: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+def upsert_by_batch(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run an updating aggregate over the available data; each batch appends its changed rows."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
