@@ -154,7 +154,7 @@ def split_samples(ws: Workspace, bounds=None) -> DataFrame:
 MODEL = "models"
 
 
-def _save_model(ws: Workspace, model: M.DirectionModel, fisher: np.ndarray, note: str) -> str:
+def _save_model(ws: Workspace, model: M.DirectionModel, fisher: np.ndarray) -> str:
     """A new model version; earlier versions stay as the archive."""
     version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     path = ws.path(MODEL, f"version={version}")
@@ -173,11 +173,11 @@ def _load_model(ws: Workspace) -> tuple[M.DirectionModel, np.ndarray]:
     return M.DirectionModel.from_table(table), np.array([r.value for r in fisher])
 
 
-def train(ws: Workspace, bounds=None, note: str = "train") -> str:
+def train(ws: Workspace, bounds=None) -> str:
     """Fit on the train split; saves weights with their Fisher terms."""
     rows = materialize(split_samples(ws, bounds), "train-samples")
     model = M.fit(rows, ws.settings.training)
-    return _save_model(ws, model, M.fisher(rows.filter("split = 'train'"), model), note)
+    return _save_model(ws, model, M.fisher(rows.filter("split = 'train'"), model))
 
 
 def scored_split(ws: Workspace, split: str) -> DataFrame:
@@ -264,14 +264,14 @@ def tier2(ws: Workspace) -> str:
     recent = sequences.latest_samples(sequences.flat_features(fuse(ws)), a.tier2_nudge_days * 5)
     nudged = M.ewc_nudge(materialize(recent.select("features", "label"), "recent"), model, fisher,
                          a.tier2_ewc_lambda, a.tier2_nudge_lr)
-    return _save_model(ws, nudged, fisher, "tier2")
+    return _save_model(ws, nudged, fisher)
 
 
 def tier3(ws: Workspace, as_of: dt.date | None = None) -> str:
     """Retrain on the rolling window that ends at ``as_of``."""
     moved = rolling_retrain_bounds(as_of or dt.date.today(), ws.settings.adaptive.tier3_window_years)
     training = dataclasses.replace(ws.settings.training, **moved)
-    return train(ws, training.split_bounds, "tier3")
+    return train(ws, training.split_bounds)
 
 
 def generate_data(ws: Workspace, per_label: int = 1700) -> DataFrame:
