@@ -7,8 +7,8 @@ verified: enough word ``n``-grams of the item's question and of its answer must
 sentence is its answer; an item of one sentence is cut in the middle).
 
 A passage is searched only if some item can reach the threshold with it: per item, the lightest words are set aside as long
-as they stay below the threshold together, so one of the others must occur; their weights and the total of those set aside
-bound the score. This skips most passages and no result.
+as they stay below a part (``light``) of the threshold together; the weights of the others in the passage and the total of
+those set aside bound the score. This skips most passages and no result.
 
 The index is sent to the tasks in blocks of items of at most ``BLOCK_CHARS`` characters; more items make more passes.
 
@@ -57,7 +57,7 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 class BlockMaxIndex:
     """Postings of items with BM25 weights as shares of each item's total, in blocks with their largest weight."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, n: int = 3, block: int = 16, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, n: int = 3, block: int = 16, light: float = 0.5, k1: float = 1.2, b: float = 0.75):
         self.threshold, self.block = threshold, block
         split = [(i, *question_and_answer(t)) for i, t in items]
         split = sorted(((i, q, a) for i, q, a in split if q), key=lambda x: x[0])
@@ -81,7 +81,7 @@ class BlockMaxIndex:
             for w, x in sorted(raw.items(), key=lambda kv: (kv[1], kv[0])):
                 share = x / total
                 postings[self.terms[w]].append((d, share))
-                if self.aside[d] + share < threshold - 1e-9:
+                if self.aside[d] + share < light * threshold:
                     self.aside[d] += share
                 else:
                     essential.append((self.terms[w], d, share))
