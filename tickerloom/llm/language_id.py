@@ -47,10 +47,10 @@ def bucket_sums(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.
 
 
 def sums_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.binary()), ("n", pa.binary())])
     for batch in steps(batches):
         found = list(bucket_sums(batch.column("text"), buckets))
-        yield out_batch(schema, lang=batch.column("lang"), bucket=[b for b, _ in found], n=[n for _, n in found])
+        yield out_batch(schema, lang=batch.column("lang"), bucket=[b.astype(np.int32).tobytes() for b, _ in found], n=[n.astype(np.float32).tobytes() for _, n in found])
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def train(
     rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int, size: int = 16, epochs: int = 12, rate: float = 20.0,
     precision: float = 0.995, seed: int = 7,
 ) -> LanguageModel | None:
-    rows = [(lang, np.asarray(b, np.int64), np.asarray(n, np.float32) / np.sum(n)) for lang, b, n in rows if len(b)]
+    rows = [(lang, b, n / n.sum()) for lang, b, n in rows if len(b)]
     langs = tuple(sorted({lang for lang, _, _ in rows}))
     if not rows:
         return None
@@ -110,13 +110,13 @@ def train(
     return LanguageModel(langs, embed @ soft, bias, temperature, floor)
 
 
-def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = 4000, buckets: int = 1 << 15) -> LanguageModel | None:
+def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = 2000, buckets: int = 1 << 15) -> LanguageModel | None:
     """Train on at most ``sample`` labelled rows; the driver gets at most ``buckets`` numbers for each."""
     bounded_batches(rows.sparkSession)
     own = keyed(rows, key, text, F.col(f"`{lang}`").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).select("text", "lang")
-    got = picked.mapInArrow(lambda it: sums_batches(it, buckets), "lang string, bucket array<int>, n array<float>").collect()
-    return train(sorted(((r.lang, np.array(r.bucket), np.array(r.n)) for r in got), key=lambda r: (r[0], len(r[1]), float(r[2].sum()))), buckets)
+    got = picked.mapInArrow(lambda it: sums_batches(it, buckets), "lang string, bucket binary, n binary").collect()
+    return train(sorted(((r.lang, np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.float32)) for r in got), key=lambda r: (r[0], len(r[1]), float(r[2].sum()))), buckets)
 
 
 def predict_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) -> Iterator[pa.RecordBatch]:

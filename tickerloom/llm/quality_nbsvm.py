@@ -166,11 +166,11 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _indicator_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bucket", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bucket", pa.binary())])
     for batch in steps(batches):
         rows, bucket = indicators(batch.column("text"))
         cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        yield out_batch(schema, doc_id=batch.column("doc_id"), label=batch.column("label"), bucket=[bucket[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        yield out_batch(schema, doc_id=batch.column("doc_id"), label=batch.column("label"), bucket=[bucket[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = 6000) -> QualityModel:
@@ -180,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     marks = marks.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = keyed(docs, key, text).join(F.broadcast(marks), "doc_id").select("doc_id", "text", "label")  # at most ``sample`` rows
-    got = own.mapInArrow(_indicator_batches, "doc_id long, label int, bucket array<int>").collect()
-    return train([(r.label, np.array(r.bucket, np.int64)) for r in sorted(got, key=lambda r: (r.doc_id, r.label, len(r.bucket)))])
+    got = own.mapInArrow(_indicator_batches, "doc_id long, label int, bucket binary").collect()
+    return train([(r.label, np.frombuffer(r.bucket, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.label, len(r.bucket)))])
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: QualityModel, threshold: float) -> Iterator[pa.RecordBatch]:
