@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .context_mixing import op3_context_mixing
 from .decontaminate import op6_decontaminate
 from .hamming_search import op4_hamming_search
 from .language_id import op7_language_id
@@ -12,6 +13,6 @@ from .source_mix import op10_source_mix
 from .token_counts import op9_token_counts
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_secret_crf, op4_hamming_search, op6_decontaminate, op7_language_id, op8_quality_nbsvm, op9_token_counts, op10_source_mix,
+    op1_license_scan, op2_secret_crf, op3_context_mixing, op4_hamming_search, op6_decontaminate, op7_language_id, op8_quality_nbsvm, op9_token_counts, op10_source_mix,
 )}
 ORACLES: dict[str, str] = {}
