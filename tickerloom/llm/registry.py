@@ -9,10 +9,11 @@ from .language_id import op7_language_id
 from .license_scan import op1_license_scan
 from .quality_nbsvm import op8_quality_nbsvm
 from .secret_crf import op2_secret_crf
+from .shingle_join import op5_shingle_join
 from .source_mix import op10_source_mix
 from .token_counts import op9_token_counts
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_secret_crf, op3_context_mixing, op4_hamming_search, op6_decontaminate, op7_language_id, op8_quality_nbsvm, op9_token_counts, op10_source_mix,
+    op1_license_scan, op2_secret_crf, op3_context_mixing, op4_hamming_search, op5_shingle_join, op6_decontaminate, op7_language_id, op8_quality_nbsvm, op9_token_counts, op10_source_mix,
 )}
 ORACLES: dict[str, str] = {}
