@@ -147,3 +147,16 @@ def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """Only what an operator reads, under fixed names, whatever else the table has."""
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *more)
+
+
+def _kept_batches(batches: Iterator[pa.RecordBatch], column: str, decide) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        keep = [decide(part.column(column)) for part in steps(iter([whole.select([column])]), column)]
+        if keep:
+            yield whole.filter(pa.array(np.concatenate(keep)))
+
+
+def kept(docs: DataFrame, column: str, decide) -> DataFrame:
+    """The rows, with all their columns, for whose texts ``decide`` (texts of a step -> booleans) holds; no shuffle."""
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda it: _kept_batches(it, column, decide), docs.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, keyed, out_batch, steps, table
+from .common import bounded_batches, kept, keyed, out_batch, steps, table
 from .license_scan import words_in
 
 BLOCK_CHARS = 8 << 20
@@ -156,39 +156,38 @@ class BlockMaxIndex:
                 where[k] = docs[at[k]] if at[k] < len(docs) else end
 
 
-def passage_batches(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex, n: int, overlap: float) -> Iterator[pa.RecordBatch]:
+def matches(texts: pa.Array, index: BlockMaxIndex, n: int, overlap: float) -> Iterator[tuple[int, int, int, float, float, float]]:
+    """(text, item, first word of the passage, score, question's share, answer's share) of every verified hit."""
     stride = index.longest
+    words = [words_in(t) for t in texts.to_pylist()]
+    get = index.terms.get
+    passages, terms, owner, total = [], [], [], 0
+    for d, w in enumerate(words):
+        ids = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
+        at = np.flatnonzero(ids >= 0)
+        k = at // stride
+        earlier = k > 0
+        passages += [total + k, total + k[earlier] - 1]
+        terms += [ids[at], ids[at][earlier]]
+        owner.append(total)
+        total += max(1, -(-len(w) // stride))
+    for p in index.admitted(np.concatenate(passages), np.concatenate(terms)).tolist() if passages else []:
+        d = bisect_left(owner, p + 1) - 1
+        first = (p - owner[d]) * stride
+        part = words[d][first:first + 2 * stride]
+        found = index.search(sorted({index.terms[x] for x in part if x in index.terms}))
+        have = grams(part, n) if found else set()
+        for item, score in found:
+            shares = [sum(_stands(g, have, part, n) for g in s) / len(s) if s else 1.0 for s in index.parts[item]]
+            if min(shares) >= overlap:
+                yield d, index.ids[item], first, score, *shares
+
+
+def match_batches(batches: Iterator[pa.RecordBatch], index: BlockMaxIndex, n: int, overlap: float) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        words = [words_in(t) for t in batch.column("text").to_pylist()]
-        get = index.terms.get
-        passages, terms, owner, total = [], [], [], 0
-        for d, w in enumerate(words):
-            count = max(1, -(-len(w) // stride))
-            ids = np.fromiter((get(x, -1) for x in w), np.int64, len(w))
-            at = np.flatnonzero(ids >= 0)
-            k = at // stride
-            earlier = k > 0
-            passages += [total + k, total + k[earlier] - 1]
-            terms += [ids[at], ids[at][earlier]]
-            owner.append((total, d))
-            total += count
-        starts = [t for t, _ in owner]
-        rows: dict[str, list] = {f.name: [] for f in SCHEMA if f.name != "doc_id"}
-        doc_rows: list[int] = []
-        for p in index.admitted(np.concatenate(passages), np.concatenate(terms)).tolist() if passages else []:
-            d = owner[bisect_left(starts, p + 1) - 1][1]
-            first = (p - owner[d][0]) * stride
-            part = words[d][first:first + 2 * stride]
-            found = index.search(sorted({index.terms[x] for x in part if x in index.terms}))
-            have = grams(part, n) if found else set()
-            for item, score in found:
-                q, a = index.parts[item]
-                shares = [sum(_stands(g, have, part, n) for g in s) / len(s) if s else 1.0 for s in (q, a)]
-                if min(shares) >= overlap:
-                    doc_rows.append(d)
-                    for name, value in zip(rows, (index.ids[item], first, score, *shares), strict=True):
-                        rows[name].append(value)
-        yield out_batch(SCHEMA, doc_id=batch.column("doc_id").take(pa.array(doc_rows, pa.int64())), **rows)
+        rows = list(zip(*matches(batch.column("text"), index, n, overlap), strict=True)) or [()] * 6
+        cols = dict(zip([f.name for f in SCHEMA][1:], map(list, rows[1:]), strict=True))
+        yield out_batch(SCHEMA, doc_id=batch.column("doc_id").take(pa.array(rows[0], pa.int64())), **cols)
 
 
 def _stands(gram: tuple[bytes, ...], have: set, part: list[bytes], n: int) -> bool:
@@ -197,34 +196,52 @@ def _stands(gram: tuple[bytes, ...], have: set, part: list[bytes], n: int) -> bo
     return any(tuple(part[i:i + len(gram)]) == gram for i in range(len(part) - len(gram) + 1))
 
 
+def indexes(items: DataFrame, threshold: float, n: int, key: str, text: str) -> Iterator[BlockMaxIndex]:
+    """An index for each block of items; blocks have a bounded number of characters on average."""
+    tests = items.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    tests = tests.where("item_id IS NOT NULL AND text IS NOT NULL")
+    blocks = 1 + (tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    for k in range(blocks):
+        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        index = BlockMaxIndex([(r.item_id, r.text) for r in part.collect()], threshold, n)
+        if index.ids:
+            yield index
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     threshold: float = 0.5, overlap: float = 0.5, n: int = 3,
 ) -> DataFrame:
     """``doc_id, item_id, first_word, bm25, question, answer``: a row per document and test item found in it (its best passage)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     own = keyed(docs, key, text)
-    tests = items.select(F.col(f"`{item_key}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
-    tests = tests.where("item_id IS NOT NULL AND text IS NOT NULL")
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + chars // BLOCK_CHARS
-    found = []
-    for k in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = BlockMaxIndex([(r.item_id, r.text) for r in part.collect()], threshold, n)  # a block of bounded size
-        if not index.ids:
-            continue
-        found.append(own.mapInArrow(
-            lambda it, index=index: passage_batches(it, index, n, overlap),
-            "doc_id long, item_id long, first_word long, bm25 double, question double, answer double",
-        ))
+    columns = "doc_id long, item_id long, first_word long, bm25 double, question double, answer double"
+    found = [
+        own.mapInArrow(lambda it, index=index: match_batches(it, index, n, overlap), columns)
+        for index in indexes(items, threshold, n, item_key, item_text)
+    ]
     if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, first_word long, bm25 double, question double, answer double")
+        return docs.sparkSession.createDataFrame([], columns)
     every = reduce(DataFrame.union, found)
     best = F.max_by(F.struct("first_word", "bm25", "question", "answer"), F.struct("bm25", "question", "answer", -F.col("first_word")))
     return every.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
+def clean_only(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    threshold: float = 0.5, overlap: float = 0.5, n: int = 3,
+) -> DataFrame:
+    """The rows, with all their columns, in which no test item is found."""
+
+    def free(texts: pa.Array, index: BlockMaxIndex) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        out[[m[0] for m in matches(texts, index, n, overlap)]] = False
+        return out
+
+    for index in indexes(items, threshold, n, item_key, item_text):
+        docs = kept(docs, text, lambda texts, index=index: free(texts, index))
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

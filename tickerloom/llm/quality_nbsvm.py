@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, coded, fold, keyed, mixed, out_batch, split_words, steps, table, word_hashes
+from .common import bounded_batches, coded, fold, kept, keyed, mixed, out_batch, split_words, steps, table, word_hashes
 
 BUCKETS = 1 << 18
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -184,11 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return train([(r.label, np.frombuffer(r.bucket, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.label, len(r.bucket)))])
 
 
+def scores_of(texts: pa.Array, model: QualityModel) -> np.ndarray:
+    rows, bucket = indicators(texts)
+    margin = np.bincount(rows, weights=model.weights[bucket], minlength=len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch], model: QualityModel, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        rows, bucket = indicators(batch.column("text"))
-        margin = np.bincount(rows, weights=model.weights[bucket], minlength=batch.num_rows) + model.bias
-        score = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))
+        score = scores_of(batch.column("text"), model)
         yield out_batch(SCHEMA, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), score=score, predicted=(score >= threshold).astype(np.int32))
 
 
@@ -201,6 +205,11 @@ def score_quality(
     return own.mapInArrow(lambda it: _score_batches(it, model, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def good_only(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold."""
+    return kept(docs, text, lambda texts: scores_of(texts, model) >= threshold)
+
+
 def fit_on_folds(docs: DataFrame, labels: DataFrame) -> QualityModel:
     return fit(docs, labels.where(fold("doc_id", 5) != 0))
 
