@@ -53,6 +53,8 @@ def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     def shared(row: np.ndarray, code: np.ndarray, seed: int) -> np.ndarray:
         """Keys (row, hash of code and of the power of two of its share)."""
+        if not len(row):
+            return np.zeros(0, np.int64)
         order = np.lexsort((code, row))
         row, code = row[order], code[order]
         head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1]))))
