@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Bytes of text that one Python step works on; a single longer text is a step of its own.
 STEP_BYTES = 16 << 20
 #: Bytes of one Arrow batch sent to a Python worker.
@@ -39,13 +40,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
 
     The folder is shared by all executors, so the table survives the loss of those that wrote it.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, purpose)
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -109,8 +104,8 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
-def ngram_buckets(raw: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of every word (with ``<`` and ``>`` around it): (word index, bucket)."""
+def ngram_buckets(raw: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed byte n-grams of every word (with ``<`` and ``>`` around it): (word index, bucket), one size after another."""
     n = len(starts) - 1
     lengths = np.diff(starts) + 2
     ends = np.cumsum(lengths)
@@ -122,20 +117,15 @@ def ngram_buckets(raw: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], b
     inner[ends - 1] = False
     padded[ends - lengths], padded[ends - 1] = 60, 62
     padded[inner] = raw
-    out_word, out_bucket = [], []
-    with np.errstate(over="ignore"):
-        for size in sizes:
-            if total < size:
-                continue
+    for size in sizes:
+        if total < size:
+            continue
+        with np.errstate(over="ignore"):
             h = np.zeros(total - size + 1, np.uint64)
             for k in range(size):
                 h = h * np.uint64(257) + padded[k:total - size + 1 + k]
             same = owner[:total - size + 1] == owner[size - 1:]
-            out_word.append(owner[:total - size + 1][same])
-            out_bucket.append((mixed(h[same], size) % np.uint64(buckets)).astype(np.int64))
-    if not out_word:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_word), np.concatenate(out_bucket)
+        yield owner[:total - size + 1][same], (mixed(h[same], size) % np.uint64(buckets)).astype(np.int64)
 
 
 def out_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

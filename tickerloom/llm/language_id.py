@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, coded, fold, joined_bytes, keyed, ngram_buckets, out_batch, split_words, steps, table
 
 SIZES = (1, 2, 3, 4)
+#: Bytes of texts worked on at once; a byte of a distinct word takes some fifty bytes of working arrays.
+STEP = 6 << 20
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_()),
 ])
@@ -33,7 +35,8 @@ def bucket_sums(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.
     """Of each text: its buckets and how often each occurs."""
     words, rows = split_words(texts)
     ids, distinct = coded(words)
-    owner, bucket = ngram_buckets(*joined_bytes(distinct), SIZES, buckets)
+    sizes = list(ngram_buckets(*joined_bytes(distinct), SIZES, buckets))
+    owner, bucket = (np.concatenate([s[k] for s in sizes] or [np.zeros(0, np.int64)]) for k in (0, 1))
     order = np.argsort(owner, kind="stable")
     bucket, edges = bucket[order], np.searchsorted(owner[order], np.arange(len(distinct) + 1))
     starts = np.searchsorted(rows, np.arange(len(texts) + 1))
@@ -48,7 +51,7 @@ def bucket_sums(texts: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.
 
 def sums_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.binary()), ("n", pa.binary())])
-    for batch in steps(batches):
+    for batch in steps(batches, limit=STEP):
         found = list(bucket_sums(batch.column("text"), buckets))
         yield out_batch(schema, lang=batch.column("lang"), bucket=[b.astype(np.int32).tobytes() for b, _ in found], n=[n.astype(np.float32).tobytes() for _, n in found])
 
@@ -120,19 +123,19 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
 
 
 def predict_batches(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches):
+    for batch in steps(batches, limit=STEP):
         n = batch.num_rows
         lang, score, accepted = np.full(n, "und", object), np.zeros(n), np.zeros(n, bool)
         if model is not None:
             words, rows = split_words(batch.column("text"))
             ids, distinct = coded(words)
-            owner, bucket = ngram_buckets(*joined_bytes(distinct), SIZES, len(model.scores))
-            pieces = np.bincount(owner, minlength=len(distinct))
-            count = np.bincount(rows, weights=pieces[ids], minlength=n)
-            z = np.empty((n, len(model.langs)))
-            for k in range(len(model.langs)):
-                of_word = np.bincount(owner, weights=model.scores[bucket, k], minlength=len(distinct))
-                z[:, k] = np.bincount(rows, weights=of_word[ids], minlength=n) / np.maximum(count, 1) + model.bias[k]
+            pieces, of_word = np.zeros(len(distinct)), np.zeros((len(model.langs), len(distinct)))
+            for owner, bucket in ngram_buckets(*joined_bytes(distinct), SIZES, len(model.scores)):
+                pieces += np.bincount(owner, minlength=len(distinct))
+                for k in range(len(model.langs)):
+                    of_word[k] += np.bincount(owner, weights=model.scores[bucket, k], minlength=len(distinct))
+            count = np.maximum(np.bincount(rows, weights=pieces[ids], minlength=n), 1)
+            z = np.stack([np.bincount(rows, weights=w[ids], minlength=n) / count + b for w, b in zip(of_word, model.bias, strict=True)], axis=1)
             p = softmax(z / model.temperature)
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             best = p.argmax(axis=1)
