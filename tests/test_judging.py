@@ -215,13 +215,26 @@ def test_fisher_and_nudge_match_numpy(samples):
     theta = np.array([0.2, -0.1, 0.0, 0.3, 0.1])
     g = (1 / (1 + np.exp(-x @ theta)) - pdf.label.to_numpy())[:, None] * x
     fisher = M.fisher(samples, model)
-    np.testing.assert_allclose(fisher, (g**2).mean(axis=0))
+    batch = np.array([r.b for r in samples.select(F.pmod(F.xxhash64("features", "label"), F.lit(50)).alias("b")).collect()])
+    per_batch = np.stack([g[batch == b].mean(axis=0) for b in np.unique(batch)])
+    np.testing.assert_allclose(fisher, (per_batch**2).sum(axis=0) / 50)
     nudged = M.ewc_nudge(samples, model, fisher, strength=10.0, rate=0.1, steps=1)
     grad = g.mean(axis=0)
     grad *= min(1.0, 0.5 / np.linalg.norm(grad))
     np.testing.assert_allclose([*nudged.weights, nudged.bias], theta - 0.1 * grad)
 
 
+def test_anchor_pulls_back_from_the_second_step_on(samples):
+    model = M.DirectionModel((0.2, -0.1, 0.0, 0.3), 0.1)
+    fisher = np.full(5, 0.05)
+    moved = {
+        (steps, strength): np.array(M.ewc_nudge(samples, model, fisher, strength, 0.1, steps).weights) - np.array(model.weights)
+        for steps in (1, 3) for strength in (0.0, 40.0)
+    }
+    np.testing.assert_allclose(moved[1, 0.0], moved[1, 40.0])
+    assert np.linalg.norm(moved[3, 40.0]) < 0.9 * np.linalg.norm(moved[3, 0.0])
+
+
 def test_no_training_rows_is_an_error(samples):
     with pytest.raises(ValueError):
         M.fit(samples.filter("split = 'test'"))

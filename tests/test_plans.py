@@ -14,7 +14,12 @@ SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="test tables missing")
 
 # These run files, streams or model fits while they are being built.
-EAGER = {"csv_news_roundtrip", "split_by_ticker", "stream_daily_sentiment", "model_fit_score", "score_store", "report_json"}
+EAGER = {
+    "csv_news_roundtrip", "split_by_ticker", "stream_daily_sentiment", "model_fit_score", "score_store", "report_json",
+    "csv_master_roundtrip", "stage_partial_rebuild", "tier1_rerun", "sentiment_updated_weights", "stream_backfill", "ewc_nudge_step",
+}
+# A sequential fold whose every step rounds: a stream over ordered rows.
+FOLDS = {"tier1_ema"}
 
 
 def plan(df):
@@ -60,8 +65,22 @@ def test_tier_thresholds_are_one_subquery(spark):
     assert plan(df).count("ReusedSubquery") >= 3
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - EAGER - FOLDS))
 def test_no_products_and_no_python_in_relational_queries(spark, name):
     p = plan(registry.QUERIES[name](spark, SF_DIR))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "MapInPandas", "BatchEvalPython"):
         assert bad not in p
+
+
+def test_monte_carlo_shuffles_nothing(spark):
+    assert "Exchange" not in plan(registry.QUERIES["mc_mean_var"](spark, SF_DIR))
+
+
+def test_the_look_back_bounds_the_scan(spark):
+    p = plan(registry.QUERIES["features_since"](spark, SF_DIR))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", p)
+
+
+def test_rolling_accuracy_reads_no_events_twice(spark):
+    p = plan(registry.QUERIES["eval_rolling30"](spark, SF_DIR))
+    assert "events.parquet" not in p and "judged-" in p

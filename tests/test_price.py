@@ -104,7 +104,12 @@ def test_recent_features_equal_full_history(bars):
     start = dt.date(2020, 4, 1)
     cols = ["ticker", "trade_date", *PRICE_FEATURES]
     full = pf.price_features(bars, OPTS).filter(F.col("trade_date") >= F.lit(start)).select(*cols)
-    recent = pf.from_date(bars, lambda b: pf.price_features(b, OPTS), start, OPTS.zscore_window + 1).select(*cols)
+
+    def between(first, before):
+        keep = F.lit(True) if first is None else F.col("trade_date") >= F.lit(first)
+        return bars.filter(keep if before is None else keep & (F.col("trade_date") < F.lit(before)))
+
+    recent = pf.from_date(between, lambda b: pf.price_features(b, OPTS), start, OPTS.zscore_window + 1).select(*cols)
     a = full.toPandas().sort_values(["ticker", "trade_date"]).reset_index(drop=True)
     b = recent.toPandas().sort_values(["ticker", "trade_date"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)

@@ -249,3 +249,116 @@ def test_finished_days_leave_the_state(spark, tmp_path):
         sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert max(sizes) <= 10 and sizes[-1] <= 5  # never all twenty (ticker, day) keys
     assert spark.read.parquet(f"{work}/rows").count() == 20
+
+
+def test_one_csv_rule_for_every_name(spark, tmp_path):
+    text = 'ticker,headline\nITC,"two\nlines"\nSBIN,"one ""q"""\n'
+    for name in ("other.csv", readers.MASTER_NEWS):
+        write(tmp_path / name / name, text)
+        got = readers.read_news(spark, str(tmp_path / name))
+        assert sorted((r.ticker, r.headline) for r in got.collect()) == [("ITC", "two\nlines"), ("SBIN", 'one "q"')]
+    plain = write(tmp_path / "plain.csv", 'a,b\n1,"x, ""y"""\n')
+    assert not readers.has_quoted_breaks(spark, plain) and readers.read_csv(spark, plain).first().b == 'x, "y"'
+
+
+DATES = {
+    "Fri, 05 Jan 2024 10:30:00 +0530": "2024-01-05 10:30:00", "05/01/2024 10:30": "2024-01-05 10:30:00", "05-01-2024": "2024-01-05 00:00:00",
+    "Jan 5, 2024 10:30 AM": "2024-01-05 10:30:00", "Jan 5, 2024 10:30 pm": "2024-01-05 22:30:00", "2024-01-05T10:30": "2024-01-05 10:30:00",
+    "20240105": "2024-01-05 00:00:00", "05 Jan 2024 10:30": "2024-01-05 10:30:00", "2024/01/05 10:30:00": "2024-01-05 10:30:00",
+    "2024-01-05 10:30:00 UTC": "2024-01-05 10:30:00", "05-Jan-2024": "2024-01-05 00:00:00", "January 05, 2024 10:30": "2024-01-05 10:30:00",
+    "01/25/2024": "2024-01-25 00:00:00", "5.1.2024": "2024-01-05 00:00:00", "2024-01-05 10:30:00.125Z": "2024-01-05 10:30:00", "soon": None, "": None,
+}
+
+
+def test_date_layouts(spark):
+    from tickerloom.functions.timing import parse_naive, wall_date
+
+    df = spark.createDataFrame([(k,) for k in DATES] + [(None,)], "t string")
+    got = {r.t: (None if r.a is None else str(r.a), r.b) for r in df.select("t", parse_naive("t").alias("a"), wall_date("t").alias("b")).collect()}
+    for text, want in DATES.items():
+        assert got[text][0] == want, text
+        assert str(got[text][1]) == (want[:10] if want else "None")
+    counts = N.unreadable_dates(df.withColumn("source", F.lit("s")), "t").first()
+    assert (counts.unreadable, counts.dated) == (1, len(DATES) - 1)
+
+
+def test_two_bars_for_a_day_are_an_error(spark):
+    bars = spark.createDataFrame([("A", dt.date(2024, 1, 1), 1.0), ("A", dt.date(2024, 1, 2), 2.0)], "ticker string, trade_date date, close double")
+    assert N.unique_days(bars).count() == 2
+    with pytest.raises(Exception, match="more than one bar for A 2024-01-02"):
+        N.unique_days(bars.union(bars.filter("close = 2"))).collect()
+
+
+def test_stage_rebuilds_only_what_is_stale(spark, tmp_path):
+    ws = stages.Workspace(spark, str(tmp_path / "ws"), Settings(tickers=("A", "B")))
+    runs = []
+
+    def build(path, tickers):
+        runs.append(sorted(tickers))
+        rows = [(t, dt.date(2024, 1, 1), len(runs)) for t in tickers if (t, len(runs)) != ("B", 3)]
+        writers.write_by_ticker(spark.createDataFrame(rows, "ticker string, trade_date date, run int"), path)
+
+    def stage(tickers, upstream=("up",)):
+        ws.settings = dataclasses.replace(ws.settings, tickers=tickers)
+        return {r.ticker: r.run for r in ws.stage("x", 1, (), build, upstream).collect()}
+
+    assert stage(("A", "B")) == {"A": 1, "B": 1} and stage(("A", "B")) == {"A": 1, "B": 1}
+    assert stage(("A", "B", "C")) == {"A": 1, "B": 1, "C": 2}
+    ws.manifest.mark_tickers("up", {"B": "s"})  # an upstream run of B alone
+    assert stage(("A", "B", "C")) == {"A": 1, "C": 2}  # its third run has no row for B any more
+    assert runs == [["A", "B"], ["C"], ["B"]]
+
+
+def test_streamed_sums_keep_late_days(spark, tmp_path):
+    schema = "ticker string, source string, lang string, pos double, neg double, neu double, pub_dt timestamp"
+    rows = [("A", "x", "en", 1.0, 0.0, 0.0, dt.datetime(2024, 1, d, 9)) for d in (20, 20, 1)]
+    out, state = str(tmp_path / "rows"), str(tmp_path / "state")
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        S.add_by_batch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, state).awaitTermination()
+        S.compact(spark, out)
+    got = {str(r.trade_date): r.en_count for r in S.summed(spark, out).collect()}
+    assert got == {"2024-01-20": 2, "2024-01-01": 1}
+
+
+def test_devanagari_is_not_neutral(spark):
+    from tickerloom.operators import scoring, textgen
+
+    texts = textgen.generate(spark.range(400), "id", [s for s in textgen.DEFAULT_SETS if s.lang != "en"])
+    means = {r.label_name: r for r in scoring.score_by_language(texts, "text", "lang").groupBy("label_name").agg(
+        F.avg("pos").alias("pos"), F.avg("neg").alias("neg"), F.avg("neu").alias("neu")).collect()}
+    assert means["positive"].pos > means["positive"].neg + 0.2 and means["negative"].neg > means["negative"].pos + 0.2
+    assert means["neutral"].neu > 0.8
+
+
+def test_generator_reaches_its_volume_or_says_so(spark):
+    from tickerloom.operators import textgen
+
+    assert min(s.texts for s in textgen.DEFAULT_SETS) >= 1700
+    sets = textgen.DEFAULT_SETS[1:2]
+    assert textgen.generate(spark.range(sets[0].mixes), "id", sets, 1700).count() == 1700
+    with pytest.raises(ValueError, match="templates make"):
+        textgen.generate(spark.range(10), "id", sets, 10**6)
+
+
+def test_cli_reaches_every_step(tmp_path):
+    for command in ("ingest", "merge", "clean", "split-prices"):
+        args = cli.parser().parse_args([command, "--root", str(tmp_path), "--input", "a=b.csv", "--input", "c=d.csv"])
+        assert args.input == ["a=b.csv", "c=d.csv"]
+
+
+def test_files_have_digests_and_splits_are_read_alone(spark, tmp_path):
+    import hashlib
+
+    path = write(tmp_path / "f" / "a.bin", "abc")
+    assert readers.file_digest(spark, path).first().md5 == hashlib.md5(b"abc").hexdigest()
+    rows = spark.createDataFrame([(1, "train"), (2, "val")], "x int, split string")
+    writers.write_split_tables(rows, str(tmp_path / "s"))
+    assert [r.x for r in readers.read_split_table(spark, str(tmp_path / "s"), "val").collect()] == [2]
+
+
+def test_seeded_shuffle_is_repeatable(spark):
+    from tickerloom.operators.splits import seeded_shuffle
+
+    a, b = ([r.id for r in seeded_shuffle(spark.range(50), "id").collect()] for _ in range(2))
+    assert a == b and sorted(a) == list(range(50)) and a != list(range(50))

@@ -48,5 +48,8 @@ def last_pattern_tag(headline: Column | str, patterns: Iterable[tuple[str, str]]
 
 def mentions_any(headline: Column | str, tickers: Iterable[str]) -> Column:
     """True when the upper-cased headline mentions one of the tickers."""
-    pattern = "|".join(t.upper() for t in tickers)
-    return F.coalesce(F.upper(as_col(headline)).rlike(pattern), F.lit(False))
+    high = F.upper(as_col(headline))
+    hit = F.lit(False)
+    for ticker in tickers:
+        hit = hit | F.contains(high, F.lit(ticker.upper()))
+    return F.coalesce(hit, F.lit(False))

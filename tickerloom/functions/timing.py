@@ -11,27 +11,38 @@ from pyspark.sql import functions as F
 from ..settings import MARKET_CLOSE_SECONDS, MARKET_ZONE
 from .numeric import as_col
 
-# Text layouts seen in the news files, tried in this order.
-LAYOUTS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-    "dd-MM-yyyy HH:mm", "dd MMM yyyy", "MMMM dd, yyyy",
-)
-ZONE_SUFFIX = "(Z|[+-][0-9]{2}:?[0-9]{2})$"
+# Date layouts, tried in this order on canonical text (see ``_canonical``); of two readings the day-first one wins.
+DATES = ("yyyy-M-d", "d-M-yyyy", "M-d-yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d yyyy", "yyyy MMM d")
+LAYOUTS = tuple(f"{d}{clock}" for d in DATES for clock in ("[ H:mm[:ss]]", " h:mm[:ss] a"))
+# Zone written at the end: UTC names, the market's own zone, or an offset.
+ZONE_SUFFIX = "\\s*(Z|UTC|GMT|IST|[+-][0-9]{2}:?[0-9]{2})$"
+MARKET_OFFSET = 19_800
 
 
 def has_clock(text: Column | str) -> Column:
     return as_col(text).rlike("[0-9]{1,2}:[0-9]{2}")
 
 
+def _canonical(text: Column | str) -> Column:
+    """One spelling for what the layouts share: no weekday, zone or fraction; ``-`` between numbers, three-letter months."""
+    bare = F.trim(as_col(text).cast("string"))
+    # Only text with a clock part can carry an offset ("02-01-2024" must keep its year).
+    clock = F.regexp_replace(F.regexp_replace(bare, ZONE_SUFFIX, ""), "(:[0-9]{2})[.,][0-9]+", "$1")
+    out = F.when(has_clock(bare), clock).otherwise(bare)
+    for pattern, new in (
+        ("^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\\s+", ""), ("(?<=[0-9])T(?=[0-9])", " "), ("(?<=[0-9])[/.](?=[0-9])", "-"),
+        ("(?<=[0-9])(st|nd|rd|th)\\b", ""), ("([A-Za-z]{3})[a-z]+", "$1"), ("(?<=[A-Za-z0-9])-(?=[A-Za-z])|(?<=[A-Za-z])-(?=[0-9])", " "),
+        ("[,\\s]+", " "), ("(?i)\\s?([ap])\\.?m\\.?$", " $1M"),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    return F.trim(out)
+
+
 def parse_naive(text: Column | str, layouts: Sequence[str] = LAYOUTS) -> Column:
     """Wall-clock timestamp without zone; NULL where nothing fits."""
-    bare = F.trim(as_col(text))
-    # Only text with a clock part can carry an offset ("02-01-2024" must keep its year).
-    clock = F.regexp_replace(F.regexp_replace(bare, ZONE_SUFFIX, ""), "\\.[0-9]+$", "")
-    bare = F.when(has_clock(text), clock).otherwise(bare)
     # Read as UTC instants and counted from the zone-less epoch: the session's own
     # zone, with its skipped and repeated hours, plays no part.
-    utc = F.concat(bare, F.lit(" +0000"))
+    utc = F.concat(_canonical(text), F.lit(" +0000"))
     instant = F.coalesce(*[F.try_to_timestamp(utc, F.lit(f + " Z")) for f in layouts])
     return F.timestamp_add("SECOND", F.unix_seconds(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
@@ -41,9 +52,12 @@ def zone_offset_seconds(text: Column | str) -> Column:
     suffix = F.regexp_extract(F.trim(as_col(text)), ZONE_SUFFIX, 1)
     digits = F.regexp_replace(suffix, ":", "")
     sign = F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
-    span = F.substring(digits, 2, 2).cast("int") * 3600 + F.substring(digits, 4, 2).cast("int") * 60
+    span = F.substring(digits, 2, 2).try_cast("int") * 3600 + F.substring(digits, 4, 2).try_cast("int") * 60
     none = F.lit(None).cast("int")
-    return F.when(~has_clock(text) | (suffix == ""), none).when(suffix == "Z", 0).otherwise(sign * span)
+    return (
+        F.when(~has_clock(text) | (suffix == ""), none).when(suffix.isin("Z", "UTC", "GMT"), 0)
+        .when(suffix == "IST", MARKET_OFFSET).otherwise(sign * span)
+    )
 
 
 def parse_utc(text: Column | str) -> Column:
@@ -73,7 +87,7 @@ def gated_date(ts: Column | str, cutoff: int = MARKET_CLOSE_SECONDS) -> Column:
 
 def wall_date(text: Column | str) -> Column:
     """Day of the written wall clock; a zone suffix is ignored, not converted."""
-    return F.try_to_date(F.substring(as_col(text).cast("string"), 1, 10))
+    return F.to_date(parse_naive(as_col(text).cast("string")))
 
 
 def split_name(day: Column | str, bounds: Sequence[tuple[str, str, str]]) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions.matching import first_key_in
-from ..functions.numeric import clamp
 
 
 def weights_table(spark: SparkSession, weights: Iterable[tuple[str, float]]) -> DataFrame:
@@ -35,8 +39,8 @@ def update_weights(accuracy: DataFrame, weights: Iterable[tuple[str, float]], de
 
     Sources that resolve to one key are folded in order of first appearance,
     each step rounded to four digits and kept within [0.1, 1]; rounding makes
-    the steps order-dependent, so the fold is sequential.  It runs over one
-    pre-aggregated row per news source.
+    the steps order-dependent, so the fold is sequential: a stream over one
+    pre-aggregated row per news source, in order.
     """
     weights = list(weights)
     old = dict(weights)
@@ -44,14 +48,29 @@ def update_weights(accuracy: DataFrame, weights: Iterable[tuple[str, float]], de
     for key, weight in reversed(weights):
         start = F.when(F.col("key") == key, F.lit(float(weight))).otherwise(start)
     keyed = accuracy.withColumn("key", F.coalesce(first_key_in("source", old), F.lit("default")))
-    steps = keyed.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("first_seen", "source", "accuracy"))).alias("_steps")
-    ).withColumn("old_weight", start)
-    folded = F.aggregate(
-        F.col("_steps"), F.col("old_weight"),
-        lambda w, s: F.round(clamp(F.lit(decay) * w + F.lit(1.0 - decay) * s["accuracy"], 0.1, 1.0), 4),
-    )
-    return steps.select("key", "old_weight", folded.alias("new_weight"), F.size("_steps").alias("n_sources"))
+    names = StructType([
+        StructField("key", StringType()), StructField("old_weight", DoubleType()), StructField("new_weight", DoubleType()),
+        StructField("n_sources", IntegerType()),
+    ])
+    ordered = keyed.select("key", start.alias("old_weight"), "first_seen", "source", "accuracy").repartition("key").sortWithinPartitions(
+        "key", "first_seen", "source")
+    return ordered.mapInPandas(lambda it: _folded(it, decay), names)
+
+
+def _folded(batches: Iterator[pd.DataFrame], decay: float) -> Iterator[pd.DataFrame]:
+    """One pass over rows ordered by key: a key's rows are never held together, however many sources it has."""
+    key = old = new = None
+    n = 0
+    for pdf in batches:
+        for k, start, accuracy in zip(pdf["key"], pdf["old_weight"], pdf["accuracy"]):
+            if k != key:
+                if n:
+                    yield pd.DataFrame({"key": [key], "old_weight": [old], "new_weight": [new], "n_sources": [n]})
+                key, old, new, n = k, start, start, 0
+            step = min(max(decay * new + (1.0 - decay) * accuracy, 0.1), 1.0)
+            new, n = float(Decimal(repr(float(step))).quantize(Decimal("0.0001"), ROUND_HALF_UP)), n + 1
+    if n:
+        yield pd.DataFrame({"key": [key], "old_weight": [old], "new_weight": [new], "n_sources": [n]})
 
 
 def next_weights(spark: SparkSession, updates: DataFrame, weights: Iterable[tuple[str, float]]) -> DataFrame:
@@ -62,16 +81,17 @@ def next_weights(spark: SparkSession, updates: DataFrame, weights: Iterable[tupl
     ).orderBy("ord")
 
 
-def fisher_diagonal(rows: DataFrame, features: list[str], batch: str = "batch", n_batches: int = 50) -> DataFrame:
-    """Diagonal Fisher terms of a logistic model: squared batch gradients over ``n_batches``.
+def fisher_diagonal(rows: DataFrame, features: str = "features", batch: str = "batch", n_batches: int = 50) -> DataFrame:
+    """Diagonal Fisher terms (idx, fisher) of a logistic model: squared batch gradients over ``n_batches``.
 
-    The divisor stays ``n_batches`` when fewer batches exist.
+    ``features`` is an array column, ``prob`` the model's probability.  The divisor stays ``n_batches`` when fewer
+    batches exist.  Gradients are averaged per batch with a map-side part; a row per batch is left.
     """
     error = F.col("prob") - F.col("label")
-    grads = rows.groupBy(batch).agg(*[F.avg(error * F.col(c)).alias(c) for c in features])
-    sums = grads.agg(*[(F.sum(F.pow(F.col(c), 2.0)) / float(n_batches)).alias(c) for c in features])
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("fisher")) for c in features])
-    return sums.select(F.inline(pairs))
+    vector = array_to_vector(F.transform(features, lambda x: x * error))
+    grads = rows.select(F.col(batch).alias("_batch"), vector.alias("_g")).groupBy("_batch").agg(Summarizer.mean(F.col("_g")).alias("_g"))
+    terms = grads.select(F.posexplode(vector_to_array("_g")).alias("idx", "g"))
+    return terms.groupBy("idx").agg((F.sum(F.col("g") * F.col("g")) / float(n_batches)).alias("fisher"))
 
 
 def ewc_penalty(params: DataFrame, strength: float = 400.0) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.decisions import sigmoid
 from ..settings import ModelSettings, TrainingSettings
+from .adaptive import fisher_diagonal
 from .splits import positive_weight
 
 
@@ -88,11 +90,11 @@ def mc_scores(samples: DataFrame, model: DirectionModel, opts: ModelSettings = M
 
 
 def _batch_sums(samples: DataFrame, model: DirectionModel) -> DataFrame:
-    """Per input: gradient sum, squared-gradient sum and row count, reduced inside tasks first."""
+    """Per input: gradient sum and row count, reduced inside tasks first."""
     weights, bias = np.asarray(model.weights), model.bias
 
     def reduce_batches(batches):
-        grad = sq = None
+        grad = None
         rows = 0
         for pdf in batches:
             if pdf.empty:
@@ -102,26 +104,38 @@ def _batch_sums(samples: DataFrame, model: DirectionModel) -> DataFrame:
             p = 1.0 / (1.0 + np.exp(-np.clip(x[:, :-1] @ weights + bias, -500, 500)))
             g = (p - pdf["label"].to_numpy())[:, None] * x
             grad = g.sum(axis=0) if grad is None else grad + g.sum(axis=0)
-            sq = (g**2).sum(axis=0) if sq is None else sq + (g**2).sum(axis=0)
             rows += len(x)
         if grad is not None:
-            yield pd.DataFrame({"idx": np.arange(len(grad)), "grad": grad, "sq": sq, "n": rows})
+            yield pd.DataFrame({"idx": np.arange(len(grad)), "grad": grad, "n": rows})
 
     partial = samples.select("features", "label").mapInPandas(
-        reduce_batches, "idx int, grad double, sq double, n long"
+        reduce_batches, "idx int, grad double, n long"
     )
-    return partial.groupBy("idx").agg(F.sum("grad").alias("grad"), F.sum("sq").alias("sq"), F.sum("n").alias("n"))
+    return partial.groupBy("idx").agg(F.sum("grad").alias("grad"), F.sum("n").alias("n"))
 
 
-def fisher(samples: DataFrame, model: DirectionModel) -> np.ndarray:
-    """Mean squared per-sample gradient per weight (bias last)."""
-    rows = _batch_sums(samples, model).orderBy("idx").collect()  # one row per model weight
-    return np.array([r.sq / r.n for r in rows])
+def with_prob(samples: DataFrame, model: DirectionModel) -> DataFrame:
+    """Adds the model's probability without dropout."""
+    weights = F.array(*[F.lit(float(w)) for w in model.weights])
+    logit = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(float(model.bias)), lambda a, x: a + x)
+    return samples.withColumn("prob", sigmoid(logit))
+
+
+def fisher(samples: DataFrame, model: DirectionModel, n_batches: int = 50) -> np.ndarray:
+    """Fisher terms per weight (bias last) over ``n_batches`` batches, dealt by a hash of the inputs."""
+    rows = with_prob(samples, model).select(
+        F.concat("features", F.array(F.lit(1.0))).alias("features"), "label", "prob",
+        F.pmod(F.xxhash64("features", "label"), F.lit(n_batches)).alias("batch"),
+    )
+    got = fisher_diagonal(rows, n_batches=n_batches).orderBy("idx").collect()  # one row per model weight
+    return np.array([r.fisher for r in got])
 
 
 def ewc_nudge(recent: DataFrame, model: DirectionModel, fisher_diag: np.ndarray, strength: float = 400.0,
-              rate: float = 1e-5, steps: int = 1, clip: float = 0.5) -> DirectionModel:
-    """Gradient steps on recent samples, anchored to the current weights.
+              rate: float = 1e-5, steps: int = 5, clip: float = 0.5) -> DirectionModel:
+    """Gradient steps on recent samples, anchored to the weights from before the first one.
+
+    The penalty is zero where the steps start and pulls back from the second one on.
 
     The data gradient is a distributed sum; the driver only holds the weights.
     """

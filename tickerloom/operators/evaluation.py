@@ -22,10 +22,6 @@ def select_split(rows: DataFrame, split: str = "test") -> DataFrame:
     return rows.filter(F.col("split") == split)
 
 
-def variance_stats(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.avg("variance").alias("var_mean"), F.stddev_samp("variance").alias("var_std"))
-
-
 def variance_bound(rows: DataFrame, sigma: float) -> Column:
     """mean + sigma * std of the split's variance, as a scalar subquery."""
     stats = rows.agg((F.avg("variance") + F.lit(sigma) * F.stddev_samp("variance")).alias("bound"))

@@ -99,8 +99,13 @@ def filter_tickers(df: DataFrame, tickers: Sequence[str] | None) -> DataFrame:
     return df
 
 
-def tag_and_clean(df: DataFrame, source_name: str, patterns: Iterable[tuple[str, str]]) -> DataFrame:
-    """Normalise one raw news table: headers, ticker tags, clean text, source name."""
+def tag_and_clean(
+    df: DataFrame, source_name: str, patterns: Iterable[tuple[str, str]], body_limit: int | None = None,
+) -> DataFrame:
+    """Normalise one raw news table: headers, ticker tags, clean text, source name.
+
+    Bodies are kept whole unless ``body_limit`` names a number of characters.
+    """
     df = rename_variants(lower_headers(df))
     ticker = F.coalesce(F.col("ticker"), F.lit("")) if "ticker" in df.columns else F.lit("")
     columns: dict[str, Column] = {
@@ -109,7 +114,8 @@ def tag_and_clean(df: DataFrame, source_name: str, patterns: Iterable[tuple[str,
         "source": F.lit(source_name),
     }
     if "body" in df.columns:
-        columns["body"] = F.substring(newline_to_space("body"), 1, 500)
+        body = newline_to_space("body")
+        columns["body"] = body if body_limit is None else F.substring(body, 1, body_limit)
     return df.withColumns(columns)
 
 
@@ -127,14 +133,22 @@ def merge_tagged(frames: Sequence[DataFrame]) -> DataFrame:
     return merged.withColumn("datetime", parse_naive("datetime")).na.drop(subset=["datetime"])
 
 
+def unreadable_dates(df: DataFrame, column: str = "datetime", by: str = "source") -> DataFrame:
+    """Rows per source whose date text no layout reads, next to all of its rows that have one."""
+    written = F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) != ""
+    return df.groupBy(by).agg(
+        F.count_if(written & parse_naive(column).isNull()).alias("unreadable"), F.count_if(written).alias("dated"),
+    )
+
+
 def tag_coverage(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(
         F.count_if(F.col("ticker") != "").alias("tagged"), F.count(F.lit(1)).alias("total")
     )
 
 
-def clean_scraped(df: DataFrame, clean_first: bool = True, limit: int = 500) -> DataFrame:
-    """Scraped-file cleaning: header map, line breaks, body cut.
+def clean_scraped(df: DataFrame, clean_first: bool = True, limit: int | None = None) -> DataFrame:
+    """Scraped-file cleaning: header map, line breaks and, where ``limit`` is given, a body cut.
 
     ``clean_first`` chooses whether the cut happens after or before the line
     breaks are removed; the two tools of the pipeline differ in that.
@@ -144,7 +158,10 @@ def clean_scraped(df: DataFrame, clean_first: bool = True, limit: int = 500) ->
     if "headline" in df.columns:
         columns["headline"] = drop_breaks("headline")
     if "body" in df.columns:
-        columns["body"] = clean_then_cut("body", limit) if clean_first else cut_then_clean("body", limit)
+        if limit is None:
+            columns["body"] = drop_breaks("body")
+        else:
+            columns["body"] = clean_then_cut("body", limit) if clean_first else cut_then_clean("body", limit)
     return df.withColumns(columns) if columns else df
 
 
@@ -227,3 +244,13 @@ def price_table(df: DataFrame) -> DataFrame:
     return df.select(
         *keys, wall_date("date").alias("trade_date"), *[as_col(c).cast("double").alias(c) for c in BAR_COLUMNS]
     ).na.drop(subset=["trade_date"])
+
+
+def unique_days(bars: DataFrame) -> DataFrame:
+    """The bars, or an error at run time where a ticker has two for one day (windows count rows as days)."""
+    keys = [c for c in ("ticker", "trade_date") if c in bars.columns]
+    other = [c for c in bars.columns if c not in keys]
+    name = F.concat_ws(" ", *[F.col(c).cast("string") for c in keys])
+    counted = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in other])
+    fault = F.raise_error(F.concat(F.lit("more than one bar for "), name)).cast("double")
+    return counted.select(*[F.when(F.col("_n") > 1, fault).otherwise(F.col(c)).alias(c) if c == other[0] else F.col(c) for c in bars.columns])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +19,16 @@ PREDICTION_COLUMNS = (
 
 def monte_carlo(df: DataFrame, keys: Sequence[str], one_pass: Callable[[Column], Column], passes: int,
                 mean: str = "prob", variance: str = "variance") -> DataFrame:
-    """Mean and unbiased variance over stochastic passes per key.
+    """Mean and unbiased variance over stochastic passes per row.
 
-    ``one_pass`` maps the pass number to a probability.  The passes of a row
-    are generated next to each other and the map-side aggregate folds them at
-    once, so one row per key is shuffled.  Array functions would save that
-    shuffle but run outside generated code, which costs several times more.
+    ``one_pass`` maps the pass number to a probability.  All passes of a row are columns of the same row, so
+    nothing is shuffled and the two sums stay in generated code; ``keys`` are the columns to keep.
     """
-    draws = df.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    return draws.select(*keys, one_pass(F.col("_pass")).alias("_p")).groupBy(*keys).agg(
-        F.avg("_p").alias(mean), F.var_samp("_p").alias(variance)
-    )
+    names = [f"_p{i}" for i in range(1, passes + 1)]
+    draws = df.select(*keys, *[one_pass(F.lit(i)).alias(n) for i, n in enumerate(names, start=1)])
+    total = reduce(add, [F.col(n) for n in names])
+    spread = reduce(add, [(F.col(n) - F.col(mean)) * (F.col(n) - F.col(mean)) for n in names])
+    return draws.withColumn(mean, total / float(passes)).select(*keys, mean, (spread / float(passes - 1)).alias(variance))
 
 
 def decide(df: DataFrame, confidence_threshold: float = 0.65) -> DataFrame:

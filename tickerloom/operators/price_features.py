@@ -87,15 +87,15 @@ def with_window_length(features: DataFrame, opts: FeatureSettings = FeatureSetti
     )
 
 
-def from_date(bars: DataFrame, features_of, start, lookback_rows: int) -> DataFrame:
+def from_date(bars_between, features_of, start, lookback_rows: int) -> DataFrame:
     """Features from ``start`` on without reading the whole history.
 
-    The look-back is counted in rows, so the earliest bar any ticker needs is
-    found first (a top-k limited before its shuffle); as a scalar it becomes an
-    ordinary date filter on the scan.  Not valid for full-history percentiles.
+    ``bars_between(first, before)`` gives the bars of a range of days (None: open).  The look-back is counted in rows, so
+    the earliest bar any ticker needs is found first (a top-k limited before its shuffle); that one date then bounds the
+    second scan as a literal, which reaches the files.  Not valid for full-history percentiles.
     """
     newest_first = Window.partitionBy("ticker").orderBy(F.col("trade_date").desc())
-    before = bars.filter(F.col("trade_date") < F.lit(start)).select("ticker", "trade_date")
+    before = bars_between(None, start).select("ticker", "trade_date")
     needed = before.withColumn("_n", F.row_number().over(newest_first)).filter(F.col("_n") <= lookback_rows)
-    earliest = needed.agg(F.coalesce(F.min("trade_date"), F.lit(start).cast("date"))).scalar()
-    return features_of(bars.filter(F.col("trade_date") >= earliest)).filter(F.col("trade_date") >= F.lit(start))
+    earliest = needed.agg(F.min("trade_date")).first()[0] or start
+    return features_of(bars_between(earliest, None)).filter(F.col("trade_date") >= F.lit(start))

@@ -11,14 +11,14 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import as_col
 
 SCORES = ("pos", "neg", "neu")
-NOT_LETTERS = "[^a-z]+"
+# Letters with the signs that belong to them: Devanagari vowel signs are marks, not letters.
+NOT_LETTERS = "[^\\p{L}\\p{M}]+"
 
 
 @dataclass(frozen=True)
@@ -39,8 +39,10 @@ MARKET_WORDS = WordLists(
     ),
 )
 MIXED_LANGUAGE_WORDS = WordLists(
-    positive=MARKET_WORDS.positive + ("tezi", "badhat", "munafa", "mazboot", "faayda"),
-    negative=MARKET_WORDS.negative + ("girawat", "nuksan", "kamzor", "mandi", "ghata"),
+    positive=MARKET_WORDS.positive + ("tezi", "badhat", "munafa", "mazboot", "faayda", "तेजी", "चढ़े", "चढ़ा", "मुनाफा", "लाभ", "मजबूत",
+                                      "बढ़ा", "बढ़त", "उछाल", "वृद्धि"),
+    negative=MARKET_WORDS.negative + ("girawat", "nuksan", "kamzor", "mandi", "ghata", "गिरा", "गिरे", "गिरावट", "नुकसान", "घाटा",
+                                      "कमजोर", "टूटे", "मंदी", "जुर्माना"),
 )
 
 
@@ -93,6 +95,11 @@ def missing_scores(articles: DataFrame, scored: DataFrame) -> DataFrame:
     return articles.join(scored.select("row_hash"), "row_hash", "left_anti")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def score_with_store(articles: DataFrame, score: Column, path: str) -> DataFrame:
     """Articles with scores, computing only what the store at ``path`` lacks.
 
@@ -103,10 +110,8 @@ def score_with_store(articles: DataFrame, score: Column, path: str) -> DataFrame
     spark = articles.sparkSession
     schema = "row_hash string, pos double, neg double, neu double"
     todo = articles.dropDuplicates(["row_hash"])
-    try:
+    if path_exists(spark, path):
         todo = missing_scores(todo, spark.read.schema(schema).parquet(path))
-    except AnalysisException:  # no store yet
-        pass
     fresh = todo.select("row_hash", score.alias("_s")).select("row_hash", "_s.*")
     fresh.na.drop(subset=list(SCORES)).write.mode("append").parquet(path)
     stored = spark.read.schema(schema).parquet(path).dropDuplicates(["row_hash"])  # two runs may overlap
@@ -125,12 +130,18 @@ def reorder_scores(values: Column | str, labels: Sequence[str]) -> dict[str, Col
     return out
 
 
-def summarise_long(text: Column | str, summariser=None, trigger: int = 150, limit: int = 500) -> Column:
-    """Cleaned text cut to ``limit``; long text goes through a model when one is given."""
+def summarise_long(
+    text: Column | str, summariser=None, trigger: int = 150, limit: int | None = None, window: int | None = None,
+) -> Column:
+    """Cleaned text; texts longer than ``trigger`` go through a model when one is given.
+
+    ``limit`` cuts what is not summarised, ``window`` what a model with a bounded input is shown; by default
+    nothing is cut.
+    """
     from ..functions.text import drop_breaks
 
     clean = drop_breaks(text)
-    plain = F.substring(clean, 1, limit)
+    plain = clean if limit is None else F.substring(clean, 1, limit)
     if summariser is None:
         return plain
-    return F.when(F.length(clean) > trigger, F.coalesce(summariser(F.substring(clean, 1, 4000)), plain)).otherwise(plain)
+    return F.when(F.length(clean) > trigger, F.coalesce(summariser(clean if window is None else F.substring(clean, 1, window)), plain)).otherwise(plain)

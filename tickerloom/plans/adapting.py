@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import decisions as D
@@ -38,7 +39,24 @@ def _logistic_rows(spark, sf_dir):
 
 
 def fisher_diagonal(spark, sf_dir):
-    return A.fisher_diagonal(_logistic_rows(spark, sf_dir), ["x1", "x2", "bias"]).select("name", *_r("fisher"))
+    names = ("x1", "x2", "bias")
+    rows = _logistic_rows(spark, sf_dir).withColumn("features", F.array(*names))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("idx") + 1)
+    return A.fisher_diagonal(rows).select(name.alias("name"), *_r("fisher"))
+
+
+NUDGE = {"weights": (0.8, -1.5), "bias": 0.1, "fisher": (0.004, 0.006, 0.009), "rate": 0.4, "clip": 0.05}
+
+
+def ewc_nudge_step(spark, sf_dir):
+    """Two anchored steps of a logistic model with two inputs and a bias, without and with the penalty."""
+    rows = materialize(_logistic_rows(spark, sf_dir).select(F.array("x1", "x2").alias("features"), "label"), "nudge")
+    start = M.DirectionModel(NUDGE["weights"], NUDGE["bias"])
+    out = []
+    for strength in (0.0, 400.0):
+        model = M.ewc_nudge(rows, start, np.array(NUDGE["fisher"]), strength, NUDGE["rate"], 2, NUDGE["clip"])
+        out += [(strength, n, float(w)) for n, w in zip(("x1", "x2", "bias"), (*model.weights, model.bias))]
+    return spark.createDataFrame(out, "strength double, name string, theta double").select("strength", "name", *_r("theta"))
 
 
 def ewc_penalty(spark, sf_dir):
@@ -146,7 +164,7 @@ def model_fit_score(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        tier1_source_accuracy, tier1_ema, fisher_diagonal, ewc_penalty, mc_mean_var, predict_latest, polarity_map,
+        tier1_source_accuracy, tier1_ema, fisher_diagonal, ewc_nudge_step, ewc_penalty, mc_mean_var, predict_latest, polarity_map,
         temperature_softmax, distill_loss, supported_cases_semi, dropped_anti, qualitative_cases, match_rate,
         model_fit_score,
     )
@@ -187,10 +205,38 @@ _JUDGED_CASES = f"""
                          ({", ".join(f"'{w}'" for w in V.ENGLISH_WORDS.positive)}))) END AS good,
                        len(list_filter(toks, lambda w: w IN
                          ({", ".join(f"'{w}'" for w in V.ENGLISH_WORDS.negative)}))) AS bad
-                FROM (SELECT *, string_split_regex(lower(news_input), '[^a-z]+') AS toks FROM cases)
+                FROM (SELECT *, string_split_regex(lower(news_input), '[^\\p{{L}}\\p{{M}}]+') AS toks FROM cases)
                 WHERE upper(ticker) IN (SELECT o_orderstatus FROM orders))) c
     JOIN (SELECT ticker, trade_date AS latest_price_date_used, "window" AS effective_window FROM fused
           WHERE n_rows > 15 AND pos_in_series = n_rows - 1) f USING (ticker)"""
+
+
+def _nudge_sql() -> str:
+    """Both steps as nested aggregates over the rows."""
+    names, n = ("x1", "x2", "bias"), NUDGE
+    start = dict(zip(names, (*n["weights"], n["bias"])))
+
+    def gradient(source: str) -> str:
+        logit = " + ".join(f"t_{c} * {c}" for c in names)
+        sums = ", ".join(f"avg((1 / (1 + exp(-({logit}))) - label) * {c}) AS g_{c}" for c in names)
+        kept = ", ".join(f"any_value(t_{c}) AS t_{c}" for c in names)
+        return f"SELECT s, {kept}, {sums} FROM ({source}) GROUP BY s"
+
+    def step(source: str) -> str:
+        full = ", ".join(f"g_{c} + 2 * s * {f}::DOUBLE * (t_{c} - ({start[c]}::DOUBLE)) AS h_{c}" for c, f in zip(names, n["fisher"]))
+        size = "sqrt(" + " + ".join(f"h_{c} * h_{c}" for c in names) + ")"
+        moved = ", ".join(f"t_{c} - {n['rate']}::DOUBLE * h_{c} * least(1, {n['clip']}::DOUBLE / size) AS t_{c}" for c in names)
+        return f"SELECT s, {moved} FROM (SELECT *, {size} AS size FROM (SELECT *, {full} FROM ({gradient(source)})))"
+
+    first = "SELECT s, x1, x2, bias, label, " + ", ".join(f"{start[c]}::DOUBLE AS t_{c}" for c in names) + " FROM nudge_rows, nudge_s"
+    second = f"SELECT t.*, x1, x2, bias, label FROM nudge_rows, ({step(first)}) t"
+    parts = " UNION ALL ".join(f"SELECT s AS strength, '{c}' AS name, {r6(f't_{c}')} AS theta FROM nudged" for c in names)
+    rows = "SELECT variance * 10 AS x1, prob - 0.5 AS x2, 1.0::DOUBLE AS bias, label FROM eval_rows"
+    return with_views("eval_rows", f"""
+        SELECT * FROM (WITH nudge_rows AS ({rows}), nudge_s AS (SELECT unnest([0.0::DOUBLE, 400.0::DOUBLE]) AS s),
+                            nudged AS ({step(second)}) {parts})""")
+
+
 _MATCH = "CASE WHEN expected_model_output <> '' THEN actual_model_output = expected_model_output END"
 
 ORACLES = {
@@ -210,6 +256,7 @@ ORACLES = {
           SELECT 'x1' AS name, sum(x1 * x1) / 50 AS f FROM grads UNION ALL
           SELECT 'x2', sum(x2 * x2) / 50 FROM grads UNION ALL SELECT 'bias', sum(bias * bias) / 50 FROM grads)
         """.replace("WITH grads AS", "SELECT * FROM (WITH grads AS") + ")"),
+    "ewc_nudge_step": _nudge_sql(),
     "ewc_penalty": f"""
         SELECT {r6('400 * sum(f * (t - r) * (t - r))')} AS penalty FROM (
           SELECT avg(l_discount) AS t, avg(l_tax) AS r, avg(l_quantity) / 50 AS f

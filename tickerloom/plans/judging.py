@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
 from ..operators import evaluation as E
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import writers
 from . import views as V
 from .sql import r6, r6_all, with_views
@@ -25,6 +25,11 @@ def _judged(spark, sf_dir):
     return E.judge(_chosen(spark, sf_dir))
 
 
+def _judged_once(spark, sf_dir):
+    """The narrow judged rows as a table: rows, pieces and days of the rolling accuracy all read it."""
+    return materialize(_judged(spark, sf_dir).select("trade_date", "row_id", "abstained", "correct"), "judged")
+
+
 def _r(*names):
     return [rounded(n).alias(n) for n in names]
 
@@ -58,7 +63,7 @@ def report_json(spark, sf_dir):
 
 def _rolling(days):
     def query(spark, sf_dir):
-        s = E.rolling_accuracy(_judged(spark, sf_dir), days, "row_id", block_bits=10)
+        s = E.rolling_accuracy(_judged_once(spark, sf_dir), days, "row_id", block_bits=10)
         # twelve digits: shorter roundings meet exact decimal ties of n / 2^k here
         return s.select("trade_date", "row_id", rounded("accuracy", 12).alias("accuracy"))
 
@@ -66,7 +71,7 @@ def _rolling(days):
 
 
 def eval_rolling_summary(spark, sf_dir):
-    s = E.rolling_accuracy(_judged(spark, sf_dir), 5, "row_id")
+    s = E.rolling_accuracy(_judged_once(spark, sf_dir), 5, "row_id")
     return E.rolling_summary(s).select(*_r("rolling_min", "rolling_max", "rolling_mean"))
 
 

@@ -10,7 +10,7 @@ from ..functions.numeric import rounded
 from ..functions.timing import parse_market, gated_date, seconds_of_day
 from ..operators import dedup, normalize as N, scoring, splits, textgen
 from ..session import shared_folder
-from ..settings import TAG_PATTERNS
+from ..settings import NlpSettings, TAG_PATTERNS
 from . import views as V
 from .sql import r6, r6_all, weight_case, with_views, words
 
@@ -149,7 +149,7 @@ def summary_fallback(spark, sf_dir):
     def first_words(body):
         return F.when(F.col("doc_id") % 3 != 0, F.concat_ws(" ", F.slice(F.split(body, " "), 1, 10)))
 
-    return d.select("doc_id", scoring.summarise_long("text", first_words).alias("body"))
+    return d.select("doc_id", scoring.summarise_long("text", first_words, limit=500, window=4000).alias("body"))
 
 
 def lang_ratio(spark, sf_dir):
@@ -191,7 +191,7 @@ def _labelled_texts(spark, sf_dir):
 
 def distill_sample(spark, sf_dir):
     """Seeded sample of labelled texts (the cap is the operator's parameter)."""
-    return splits.seeded_sample(_labelled_texts(spark, sf_dir), "doc_id", 200).select(
+    return splits.seeded_sample(_labelled_texts(spark, sf_dir), "doc_id", NlpSettings().distill_max_samples).select(
         "doc_id", "label_name", F.col("hard_int").cast("long").alias("hard_int"), F.md5("text").alias("text_key")
     )
 
@@ -225,29 +225,30 @@ def reordered_scores(spark, sf_dir):
     return probs.select("doc_id", *[rounded(mapped[c]).alias(c) for c in ("pos", "neg", "neu")])
 
 
-TEMPLATES = textgen.DEFAULT_SETS[0]
-
-
 def template_generate(spark, sf_dir):
-    """Unique template texts over all event ids, one template set."""
-    return textgen.generate(V.table(spark, sf_dir, "events"), "event_id", [TEMPLATES])
+    """Unique template texts over all event ids, all template sets."""
+    return textgen.generate(V.table(spark, sf_dir, "events"), "event_id")
 
 
-def _template_sql() -> str:
-    n = len(TEMPLATES.templates)
+def _set_sql(spec: textgen.TemplateSet) -> str:
+    n = len(spec.templates)
     pick, stride = [], n
-    for name, values in TEMPLATES.slots.items():
+    for name, values in spec.slots.items():
         pick.append((name, f"([{words(values)}])[(event_id // {stride}) % {len(values)} + 1]"))
         stride *= len(values)
-    text = f"([{words(TEMPLATES.templates)}])[event_id % {n} + 1]"
+    text = f"([{words(spec.templates)}])[event_id % {n} + 1]"
     for name, value in pick:
         text = f"replace({text}, '{{{name}}}', {value})"
     return f"""
-        SELECT substr(md5(text), 1, 12) AS id, text, 1 AS label, 'positive' AS label_name, 'en' AS lang,
+        SELECT substr(md5(text), 1, 12) AS id, text, {spec.label} AS label, '{spec.label_name}' AS label_name, '{spec.lang}' AS lang,
                'generated' AS source_type, arg_min(event_id % {n}, event_id) AS seed_template_idx
         FROM (SELECT event_id, {text} AS text FROM events) GROUP BY text"""
 
 
+def _template_sql() -> str:
+    return " UNION ALL ".join(_set_sql(s) for s in textgen.DEFAULT_SETS)
+
+
 QUERIES = {
     f.__name__: f for f in (
         news_gate, news_zones, news_dedup_hash, news_merge_dedup, ingest_tagged, headline_tagging, tag_coverage,
@@ -297,7 +298,7 @@ ORACLES = {
         FROM rows QUALIFY row_number() OVER (PARTITION BY url, datetime, ticker, headline ORDER BY f, doc_id) = 1""",
     "ingest_tagged": f"""
         WITH base AS (SELECT doc_id, {_PHRASE_SQL} AS headline, {_TS_SQL} AS stamp, lang,
-                             substr(replace(text, chr(10), ' '), 1, 500) AS body FROM documents),
+                             replace(text, chr(10), ' ') AS body FROM documents),
         rows AS (
           SELECT stamp AS datetime, {_TAG_SQL} AS ticker, headline, body, 'context' AS source
           FROM base WHERE doc_id % 3 = 0
@@ -341,7 +342,7 @@ ORACLES = {
     "distill_sample": f"""
         SELECT doc_id, label_name, CASE label_name WHEN 'positive' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS hard_int,
                md5(text) AS text_key
-        FROM ({_LABELLED}) ORDER BY md5(doc_id || '-42'), doc_id LIMIT 200""",
+        FROM ({_LABELLED}) ORDER BY md5(doc_id || '-42'), doc_id LIMIT {NlpSettings().distill_max_samples}""",
     "label_counts": f"SELECT label_name, count(*) AS n FROM ({_LABELLED}) GROUP BY 1",
     "template_generate": _template_sql(),
     "headline_mentions": f"""

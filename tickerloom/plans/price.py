@@ -53,7 +53,7 @@ def price_features(spark, sf_dir):
 def features_since(spark, sf_dir):
     """Recent feature rows computed from only the bars their windows reach."""
     recent = pf.from_date(
-        V.bars(spark, sf_dir), lambda b: pf.price_features(b, V.FEATURES), SINCE, V.FEATURES.zscore_window + 1
+        lambda first, before: V.bars(spark, sf_dir, first, before), lambda b: pf.price_features(b, V.FEATURES), SINCE, V.FEATURES.zscore_window + 1
     )
     return recent.select("ticker", "trade_date", *[rounded(c).alias(c) for c in PRICE_FEATURES])
 

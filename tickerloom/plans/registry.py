@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import adapting, fused, judging, moving, newsroom, price
+from . import adapting, fused, judging, lossless, moving, newsroom, price
 
-MODULES = (price, newsroom, fused, judging, adapting, moving)
+MODULES = (price, newsroom, fused, judging, adapting, moving, lossless)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

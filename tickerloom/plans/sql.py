@@ -91,7 +91,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN lang = 'en' THEN {hits(V.ENGLISH_WORDS.negative)}
                     WHEN lang IN ({words(V.OTHER_LANGS)}) THEN {hits(V.OTHER_WORDS.negative)} ELSE 0 END AS bad
         FROM (SELECT *, CASE WHEN doc_id % 10 <> 0 THEN source || '/' || n_chars END AS url,
-                     string_split_regex(lower(coalesce(text, '')), '[^a-z]+') AS toks FROM documents)"""),
+                     string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}]+') AS toks FROM documents)"""),
     "docs_scored": (("docs",), """
         SELECT doc_id, lang, source, url, row_hash, good / (good + bad + 1)::DOUBLE AS pos,
                bad / (good + bad + 1)::DOUBLE AS neg, 1 / (good + bad + 1)::DOUBLE AS neu FROM docs"""),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import hashlib
 import posixpath
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -42,17 +43,32 @@ class Workspace:
     def manifest(self) -> Manifest:
         return Manifest(self.spark, self.path("stage"))
 
-    def stage(self, name: str, ttl_days: float, sections: Sequence[str], build, **extra) -> DataFrame:
-        """The stage's table, built when it is missing, stale or from other settings."""
-        signature = self.settings.signature(*sections)
-        path = self.path("stage", name)
+    def stage(self, name: str, ttl_days: float, sections: Sequence[str], build, upstream: Sequence[str] = (), also: str = "") -> DataFrame:
+        """The stage's rows of this workspace's tickers.
+
+        Each ticker has its own entry in the manifest: it is built when it is missing, stale, from other settings
+        (``sections``, ``also``) or from an ``upstream`` stage's earlier run.  ``build(path, tickers)`` gets only the
+        tickers that need it, and all other tickers' rows stay on disk.
+        """
+        path, manifest = self.path("stage", name), self.manifest
+        sources = [manifest.tickers(u) for u in upstream]
+        base = self.settings.signature(*sections) + also
+        signatures = {
+            t: hashlib.md5("|".join([base, *[str(s.get(t, {}).get("completed_at")) for s in sources]]).encode()).hexdigest()
+            for t in self.tickers
+        }
         # a forced stage is rebuilt once per workspace, not on every use
         forced = (self.force or self.settings.cache.force_rerun) and name not in self.rebuilt
-        if not self.manifest.fresh(name, ttl_days, signature, forced):
-            build(path)
-            self.manifest.mark(name, signature=signature, **extra)
+        stale = [t for t, s in signatures.items() if forced or not manifest.ticker_fresh(name, t, ttl_days, s)]
+        if stale:
+            manifest.forget(name, stale)
+            folder = readers.Folder(self.spark, path)
+            for ticker in stale:  # a ticker that ends up without rows must not keep old ones
+                folder.drop_partition("ticker", ticker)
+            build(path, stale)
+            manifest.mark_tickers(name, {t: signatures[t] for t in stale})
             self.rebuilt.add(name)
-        return readers.read_by_ticker(self.spark, path)
+        return readers.read_by_ticker(self.spark, path).filter(F.col("ticker").isin(self.tickers))
 
     @property
     def tickers(self) -> list[str]:
@@ -61,7 +77,7 @@ class Workspace:
         return readers.price_tickers(self.spark, self.path("raw", "ohlcv"))
 
 
-def ingest(ws: Workspace, sources: dict[str, str], multi_line: bool = True) -> DataFrame:
+def ingest(ws: Workspace, sources: dict[str, str], multi_line: bool | None = None) -> DataFrame:
     """Tag and merge raw news files (name -> path) into ``raw/merged`` as CSV."""
     tagged = [
         N.tag_and_clean(readers.read_csv(ws.spark, path, multi_line), name, ws.settings.tag_patterns)
@@ -69,10 +85,13 @@ def ingest(ws: Workspace, sources: dict[str, str], multi_line: bool = True) -> D
     ]
     merged = N.merge_tagged(tagged)
     writers.write_csv(merged, ws.path("raw", "merged"))
+    dated = [N.tagged_only(t).select("source", "datetime") for t in tagged if "datetime" in t.columns]
+    if dated:  # what merge_tagged had to leave out
+        writers.write_json_lines(N.unreadable_dates(N.union_by_name(dated)), ws.path("reports", "unreadable_dates"))
     return merged
 
 
-def merge_master(ws: Workspace, inputs: Sequence[tuple[str, str]], multi_line: bool = True) -> DataFrame:
+def merge_master(ws: Workspace, inputs: Sequence[tuple[str, str]], multi_line: bool | None = None) -> DataFrame:
     """Merge (path, layout) inputs into the master news table, sorted by time, ticker and headline."""
     frames = []
     for order, (path, layout) in enumerate(inputs):
@@ -83,9 +102,14 @@ def merge_master(ws: Workspace, inputs: Sequence[tuple[str, str]], multi_line: b
     return master
 
 
-def clean(ws: Workspace, path: str, out: str, clean_first: bool = True) -> None:
-    """Clean one scraped CSV; rows with a wrong field count are dropped, the input stays."""
-    writers.write_csv(N.clean_scraped(readers.read_csv(ws.spark, path, strict=True), clean_first), out)
+def clean(ws: Workspace, path: str, out: str, clean_first: bool = True, limit: int | None = None) -> None:
+    """Clean one scraped CSV; rows with a wrong field count are dropped, the input stays, bodies are cut at ``limit``."""
+    writers.write_csv(N.clean_scraped(readers.read_csv(ws.spark, path, strict=True), clean_first, limit), out)
+
+
+def split_prices(ws: Workspace, path: str) -> None:
+    """Cut one many-ticker price CSV into the ticker partitions of ``raw/prices``."""
+    writers.split_master_prices(readers.read_csv(ws.spark, path), ws.path("raw", "prices"))
 
 
 def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
@@ -95,12 +119,13 @@ def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
     their scores are stored per article text and never computed twice.
     """
     opts = ws.settings
+    version, weights = newest_weights(ws)
 
-    def build(path: str) -> None:
+    def build(path: str, tickers: Sequence[str]) -> None:
         raw = readers.read_news(ws.spark, ws.path("raw", "news"))
         if raw is None:
             raise FileNotFoundError(f"no news files in {ws.path('raw', 'news')}")
-        news = prepare_news(raw, ws.tickers, [readers.FILE_ORDER, readers.ROW_ORDER])
+        news = prepare_news(raw, tickers, [readers.FILE_ORDER, readers.ROW_ORDER])
         labelled = detect_language(news, "headline", "detected_lang", opts.nlp.lang_confidence_threshold)
         if english is None:
             scored = scoring.score_by_language(labelled, "headline", "detected_lang")
@@ -109,32 +134,34 @@ def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
                 F.col("detected_lang").isin("hi", "hinglish"), (other or english)("headline"))
             scored = scoring.score_with_store(labelled, chosen, ws.path("scores"))
         daily = S.daily_sentiment(
-            scored, opts.nlp.hindi_min_articles, lang="detected_lang", weights=opts.source_weights)
+            scored, opts.nlp.hindi_min_articles, lang="detected_lang", weights=weights)
         writers.write_by_ticker(S.rolling_sentiment(daily, opts.nlp.sentiment_windows), path)
 
-    return ws.stage("sentiment", opts.cache.sentiment_ttl_days, ("nlp", "source_weights", "tickers"), build)
+    return ws.stage("sentiment", opts.cache.sentiment_ttl_days, ("nlp", "source_weights"), build, also=version)
 
 
 def features(ws: Workspace) -> DataFrame:
     """Warm price-feature rows of all tickers."""
 
-    def build(path: str) -> None:
-        bars = readers.read_prices(ws.spark, ws.path("raw", "ohlcv"), ws.tickers)
+    def build(path: str, tickers: Sequence[str]) -> None:
+        bars = N.unique_days(readers.read_prices(ws.spark, ws.path("raw", "ohlcv"), tickers))
         writers.write_by_ticker(pf.warm_rows(pf.price_features(bars, ws.settings.features)), path)
 
-    return ws.stage("features", ws.settings.cache.features_ttl_days, ("features", "tickers"), build)
+    return ws.stage("features", ws.settings.cache.features_ttl_days, ("features",), build)
 
 
 def fuse(ws: Workspace) -> DataFrame:
     """Labelled training sequences of all tickers."""
     opts = ws.settings
-    prices = features(ws)
-    manifest = ws.manifest
-    scores = readers.read_sentiment(ws.spark, ws.path("stage", "sentiment")) if manifest.read("sentiment") else None
-
-    def build(path: str) -> None:
-        table = scores
-        if table is None:  # price-only training: every ticker is uncovered and gets the neutral vector
+    all_prices = features(ws)
+    scored = ws.manifest.tickers("sentiment")
+    scores = readers.read_sentiment(ws.spark, ws.path("stage", "sentiment")) if scored else None
+
+    def build(path: str, tickers: Sequence[str]) -> None:
+        prices, table = all_prices.filter(F.col("ticker").isin(tickers)), scores
+        if table is not None:
+            table = table.filter(F.col("ticker").isin(tickers))
+        else:  # price-only training: every ticker is uncovered and gets the neutral vector
             empty = prices.select("ticker", "trade_date", *[F.lit(0.0).alias(c) for c in fusion.SENTIMENT])
             table = empty.filter(F.lit(False))
         joined = fusion.attach_sentiment(prices, table)
@@ -142,8 +169,8 @@ def fuse(ws: Workspace) -> DataFrame:
         ranked = pf.with_window_length(pf.with_atr_percentile(labelled), opts.features)
         writers.write_by_ticker(sequences.training_sequences(fusion.with_position(ranked), opts.features), path)
 
-    sections = ("features", "training", "nlp", "source_weights", "tickers")
-    return ws.stage("samples", opts.cache.fusion_ttl_days, sections, build)
+    sections = ("features", "training")
+    return ws.stage("samples", opts.cache.fusion_ttl_days, sections, build, upstream=("features", "sentiment"))
 
 
 def split_samples(ws: Workspace, bounds=None) -> DataFrame:
@@ -194,15 +221,15 @@ def evaluate(ws: Workspace, split: str = "test") -> dict[str, DataFrame]:
     return tables
 
 
-def predict(ws: Workspace) -> DataFrame:
-    """Newest labelled sample per ticker, judged and written as CSV."""
+def predict(ws: Workspace, output: str | None = None) -> DataFrame:
+    """Newest labelled sample per ticker, judged and written as CSV (to ``predictions`` unless told otherwise)."""
     model, _ = _load_model(ws)
     all_rows = sequences.flat_features(fuse(ws))
     counts = all_rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_samples"))
     newest = sequences.latest_samples(all_rows.select("ticker", "trade_date", "label", "features")).join(counts, "ticker")
-    scored = M.mc_scores(newest, model, ws.settings.model, ws.settings.seed)
+    scored = M.mc_scores(newest, model, ws.settings.model, ws.settings.seed, digits=12)  # rounded last
     out = P.judge_latest(scored, ws.settings.model.confidence_threshold).orderBy("date", "ticker")
-    writers.write_csv(out, ws.path("predictions"))
+    writers.write_csv(out, output or ws.path("predictions"))
     return out
 
 
@@ -239,7 +266,7 @@ def tier1(ws: Workspace, day: str | None = None) -> DataFrame | None:
     if not folder.has(f"{day}.json"):
         return None
     log = readers.read_prediction_log(ws.spark, folder.join(f"{day}.json"))
-    weights = current_weights(ws)
+    _, weights = newest_weights(ws, before=day)
     updates = materialize(A.update_weights(A.source_accuracy(log, "row_id"), weights, ws.settings.adaptive.tier1_decay), "tier1")
     if updates.isEmpty():
         return None
@@ -248,13 +275,21 @@ def tier1(ws: Workspace, day: str | None = None) -> DataFrame | None:
 
 
 def current_weights(ws: Workspace) -> tuple[tuple[str, float], ...]:
-    """The newest stored weights, or the configured ones."""
-    versions = readers.Folder(ws.spark, ws.path("weights")).names()
-    versions = [v for v in versions if v.startswith("version=")]
+    """The trust weights that scoring uses now."""
+    return newest_weights(ws)[1]
+
+
+def newest_weights(ws: Workspace, before: str | None = None) -> tuple[str, tuple[tuple[str, float], ...]]:
+    """Version and weights: the newest stored ones (from a day ``before`` the given one), or the configured ones.
+
+    A version's name holds the time of its last rewrite, as a rerun of a day replaces it.
+    """
+    folder = readers.Folder(ws.spark, ws.path("weights"))
+    versions = [v for v in folder.names() if v.startswith("version=") and (before is None or v < f"version={before}")]
     if not versions:
-        return ws.settings.source_weights
-    rows = ws.spark.read.parquet(ws.path("weights", versions[-1])).orderBy("ord").collect()  # one row per key
-    return tuple((r.key, r.weight) for r in rows)
+        return "", ws.settings.source_weights
+    rows = ws.spark.read.parquet(folder.join(versions[-1])).orderBy("ord").collect()  # one row per key
+    return f"{versions[-1]}@{folder.modified(versions[-1])}", tuple((r.key, r.weight) for r in rows)
 
 
 def tier2(ws: Workspace) -> str:
@@ -263,7 +298,7 @@ def tier2(ws: Workspace) -> str:
     a = ws.settings.adaptive
     recent = sequences.latest_samples(sequences.flat_features(fuse(ws)), a.tier2_nudge_days * 5)
     nudged = M.ewc_nudge(materialize(recent.select("features", "label"), "recent"), model, fisher,
-                         a.tier2_ewc_lambda, a.tier2_nudge_lr)
+                         a.tier2_ewc_lambda, a.tier2_nudge_lr, a.tier2_nudge_steps)
     return _save_model(ws, nudged, fisher)
 
 
@@ -276,7 +311,8 @@ def tier3(ws: Workspace, as_of: dt.date | None = None) -> str:
 
 def generate_data(ws: Workspace, per_label: int = 1700) -> DataFrame:
     """Labelled training texts from templates."""
-    seeds = ws.spark.range(per_label * 6).withColumnRenamed("id", "seed")
+    # keys walk all mixes of templates and slot values in order, so so many seeds hold what there is to pick
+    seeds = ws.spark.range(max(per_label * 6, max(s.mixes for s in textgen.DEFAULT_SETS))).withColumnRenamed("id", "seed")
     texts = textgen.generate(seeds, "seed", target_per_label=per_label)
     writers.write_csv(texts, ws.path("datasets", "labelled_texts"))
     return texts

@@ -46,8 +46,12 @@ def row_count(df: DataFrame):
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, first=None, before=None) -> DataFrame:
+    """Daily bars, of the days from ``first`` on and ``before`` another; both bound the scan."""
     o = table(spark, sf_dir, "orders")
+    for day, inside in ((first, lambda t, d: t >= d), (before, lambda t, d: t < d)):
+        if day is not None:
+            o = o.filter(inside(F.col("o_orderdate"), F.lit(f"{day} 00:00:00").cast(o.schema["o_orderdate"].dataType)))
     price = 100 + F.col("o_totalprice") / 50000.0
     return daily_bars(
         o, "o_orderstatus", F.to_date("o_orderdate"), price, "o_orderkey", F.sum(F.col("o_custkey") % 500 + 1)

@@ -8,9 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tickerloom", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "tickerloom", master: str | None = None, shared: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on and UTC timestamps.
 
+    ``shared``: a folder for intermediate tables that every executor sees, used where the cluster names none.
+
     Shuffle width is left to the cluster (or to ``conf``): adaptive execution
     coalesces small partitions and splits skewed join partitions at run time.
     """
@@ -26,19 +28,25 @@ def build_session(app: str = "tickerloom", master: str | None = None, **conf: st
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if shared and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return spark
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` is visible to every executor.
-    Only when the session names none (tests on one machine) is a temporary
-    folder used instead.
+    Where it is unset, a session whose executors are threads of this process gets a folder of its own;
+    any other cannot share tables, which is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tickerloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

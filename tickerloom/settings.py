@@ -102,8 +102,6 @@ class NlpSettings:
     lang_confidence_threshold: float = 0.85
     hindi_min_articles: int = 3
     sentiment_windows: tuple[int, ...] = SENTIMENT_WINDOWS
-    distill_temperature: float = 4.0
-    distill_alpha: float = 0.7
     distill_max_samples: int = 5000
 
 
@@ -151,6 +149,7 @@ class AdaptiveSettings:
     tier2_ewc_lambda: float = 400.0
     tier2_nudge_days: int = 5
     tier2_nudge_lr: float = 1e-5
+    tier2_nudge_steps: int = 5
     tier3_window_years: int = 3
 
 
@@ -159,7 +158,6 @@ class CacheSettings:
     force_rerun: bool = False
     sentiment_ttl_days: float = 1
     features_ttl_days: float = 7
-    splits_ttl_days: float = 30
     fusion_ttl_days: float = 7
 
 
@@ -176,7 +174,7 @@ class Settings:
     cache: CacheSettings = field(default_factory=CacheSettings)
     source_weights: tuple[tuple[str, float], ...] = SOURCE_WEIGHTS
     tag_patterns: tuple[tuple[str, str], ...] = TAG_PATTERNS
-    tickers: tuple[str, ...] | None = TICKER_LISTS["final_15"]
+    tickers: tuple[str, ...] | None = None  # all that have prices
 
     def signature(self, *sections: str) -> str:
         """Stable hash of the named sections (all fields that shape the data)."""

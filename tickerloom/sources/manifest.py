@@ -47,6 +47,25 @@ class Manifest:
         except Exception as exc:
             print(f"[cache] could not write the sidecar of {output}: {exc}")
 
+    def tickers(self, output: str) -> dict[str, dict]:
+        """Of each ticker in the output: signature and time of its last build."""
+        return self.read(output).get("tickers", {})
+
+    def ticker_fresh(self, output: str, ticker: str, ttl_days: float, signature: str, now: float | None = None) -> bool:
+        entry = self.tickers(output).get(ticker)
+        if not entry or entry["signature"] != signature or not self._folder.has(output):
+            return False
+        done = dt.datetime.fromisoformat(entry["completed_at"]).timestamp()
+        return ((time.time() if now is None else now) - done) / 86400.0 <= ttl_days
+
+    def forget(self, output: str, tickers: list[str]) -> None:
+        self.mark(output, tickers={t: e for t, e in self.tickers(output).items() if t not in tickers})
+
+    def mark_tickers(self, output: str, signatures: dict[str, str]) -> None:
+        now = dt.datetime.now(dt.timezone.utc).isoformat()
+        fresh = {t: {"signature": s, "completed_at": now} for t, s in signatures.items()}
+        self.mark(output, tickers={**self.tickers(output), **fresh})
+
     def read(self, output: str) -> dict:
         """The sidecar's content; empty when missing or unreadable."""
         name = output + SUFFIX

@@ -23,6 +23,7 @@ class Folder:
         self._path = jvm.org.apache.hadoop.fs.Path(path)
         self._new = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._utils = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         self.path = path
 
     def names(self, suffix: str = "") -> list[str]:
@@ -40,14 +41,27 @@ class Folder:
     def join(self, name: str) -> str:
         return posixpath.join(self.path, name)
 
+    def drop_partition(self, column: str, value: str) -> None:
+        """Remove the folder of one partition value, if there."""
+        name = self._utils.getPartitionPathString(column, value)
+        self._fs.delete(self._new(self._path, name), True)
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True, strict: bool = False) -> DataFrame:
+
+def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether some quoted field runs over a line end: then a line holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None, strict: bool = False) -> DataFrame:
     """A CSV table with every column as text.
 
     ``strict`` drops rows whose field count differs from the header's.  Quoted
-    line breaks need ``multi_line``, which reads each file in one piece; turn it
-    off for large files without such breaks so that they are split.
+    line breaks need ``multi_line``, which reads each file in one piece; by
+    default the files are looked through for such breaks and split where there are none.
     """
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
     reader = (
         spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
         .option("multiLine", multi_line).option("maxCharsPerColumn", -1).option("encoding", "UTF-8")
@@ -78,13 +92,14 @@ def news_files(spark: SparkSession, folder: str, master: str = MASTER_NEWS, skip
     return [n for n in names if not (skip_prefix and n.startswith(skip_prefix))]
 
 
-def read_news(spark: SparkSession, folder: str, master: str = MASTER_NEWS, multi_line: bool = True) -> DataFrame | None:
+def read_news(
+    spark: SparkSession, folder: str, master: str = MASTER_NEWS, multi_line: bool | None = None, skip_prefix: str = "",
+) -> DataFrame | None:
     """All news files of a folder unioned by column name, with row positions; None without files."""
     frames = []
-    for i, name in enumerate(news_files(spark, folder, master)):
+    for i, name in enumerate(news_files(spark, folder, master, skip_prefix)):
         try:
-            # the master's texts carry no line breaks, so its parts can be split
-            raw = read_csv(spark, posixpath.join(folder, name), multi_line and name != master)
+            raw = read_csv(spark, posixpath.join(folder, name), multi_line)  # one rule, whatever the file's name
         except Exception as exc:  # an unreadable file is reported and left out
             print(f"[skip] {name}: {exc}")
             continue
@@ -121,7 +136,7 @@ def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> Dat
 
 
 def _open_prices(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
-    return spark.read.parquet(*paths) if kind == "parquet" else read_csv(spark, paths, multi_line=False)
+    return spark.read.parquet(*paths) if kind == "parquet" else read_csv(spark, paths)
 
 
 def read_by_ticker(spark: SparkSession, path: str) -> DataFrame:
@@ -180,3 +195,8 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
     """md5 per file of a folder or glob, one task per file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.md5("content").alias("md5"))
+
+
+def read_split_table(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split of the samples written by ``write_split_tables``; only its folder is read."""
+    return spark.read.parquet(path).filter(F.col("split") == split)

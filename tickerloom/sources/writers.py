@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_suffixes
 from ..operators.normalize import rename_exact
 
+# --- fixed values: headers of the many-ticker price file ---
 TITLE_NAMES = {"Date": "date", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
+# --- end of fixed values ---
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -21,12 +23,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_by_ticker(df: DataFrame, path: str, order: str = "trade_date", mode: str = "overwrite") -> None:
     """Parquet partitioned by ticker, sorted by date inside each file.
 
+    ``overwrite`` replaces the tickers that ``df`` holds; others stay as they are.
+
     The range exchange on (ticker, date) cuts a dominant ticker into several
     date ranges, so its partition is written by several tasks.
     """
-    df.repartitionByRange("ticker", order).sortWithinPartitions("ticker", order).write.mode(mode).partitionBy(
-        "ticker"
-    ).parquet(path)
+    df.repartitionByRange("ticker", order).sortWithinPartitions("ticker", order).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("ticker").parquet(path)
 
 
 def split_master_prices(raw: DataFrame, path: str, suffixes: tuple[str, ...] = (".NS", ".BO")) -> None:
@@ -52,5 +56,5 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_weights(weights: DataFrame, path: str, version: str) -> None:
-    """A new version of the trust weights; earlier versions stay."""
-    weights.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(path)
+    """The trust weights of one version, replacing an earlier run of that version; other versions stay."""
+    weights.write.mode("overwrite").parquet(f"{path}/version={version}")

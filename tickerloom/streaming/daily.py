@@ -7,14 +7,15 @@ days are recomputed from the day-level tables, which are small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sentiment import class_means
 from ..settings import MARKET_CLOSE_SECONDS
+from ..sources.readers import Folder
 
 
 GATE_TIME = "_gate_time"
@@ -67,9 +68,40 @@ def latest_state(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     return written.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
 
 
-def run_on_new_data(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Recompute row-window stages per micro-batch of changed days."""
+def add_by_batch(articles: DataFrame, path: str, checkpoint: str, published: str = "pub_dt", zone: str = "UTC", **options) -> StreamingQuery:
+    """Class sums of each micro-batch of articles, appended; :func:`summed` adds them up.
+
+    The sums of a trading date are additive, so an article counts whenever it comes: there is no watermark, no state and
+    nothing is too late.  A replayed batch overwrites its own folder.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        timed = with_gate_time(batch, published, zone).withColumn("trade_date", gate_day(GATE_TIME))
+        class_means(timed, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        articles.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def _newest(folder: Folder, kind: str) -> int:
+    found = [int(n.split("=")[1]) for n in folder.names() if n.startswith(f"{kind}=")]
+    return max((i for i in found if folder.has(f"{kind}={i}/_SUCCESS")), default=-1)
+
+
+def summed(spark: SparkSession, path: str) -> DataFrame:
+    """The sums per (ticker, trade_date) of all batches at ``path``."""
+    folder = Folder(spark, path)
+    base, last = _newest(folder, "base"), _newest(folder, "batch")
+    parts = [f"base={base}"] if base >= 0 else []
+    parts += [f"batch={i}" for i in range(base + 1, last + 1) if folder.has(f"batch={i}/_SUCCESS")]
+    rows = spark.read.parquet(*[folder.join(p) for p in parts])
+    keys = ("ticker", "trade_date")
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold all batches so far into one table keyed by day; later reads start from it."""
+    last = _newest(Folder(spark, path), "batch")
+    if last > _newest(Folder(spark, path), "base"):
+        summed(spark, path).write.mode("overwrite").parquet(f"{path}/base={last}")
