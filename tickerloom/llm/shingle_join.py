@@ -6,9 +6,12 @@ under several orders. The orders put rare tokens first: how often a token occurs
 over all documents; ties are broken by a different hash per order. The first order finds candidates, the others filter them
 before the sets are fetched and compared exactly.
 
-Copies (equal sets) are one node. In a group of documents with a common prefix token not all pairs are compared: first every
-document meets the group's leader nearest to it; when those links are known, only pairs in different components are left,
-and those are all compared. Components therefore lose no link, while a group of near copies costs about one comparison each.
+Copies (equal sets) are one node. Candidates with a common prefix token are gathered into flocks: documents of a token that
+few share are paired where their sizes and the token's places allow the similarity; those of a token that many share are
+all tied to one of them. The components of these ties hold every linked pair. Within a flock the sets are compared in
+memory, through an index of the prefixes under all orders; a large flock is cut into blocks, and each pair of blocks is one
+group. Pairs that are connected already are skipped, so components lose no link, and a group of copies with small edits costs
+about one comparison each.
 
 Cases: NULL and empty texts have an empty set and are linked with nothing; texts shorter than a shingle are one shingle;
 equal rows are copies; rows without an id are given back unlinked; an id that occurs twice is one document, with its rows' sets
@@ -30,50 +33,57 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, coded, keyed, mixed, out_batch, split_words, steps, stored, table, word_hashes
 from .components import components
 
-#: Counters of the sketch, of one of its pieces, and largest count kept.
-CELLS, PIECE, MOST = 1 << 21, 1 << 14, 65535
+#: Counters of the sketch, of one of its pieces, and largest count of a task kept.
+CELLS, PIECE, MOST = 1 << 23, 1 << 15, 65535
 ORDERS = 3
+#: Documents of a block of a large flock; documents that share a token and are still paired one by one.
+BLOCK, HOT = 512, 64
+#: Bytes of texts worked on at once; a word takes about a hundred bytes of working arrays.
+STEP = 4 << 20
 #: Candidate ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle hash) of all texts, ordered."""
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
     words, rows = split_words(texts)
+    sizes = np.bincount(rows, minlength=len(texts))
+    starts = np.cumsum(sizes) - sizes
     if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * len(texts)
     ids, distinct = coded(words)
     h = word_hashes(distinct)[ids]
-    sizes = np.bincount(rows, minlength=len(texts))
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(rows)) - starts[rows]
+    del words, ids, distinct
     out = np.zeros(len(h), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            part = np.zeros(len(h), np.uint64)
-            part[:len(h) - k] = h[k:]
-            use = place + k < sizes[rows]  # short texts: the whole sequence
-            out = np.where(use, mixed(out + part, k + 1), mixed(out, 77))
-    keep = (place + n <= sizes[rows]) | ((place == 0) & (sizes[rows] < n))
-    rows, out = rows[keep], out[keep]
-    order = np.lexsort((out, rows))
-    rows, out = rows[order], out[order]
-    first = np.concatenate(([True], (rows[1:] != rows[:-1]) | (out[1:] != out[:-1])))
-    return rows[first], out[first]
-
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in steps(batches):
-        rows, tokens = shingle_sets(batch.column("text"), n)
-        yield batch, rows, tokens, np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        for k in range(n):  # beyond the end of its text a shingle is not used, or is the short text as a whole
+            out[:len(h) - k] += h[k:] * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) & 0x7FFFFFFFFFFFFFFF) + 1)
+        for i in np.flatnonzero((sizes > 0) & (sizes < n)):
+            own = h[starts[i]:starts[i] + sizes[i]]
+            out[starts[i]] = np.uint64(sizes[i])
+            for k in range(len(own)):
+                out[starts[i]] += own[k] * np.uint64(2 * (0x9E3779B97F4A7C15 * (k + 1) & 0x7FFFFFFFFFFFFFFF) + 1)
+    out = mixed(out)
+    sets = []
+    for lo, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        own = np.sort(out[lo:lo + (max(1, size - n + 1) if size else 0)])
+        sets.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if size else own)
+    return sets
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in steps(batches, limit=STEP):
+        yield batch, shingle_sets(batch.column("text"), n)
 
 
 def outline_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of each document the size and a 128-bit mark of its set; of each task the sketch of its tokens, in packed pieces."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark1", pa.int64()), ("mark2", pa.int64()), ("piece", pa.int32()), ("data", pa.binary())])
-    sketch = np.zeros(CELLS, np.int64)
-    for batch, rows, tokens, cut in _sets(batches, n):
-        sketch += np.bincount((mixed(tokens, 50) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    sketch = np.zeros(CELLS, np.uint32)
+    for batch, sets in _sets(batches, n):
+        tokens = np.concatenate(sets)
+        cut = np.cumsum([0, *map(len, sets)])
+        np.add.at(sketch, (mixed(tokens, 50) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
         marks = []
         with np.errstate(over="ignore"):
             for seed in (60, 61):
@@ -83,11 +93,11 @@ def outline_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Re
         yield out_batch(
             schema, doc_id=batch.column("doc_id"), n=np.diff(cut), mark1=marks[0], mark2=marks[1], piece=pa.nulls(size, pa.int32()), data=pa.nulls(size, pa.binary()),
         )
-    pieces = np.minimum(sketch, MOST).astype(np.uint16).reshape(-1, PIECE)
+    pieces = sketch.reshape(-1, PIECE)
     some = np.flatnonzero(pieces.any(axis=1))
     pack = zstandard.ZstdCompressor(level=1)
     none = pa.nulls(len(some), pa.int64())
-    yield out_batch(schema, doc_id=none, n=none, mark1=none, mark2=none, piece=some.astype(np.int32), data=[pack.compress(pieces[i].tobytes()) for i in some])
+    yield out_batch(schema, doc_id=none, n=none, mark1=none, mark2=none, piece=some.astype(np.int32), data=[pack.compress(np.minimum(pieces[i], MOST).astype(np.uint16).tobytes()) for i in some])
 
 
 def _summed(rows: pa.Table) -> pa.Table:
@@ -120,31 +130,32 @@ def prefix_length(n, t: Fraction):
 
 
 def prefix_batches(batches: Iterator[pa.RecordBatch], n: int, t: Fraction, order) -> Iterator[pa.RecordBatch]:
-    """Of each document the prefix under the first order, packed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("prefix", pa.list_(pa.int64()))])
-    ranks = order.value
-    for batch, rows, tokens, cut in _sets(batches, n):
-        rank = ranks.ranks(tokens, 0)
-        turn = np.lexsort((rank, rows))
-        sorted_ = rank[turn].view(np.int64)
-        sizes = np.diff(cut)
-        take = np.where(sizes > 0, prefix_length(sizes, t), 0)
-        at = np.repeat(cut[:-1] - np.cumsum(take) + take, take) + np.arange(int(take.sum()))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(sorted_[at]))
-        yield out_batch(schema, doc_id=batch.column("doc_id"), prefix=lists)
+    """Of each document the prefix under the first order, and short codes of those under the others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(f"codes{k}", pa.list_(pa.int32())) for k in range(1, ORDERS)]])
+    for batch, sets in _sets(batches, n):
+        lists = {}
+        for k in range(ORDERS):
+            prefixes = [prefix_of(order.value, own, k, t) for own in sets]
+            flat = np.concatenate(prefixes)
+            flat = (flat >> np.uint64(20)).astype(np.uint32).view(np.int32) if k else flat.view(np.int64)
+            lists[f"codes{k}" if k else "prefix"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat))
+        yield out_batch(schema, doc_id=batch.column("doc_id"), **lists)
+
+
+def prefix_of(order: Order, tokens: np.ndarray, k: int, t: Fraction) -> np.ndarray:
+    """The first tokens of a set under order ``k``, as ranks."""
+    if not len(tokens):
+        return tokens
+    take = prefix_length(len(tokens), t)
+    return np.sort(np.partition(order.ranks(tokens, k), take - 1)[:take])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], n: int, t: Fraction, order) -> Iterator[pa.RecordBatch]:
-    """Of each document its sorted set and its prefixes under the other orders, packed."""
+    """Of each document its sorted set and its prefixes under all orders, packed."""
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary()), ("prefixes", pa.binary())])
-    for batch, _, tokens, cut in _sets(batches, n):
-        sets, prefixes = [], []
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            own = tokens[lo:hi]
-            sets.append(own.tobytes())
-            take = prefix_length(len(own), t) if len(own) else 0
-            prefixes.append(b"".join(np.sort(np.partition(order.value.ranks(own, k), take - 1)[:take]).tobytes() for k in range(1, ORDERS)) if take else b"")
-        yield out_batch(schema, doc_id=batch.column("doc_id"), tokens=sets, prefixes=prefixes)
+    for batch, sets in _sets(batches, n):
+        prefixes = [b"".join(prefix_of(order.value, own, k, t).tobytes() for k in range(ORDERS)) for own in sets]
+        yield out_batch(schema, doc_id=batch.column("doc_id"), tokens=[own.tobytes() for own in sets], prefixes=prefixes)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -154,23 +165,52 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def verify_batches(batches: Iterator[pa.RecordBatch], t: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs that share prefix tokens under all other orders and are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for batch in batches:
-        ok = np.zeros(batch.num_rows, bool)
-        cols = [batch.column(c) for c in ("tokens_a", "tokens_b", "prefixes_a", "prefixes_b")]
-        for i in range(batch.num_rows):
-            x, y, p, q = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in cols)
-            p, q = p.reshape(ORDERS - 1, -1), q.reshape(ORDERS - 1, -1)
-            ok[i] = all(_common(p[k], q[k]) for k in range(ORDERS - 1)) and _common(x, y) >= least_common(len(x), len(y), t)
-        keep = pa.array(ok)
-        yield out_batch(schema, a=batch.column("a").filter(keep), b=batch.column("b").filter(keep))
-
-
-def similar(a: str, b: str, t: Fraction) -> Column:
-    """Sizes allow the similarity."""
-    return F.expr(f"least({a}, {b}) * {t.denominator} >= greatest({a}, {b}) * {t.numerator}")
+class Sets:
+    """Some documents' sets and prefixes, unpacked."""
+
+    def __init__(self, tokens, prefixes):
+        self.tokens = [np.frombuffer(v.as_buffer(), np.uint64) for v in tokens]
+        self.prefixes = [np.frombuffer(v.as_buffer(), np.uint64).reshape(ORDERS, -1) for v in prefixes]
+
+    def linked(self, i: int, other: Sets, j: int, t: Fraction) -> bool:
+        """Whether two sets share prefix tokens under every order and are similar enough."""
+        x, y = self.tokens[i], other.tokens[j]
+        need = least_common(len(x), len(y), t)
+        if need > min(len(x), len(y)) or not all(_common(self.prefixes[i][k], other.prefixes[j][k]) for k in range(ORDERS)):
+            return False
+        return _common(x, y) >= need
+
+
+def compared(rows: pa.Table, t: Fraction) -> pa.Table:
+    """Links that connect the documents of one or two blocks, found through an index of their prefix tokens.
+
+    Documents connected by a link found here are not compared again.
+    """
+    rows = rows.combine_chunks().sort_by("doc_id")
+    ids, block = rows.column("doc_id").to_pylist(), rows.column("block").to_pylist()
+    crossed = rows.num_rows > 0 and rows.column("one")[0] != rows.column("two")[0]
+    sets = Sets(rows.column("tokens"), rows.column("prefixes"))
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    postings: dict[int, list[int]] = {}
+    a, b = [], []
+    for i in range(len(ids)):
+        tokens = sets.prefixes[i][0].tolist() if len(sets.prefixes[i][0]) else []
+        for j in sorted(set().union(*[postings.get(x, ()) for x in tokens])):
+            if (crossed and block[i] == block[j]) or find(i) == find(j):
+                continue
+            if sets.linked(i, sets, j, t):
+                a.append(ids[j])
+                b.append(ids[i])
+                root[find(i)] = find(j)
+        for x in tokens:
+            postings.setdefault(x, []).append(i)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 class JaccardJoin:
@@ -186,7 +226,7 @@ class JaccardJoin:
         self.outline = outline.where("piece IS NULL").select("doc_id", "n", "mark1", "mark2")
         levels = np.zeros((CELLS // PIECE, PIECE), np.uint8)
         unpack = zstandard.ZstdDecompressor()
-        for r in outline.where("piece IS NOT NULL").select("piece", "data").groupBy("piece").applyInArrow(_summed, "piece int, data binary").toLocalIterator():
+        for r in outline.where("piece IS NOT NULL").select("piece", "data").groupBy("piece").applyInArrow(_summed, "piece int, data binary").collect():
             levels[r.piece] = np.frombuffer(unpack.decompress(bytes(r.data)), np.uint8)
         self.order = self.spark.sparkContext.broadcast(Order(levels.ravel()))  # of fixed size
         named = self.outline.where("doc_id IS NOT NULL AND n > 0")
@@ -196,46 +236,47 @@ class JaccardJoin:
         """``a, b``: enough links between different sets to connect all that are connected by links."""
         t, order, shingle = self.t, self.order, self.shingle
         nodes = self.members.where("doc_id = node").select("doc_id", "n").distinct()
-        prefix = self.docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: prefix_batches(it, shingle, t, order), "doc_id long, prefix array<long>")
-        own = prefix.join(nodes, "doc_id").select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
-        tokens = own.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("place", "n", "doc_id")).alias("lead")).where("k > 1").drop("k")
-        groups = stored(own.join(tokens, "token").select("token", "doc_id", "n", "place", "lead"), "shingle-groups")
-        ids = groups.select("doc_id").distinct()
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        sets = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(
+        codes = [f"codes{k}" for k in range(1, ORDERS)]
+        columns = ", ".join(["doc_id long, prefix array<long>", *[f"{c} array<int>" for c in codes]])
+        prefix = self.docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: prefix_batches(it, shingle, t, order), columns)
+        prefix = stored(prefix.join(self._small(nodes), "doc_id"), "shingle-prefixes")
+        own = prefix.select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
+        tokens = own.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("place", "doc_id")).alias("lead")).where("k > 1")
+        shared = stored(own.join(tokens, "token").select("token", "doc_id", "n", "place", "k", F.col("lead.doc_id").alias("leader")), "shingle-shared")
+        near = shared.where(f"k > {HOT}").where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+        cold = shared.where(f"k <= {HOT}").select("token", "doc_id", "n", "place")
+        x, y = cold.alias("x"), cold.alias("y")
+        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & self._possible())
+        pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        for end in "ab":  # what the other orders say about both documents
+            pairs = pairs.join(prefix.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}{end}") for c in codes]), end)
+        for c in codes:
+            pairs = pairs.where(F.arrays_overlap(f"{c}a", f"{c}b"))
+        edges = near.distinct().union(pairs.select("a", "b"))
+        flock = stored(components(edges), "shingle-flocks")
+
+        sets = self.docs.join(self._small(flock.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(
             lambda it: set_batches(it, shingle, t, order), "doc_id long, tokens binary, prefixes binary",
         )
-        sets = stored(sets, "shingle-sets")
-
-        near = groups.where("lead.doc_id <> doc_id").where(similar("n", "lead.n", t))
-        first = near.groupBy("doc_id").agg(F.min("lead").alias("lead")).select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        found = stored(self._verified(first, sets), "shingle-links")
-        part = components(found)
-        placed = groups.join(part, groups["doc_id"] == part["node"], "left").select(
-            "token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"),
+        blocks = flock.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = flock.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+            F.col("node").alias("doc_id"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
+        )
+        met = dealt.join(sets, "doc_id").groupBy("component", "one", "two")
+        return met.applyInArrow(lambda table: compared(table, t), "a long, b long")
+
+    def _small(self, ids: DataFrame) -> DataFrame:
+        """Marked for a broadcast if its rows are counted and few."""
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    def _possible(self) -> Column:
+        """Sizes allow the similarity, and so does what stands before and after the common token in both orders."""
+        up, down = self.t.numerator, self.t.denominator
+        most = "least(x.place, y.place) + least(x.n - x.place, y.n - y.place)"
+        return F.expr(
+            f"least(x.n, y.n) * {down} >= greatest(x.n, y.n) * {up} AND ({most}) * {up + down} >= {up} * (x.n + y.n)",
         )
-        mixed_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        left = placed.join(mixed_, "token")
-        packed = left.select("doc_id").distinct().join(prefix, "doc_id").dropDuplicates(["doc_id"])
-        left = stored(left.join(packed, "doc_id"), "shingle-left")
-        x, y = left.alias("x"), left.alias("y")
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-                     & similar("x.n", "y.n", t)
-                     & (F.element_at(F.array_intersect("x.prefix", "y.prefix"), 1) == F.col("x.token"))  # once per pair
-                     & self._reach())
-        more = self._verified(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), sets)
-        return found.union(more)
-
-    def _reach(self):
-        """Position filter: what follows the first common token suffices for the similarity."""
-        need = f"ceil({self.t.numerator} * (x.n + y.n) / {self.t.numerator + self.t.denominator})"
-        return F.expr(f"least(x.n - x.place, y.n - y.place) >= {need} - 1e-9")
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"), F.col("prefixes").alias("prefixes_a"))
-        two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"), F.col("prefixes").alias("prefixes_b"))
-        t = self.t
-        return pairs.join(one, "a").join(two, "b").mapInArrow(lambda it: verify_batches(it, t), "a long, b long")
 
     def joined(self) -> DataFrame:
         """``doc_id, n_shingles, component_id`` of every row."""
