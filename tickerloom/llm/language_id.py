@@ -117,7 +117,8 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     """Train on at most ``sample`` labelled rows; the driver gets at most ``buckets`` numbers for each."""
     bounded_batches(rows.sparkSession)
     own = keyed(rows, key, text, F.col(f"`{lang}`").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    picked = own.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample).select("text", "lang")
+    ids = own.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    picked = own.join(F.broadcast(ids), "doc_id").select("text", "lang")  # at most ``sample`` ids; the texts stay where they are
     got = picked.mapInArrow(lambda it: sums_batches(it, buckets), "lang string, bucket binary, n binary").collect()
     return train(sorted(((r.lang, np.frombuffer(r.bucket, np.int32), np.frombuffer(r.n, np.float32)) for r in got), key=lambda r: (r[0], len(r[1]), float(r[2].sum()))), buckets)
 
