@@ -34,7 +34,7 @@ from .common import bounded_batches, coded, keyed, mixed, out_batch, split_words
 from .components import components
 
 #: Counters of the sketch, of one of its pieces, and largest count of a task kept.
-CELLS, PIECE, MOST = 1 << 23, 1 << 15, 65535
+CELLS, PIECE, MOST = 1 << 24, 1 << 16, 65535
 ORDERS = 3
 #: Documents of a block of a large flock; documents that share a token and are still paired one by one.
 BLOCK, HOT = 512, 64
@@ -263,7 +263,7 @@ class JaccardJoin:
         dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
             F.col("node").alias("doc_id"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
         )
-        met = dealt.join(sets, "doc_id").groupBy("component", "one", "two")
+        met = sets.join(self._small(dealt), "doc_id").groupBy("component", "one", "two")
         return met.applyInArrow(lambda table: compared(table, t), "a long, b long")
 
     def _small(self, ids: DataFrame) -> DataFrame:
