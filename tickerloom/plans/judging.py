@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
@@ -52,13 +55,29 @@ def eval_per_ticker(spark, sf_dir):
         "ticker", "n_active", *_r("accuracy", "macro_f1", "abstention_rate"))
 
 
+# Section of the report -> (columns as stored, expression of the item, measures).
+SECTIONS = {
+    "overall": ("n_total long, " + ", ".join(f"{m} double" for m in METRICS), "'all'", METRICS),
+    "confidence_tiers": ("sigma double, accuracy double", "CAST(CAST(round(sigma * 10) AS INT) AS STRING)", ("accuracy",)),
+    "per_ticker": ("ticker string, accuracy double, macro_f1 double, abstention_rate double", "ticker", ("accuracy", "macro_f1", "abstention_rate")),
+    "rolling_series": ("row_id long, accuracy double", "CAST(row_id AS STRING)", ("accuracy",)),
+    "rolling_summary": ("rolling_min double, rolling_max double, rolling_mean double", "'all'", ("rolling_min", "rolling_max", "rolling_mean")),
+    "reliability": ("bin_mid double, accuracy double", "CAST(CAST(round(bin_mid * 100) AS INT) AS STRING)", ("accuracy",)),
+    "calibration": ("ece double", "'all'", ("ece",)),
+    "confusion": ("tp double, fp double, tn double, fn double", "'all'", ("tp", "fp", "tn", "fn")),
+}
+
+
 def report_json(spark, sf_dir):
-    """The per-ticker section after the whole report went through its JSON sink."""
+    """Every value of every section after the whole report went through its JSON sink."""
     path = shared_folder(spark, "report")
     writers.write_report(E.report_tables(V.eval_rows(spark, sf_dir), "test"), path)
-    schema = "ticker string, n_active long, accuracy double, macro_f1 double, abstention_rate double"
-    return spark.read.schema(schema).json(f"{path}/per_ticker").select(
-        "ticker", "n_active", *_r("accuracy", "macro_f1", "abstention_rate"))
+    out = []
+    for name, (schema, item, measures) in SECTIONS.items():
+        rows = spark.read.schema(schema).json(f"{path}/{name}")
+        pairs = F.array(*[F.struct(F.lit(m).alias("measure"), rounded(m, 9).alias("value")) for m in measures])
+        out.append(rows.select(F.lit(name).alias("section"), F.expr(item).alias("item"), F.inline(pairs)))
+    return reduce(DataFrame.union, out)
 
 
 def _rolling(days):
@@ -169,9 +188,6 @@ ORACLES = {
     "eval_per_ticker": with_views("judged", f"""
         SELECT ticker, n_active, {r6_all(('accuracy', 'macro_f1', 'abstention_rate'))}
         FROM ({_metrics('ticker')}) WHERE n_active > 0"""),
-    "report_json": with_views("judged", f"""
-        SELECT ticker, n_active, {r6_all(('accuracy', 'macro_f1', 'abstention_rate'))}
-        FROM ({_metrics('ticker')}) WHERE n_active > 0"""),
     "eval_rolling30": with_views("judged", f"""
         SELECT trade_date, row_id, {r6('accuracy', 12)} AS accuracy FROM ({_rolling_sql(30)})"""),
     "eval_rolling5": with_views("judged", f"""
@@ -192,3 +208,19 @@ ORACLES = {
         SELECT epoch, {r6('loss')} AS loss FROM ({_HISTORY}) AS h(epoch, l, accuracy), (SELECT 1)
         ORDER BY l, epoch LIMIT 1""".replace("round(loss", "round(l")),
 }
+
+_SECTION_SQL = {
+    "overall": _metrics(""), "confidence_tiers": """
+        SELECT sigma, avg(CASE WHEN (prob >= 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+        FROM chosen, (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]) AS sigma),
+             (SELECT avg(variance) AS m, stddev_samp(variance) AS s FROM chosen)
+        WHERE variance <= m + sigma * s GROUP BY 1""",
+    "per_ticker": f"SELECT * FROM ({_metrics('ticker')}) WHERE n_active > 0", "rolling_series": _rolling_sql(30),
+    "rolling_summary": f"SELECT min(accuracy) AS rolling_min, max(accuracy) AS rolling_max, avg(accuracy) AS rolling_mean FROM ({_rolling_sql(30)})",
+    "reliability": f"SELECT mid AS bin_mid, accuracy FROM ({_REL})",
+    "calibration": f"SELECT sum(n * abs(accuracy - mean_confidence)) / (SELECT count(*) FROM judged WHERE NOT abstained) AS ece FROM ({_REL})",
+    "confusion": f"SELECT tp, fp, tn, fn FROM (SELECT {_COUNTS} FROM judged)",
+}
+ORACLES["report_json"] = with_views("judged", " UNION ALL ".join(
+    f"SELECT '{name}' AS section, {item} AS item, '{m}' AS measure, {r6(m, 9)} AS value FROM ({_SECTION_SQL[name]})"
+    for name, (_, item, measures) in SECTIONS.items() for m in measures))
