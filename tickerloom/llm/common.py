@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Bytes of text that one Python step works on; a single longer text is a step of its own.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 6 << 20
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = 16 << 20
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.

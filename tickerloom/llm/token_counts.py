@@ -73,7 +73,7 @@ def count_batches(batches: Iterator[pa.RecordBatch], path: str, limit: int) -> I
     tokenizer.no_padding()
     first: dict[str, int] = {}  # at the start of a text
     later: dict[str, int] = {}  # after a space
-    for batch in steps(batches, limit=2 * STEP_BYTES):
+    for batch in steps(batches, limit=4 * STEP_BYTES):
         texts = batch.column("text")
         pieces, counts = safe_pieces(texts)
         ids, distinct = coded(pieces)
