@@ -161,3 +161,37 @@ def test_events_depend_on_the_word_alone():
     of = many.word == 1
     assert sorted(zip(one.bit.tolist(), map(tuple, one.slot.tolist()), strict=True)) == sorted(zip(many.bit[of].tolist(), map(tuple, many.slot[of].tolist()), strict=True))
     assert (many.word == 3).sum() == 8
+
+
+def test_contexts_are_counted_exactly_over_shards(spark):
+    """Path sums equal brute-force counts of all words, whatever the number of shards; long words count as well."""
+    rng = np.random.default_rng(4)
+    words = sorted({"".join(rng.choice(list("abcé"), rng.integers(1, 7))) for _ in range(400)} | {"a" * 300, "", "ab\x01"})
+    rows = [(w, int(n)) for w, n in zip(words, rng.integers(0, 5, len(words)), strict=True)]
+    weight = {w.encode() + b" ": round((1 + math.log2(n)) * 1024) / 1024 for w, n in rows if n}
+    want = collections.Counter()
+    for w, x in weight.items():
+        for at in range(len(w)):
+            for context in {0: w[:at]} | {k: (k, w[max(0, at - k):at], at < k) for k in (1, 2, 3, 4)}, :
+                for k, c in context.items():
+                    for bits in range(9):
+                        want[k, c, bits, w[at] >> bits] += x
+    counts = spark.createDataFrame(rows, "word string, c long")
+    fits = []
+    for shards in (1, 5):
+        table = cm.sharded(counts, shards, 4)
+        packed = pa.Table.from_pylist([r.asDict() for r in table.collect()], schema=cm.GATHERED)
+        seen = 0
+        for found, trie, sums in cm.opened(iter(packed.to_batches()), 4):
+            texts = [w.encode() + b" " for w in found.column("word").to_pylist()]
+            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            for i in range(len(trie.node)):
+                w, at = texts[trie.owner[i]], i - starts[trie.owner[i]]
+                for p, k in enumerate((1, 2, 3, 4, 0)):
+                    c = (k, w[max(0, at - k):at], at < k) if k else w[:at]
+                    got = sums[p][:, trie.node[i]]
+                    assert all(abs(got[bits] - want[k, c, bits, w[at] >> bits]) < 1e-2 for bits in range(9))
+            seen += len(texts)
+        assert seen == len(words)
+        fits.append(cm.fitted(table, 4))
+    assert np.allclose(fits[0].weights, fits[1].weights) and np.allclose(fits[0].map, fits[1].map)
