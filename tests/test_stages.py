@@ -362,3 +362,21 @@ def test_seeded_shuffle_is_repeatable(spark):
 
     a, b = ([r.id for r in seeded_shuffle(spark.range(50), "id").collect()] for _ in range(2))
     assert a == b and sorted(a) == list(range(50)) and a != list(range(50))
+
+
+def test_prediction_log_in_part_files_keeps_its_order(spark, tmp_path):
+    """Parts are written against the order of the ids; the trust fold still follows the ids, over all rows."""
+    from tickerloom.operators import adaptive as A
+
+    rows = [(i, None if i % 5 == 4 else f"reuters {i % 5}", None if i % 7 == 0 else i % 3 != 0) for i in range(1500)]
+    log = spark.createDataFrame(rows, "row_id long, source string, correct boolean").repartitionByRange(6, F.desc("row_id"))
+    path = str(tmp_path / "2024-01-02.json")
+    writers.write_prediction_log(log, path)
+    assert len(readers.Folder(spark, path).names(".json")) == 6
+    got = readers.read_prediction_log(spark, path)
+    assert sorted(map(tuple, got.select("row_id", "source", "correct").collect())) == [(i, s or "default", c) for i, s, c in rows]
+    first = {}
+    for i, s, c in rows:
+        if c is not None:
+            first.setdefault(s or "default", i)
+    assert {r.source: r.first_seen for r in A.source_accuracy(got, "row_id").collect()} == first

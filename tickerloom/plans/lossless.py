@@ -91,9 +91,8 @@ def stage_partial_rebuild(spark, sf_dir):
 
 
 def _logged(spark, sf_dir, ws: stages.Workspace, day: str) -> None:
-    log = V.prediction_log(spark, sf_dir).filter(F.col("row_id") < 400).orderBy("row_id").select("source", "correct")
-    text = log.agg(F.to_json(F.collect_list(F.struct("source", "correct")), {"ignoreNullFields": "false"}).alias("value"))
-    text.write.text(ws.path("logs", "predictions", f"{day}.json"))
+    log = V.prediction_log(spark, sf_dir).filter(F.col("row_id") < 400)  # as in the SQL
+    writers.write_prediction_log(log, ws.path("logs", "predictions", f"{day}.json"))
 
 
 def tier1_rerun(spark, sf_dir):

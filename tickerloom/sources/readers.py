@@ -34,6 +34,9 @@ class Folder:
     def has(self, name: str) -> bool:
         return self._fs.exists(self._new(self._path, name))
 
+    def is_folder(self, name: str) -> bool:
+        return self.has(name) and self._fs.getFileStatus(self._new(self._path, name)).isDirectory()
+
     def modified(self, name: str) -> float:
         """Modification time in epoch seconds."""
         return self._fs.getFileStatus(self._new(self._path, name)).getModificationTime() / 1000.0
@@ -176,11 +179,17 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prediction_log(spark: SparkSession, path: str) -> DataFrame:
-    """Source and outcome records from a JSON array; a missing source means ``default``."""
-    raw = spark.read.schema(LOG_SCHEMA).option("multiLine", True).json(path)
-    return raw.withColumns({
-        "source": F.coalesce("source", F.lit("default")), "row_id": F.monotonically_increasing_id(),
-    })
+    """Source and outcome records, in order of ``row_id``; a missing source means ``default``.
+
+    A folder holds JSON lines with a ``row_id`` in part files, which are read in parallel; a file is one JSON array, whose
+    positions are the ids.
+    """
+    parent, name = posixpath.split(path.rstrip("/"))
+    if Folder(spark, parent).is_folder(name):
+        rows = spark.read.schema(T.StructType([*LOG_SCHEMA.fields, T.StructField("row_id", T.LongType())])).option("mode", "FAILFAST").json(path)
+    else:
+        rows = spark.read.schema(LOG_SCHEMA).option("multiLine", True).json(path).withColumn("row_id", F.monotonically_increasing_id())
+    return rows.withColumn("source", F.coalesce("source", F.lit("default")))
 
 
 def read_sentiment(spark: SparkSession, path: str) -> DataFrame:

@@ -58,3 +58,8 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
 def write_weights(weights: DataFrame, path: str, version: str) -> None:
     """The trust weights of one version, replacing an earlier run of that version; other versions stay."""
     weights.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def write_prediction_log(log: DataFrame, path: str) -> None:
+    """A day's predictions as a folder of JSON lines; the stored ``row_id`` keeps their order."""
+    log.select("row_id", "source", "correct").write.json(path)
