@@ -60,6 +60,16 @@ def test_own_labels_need_the_mandatory_phrase(spark):
     assert (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 0, 2)
 
 
+def test_a_verified_phrase_gives_its_label_whatever_stands_around_it(spark):
+    names = {
+        "Mozilla Public License 2.0": "mpl", "Eclipse Public License 2.0": "epl", "CC BY-NC 3.0": "cc-by,cc-by-nc", "CC BY-SA 3.0": "cc-by,cc-by-sa",
+        "CC BY-ND 3.0": "cc-by,cc-by-nd", "CC0 1.0": "cc0", "All rights reserved.": "proprietary", "released into the public domain": "public-domain",
+    }
+    rows = lic.license_scan(data.make(spark, [(i, t, "en", "a") for i, t in enumerate(names)])).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict(enumerate(names.values()))
+    assert all(0 < r.score <= 1 and r.n_matches > 0 for r in rows)
+
+
 def spans_of(t):
     t = t or ""
     key = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))

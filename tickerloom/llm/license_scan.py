@@ -4,7 +4,7 @@ The licence templates below are indexed once: every template lists its words wit
 word is comes from the scanned corpus itself (documents that hold it, over all of them). Of each template only the rarest
 words are looked up in a file; the template positions behind each hit are subtracted from the hit's position, and starts
 on which enough rare words agree are verified: the template's mandatory phrase must stand there, word by word. The share
-of the template's words found in place is its score.
+of the template's words found in place is its score; it decides nothing else.
 
 The four base phrases are templates of their own whose mandatory phrase is all of them, so that every place is found.
 
@@ -94,8 +94,8 @@ def templates() -> tuple[Template, ...]:
 class RareIndex:
     """Postings (template, position) of the rarest words of every template."""
 
-    def __init__(self, found: tuple[Template, ...], holders: dict[bytes, int], n_docs: int, rare: int, share: float):
-        self.templates, self.share = found, share
+    def __init__(self, found: tuple[Template, ...], holders: dict[bytes, int], n_docs: int, rare: int):
+        self.templates = found
         idf = lambda w: math.log((n_docs + 1) / (holders.get(w, 0) + 1))
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         self.needed: list[int] = []
@@ -121,9 +121,7 @@ class RareIndex:
             at = start + t.key_at
             if tuple(words[at:at + len(t.key)]) != t.key:
                 continue
-            share = sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
-            if share >= self.share:
-                out.append((k, start, share))
+            out.append((k, start, sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)))
         return out
 
 
@@ -156,11 +154,11 @@ def holder_batches(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[byte
 
 
 def license_scan(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 3, share: float = 0.5,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = 3,
 ) -> DataFrame:
     """One row per document: words, base places, labels of all verified templates, best score, number of verified places.
 
-    ``rare``: words looked up per template; ``share``: part of a template's words that must stand in place.
+    ``rare``: words looked up per template.
     """
     bounded_batches(docs.sparkSession)
     found = templates()
@@ -168,7 +166,7 @@ def license_scan(
     own = keyed(docs, key, text)
     counts = own.select("text").mapInArrow(lambda it: holder_batches(it, vocabulary), "word binary, n long")
     holders = {bytes(r.word): r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per licence word
-    index = RareIndex(found, holders, holders.pop(b"", 0), rare, share)
+    index = RareIndex(found, holders, holders.pop(b"", 0), rare)
     return own.mapInArrow(lambda it: scan_batches(it, index), COLUMNS)
 
 
