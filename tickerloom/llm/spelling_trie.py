@@ -147,3 +147,41 @@ def variants(words: DataFrame, ratio: int = 5, levels: int = 4) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs(table(spark, sf_dir, "documents"), 6)
     return variants(counted(dropped_point(found, 199), 6, 5))
+
+
+#: The same in SQL: CRC-32 bit by bit, near words by equal remainders after one deletion, forms, and roots by recursion.
+OP13_SQL = """
+WITH RECURSIVE found AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL
+), bytes AS (
+  SELECT run, times, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS b FROM found
+), bits AS (
+  SELECT run, times, list_concat([4294967295::BIGINT], flatten(list_transform(b, lambda x: [256 + x, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))) AS steps FROM bytes
+), hashed AS (
+  SELECT run, times, xor(4294967295::BIGINT, list_reduce(steps, lambda c, x:
+    xor((CASE WHEN x > 0 THEN xor(c, x - 256) ELSE c END) >> 1, CASE WHEN (CASE WHEN x > 0 THEN xor(c, x - 256) ELSE c END) & 1 = 1 THEN 3988292384 ELSE 0 END))) AS h
+  FROM bits
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), cut AS (
+  SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN words w ON w.word = cut.rest
+  UNION SELECT w.word, cut.word FROM cut JOIN words w ON w.word = cut.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, first(near ORDER BY o.n DESC, near) AS near, max(o.n) AS near_n FROM near JOIN words o ON o.word = near.near GROUP BY near.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NOT NULL
+), last AS (
+  SELECT walk.word, walk.root FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
+"""
