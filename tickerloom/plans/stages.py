@@ -95,7 +95,7 @@ def merge_master(ws: Workspace, inputs: Sequence[tuple[str, str]], multi_line: b
     """Merge (path, layout) inputs into the master news table, sorted by time, ticker and headline."""
     frames = []
     for order, (path, layout) in enumerate(inputs):
-        raw = readers.with_row_order(readers.read_csv(ws.spark, path, multi_line), order)
+        raw = readers.with_row_order(readers.read_csv(ws.spark, path, multi_line, places=True), order)
         frames.append(N.to_master(raw, posixpath.basename(path), layout, carry=[readers.FILE_ORDER, readers.ROW_ORDER]))
     master = dedup.merge_masters(frames).orderBy("datetime", "ticker", "headline", *[readers.FILE_ORDER, readers.ROW_ORDER])
     writers.write_csv(master.select(*N.MASTER_COLUMNS), ws.path("raw", "news", readers.MASTER_NEWS))

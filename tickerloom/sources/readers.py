@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.normalize import price_table, snake_headers, union_by_name
+from ..session import materialize
+from . import quoted_csv
 
 MASTER_NEWS = "final_news_master.csv"
 FILE_ORDER, ROW_ORDER = "file_ord", "row_ord"
@@ -50,41 +52,63 @@ class Folder:
         self._fs.delete(self._new(self._path, name), True)
 
 
-def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether some quoted field runs over a line end: then a line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+CSV_OPTIONS = {
+    "quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None, strict: bool = False) -> DataFrame:
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema.fields)
+
+
+def _read_records(spark: SparkSession, path: str | Sequence[str], known: DataFrame, header: T.StructType, strict: bool) -> DataFrame:
+    """Records cut from file ranges, with their places; the first record of a file is its header."""
+    found = quoted_csv.records(spark, path, known).where(((F.col("start") > 0) | (F.col("n") > 0)) & (F.trim("record") != ""))
+    bad = "_broken_record"
+    schema = T.StructType([*header.fields, T.StructField(bad, T.StringType())])
+    # A record is parsed by itself: no character of a text may end it, so that line ends in quotes stay as they are.
+    row = F.from_csv("record", _ddl(schema), {**CSV_OPTIONS, "lineSep": "\uffff", "columnNameOfCorruptRecord": bad})
+    place = F.struct("file", "start", "n").alias(ROW_ORDER)
+    rows = found.select(row.alias("row"), place)
+    return (rows.where(F.col(f"row.{bad}").isNull()) if strict else rows).select(*[F.col("row")[c].alias(c) for c in header.names], ROW_ORDER)
+
+
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool | None = None, strict: bool = False, places: bool = False,
+) -> DataFrame:
     """A CSV table with every column as text.
 
-    ``strict`` drops rows whose field count differs from the header's.  Quoted
-    line breaks need ``multi_line``, which reads each file in one piece; by
-    default the files are looked through for such breaks and split where there are none.
+    ``strict`` drops rows whose field count differs from the header's. By default one pass over the files finds out where
+    quoted line breaks lie: files without any are read as they are, others are cut into records range by range
+    (``quoted_csv``). ``multi_line`` True reads each file in one piece, False takes every line for a record.
+    ``places`` adds the column ``row_ord`` (file, range, number) by which rows can be put in order.
     """
+    reader = spark.read.option("header", True).option("inferSchema", False).options(**CSV_OPTIONS)
     if multi_line is None:
-        multi_line = has_quoted_breaks(spark, path)
-    reader = (
-        spark.read.option("header", True).option("inferSchema", False).option("quote", '"').option("escape", '"')
-        .option("multiLine", multi_line).option("maxCharsPerColumn", -1).option("encoding", "UTF-8")
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        known = materialize(quoted_csv.ranges(spark, path), "csv-states")
+        many, broken = known.agg(F.count("*"), F.coalesce(F.bool_or(F.col("broken") | F.col("inside")), F.lit(False))).first()
+        if broken and many <= quoted_csv.BROADCAST_RANGES:
+            header = reader.option("multiLine", True).csv(path).schema  # the first record only: nothing is inferred from the rows
+            rows = _read_records(spark, path, known, header, strict)
+            return rows if places else rows.drop(ROW_ORDER)
+        multi_line = broken
+    reader = reader.option("multiLine", multi_line)
+    if strict:
+        header = reader.csv(path).schema
+        reader = reader.schema(header).option("enforceSchema", True).option("mode", "DROPMALFORMED")
+    rows = reader.csv(path)
+    return rows.withColumn(ROW_ORDER, _place()) if places else rows
+
+
+def _place():
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"),
     )
-    if not strict:
-        return reader.csv(path)
-    header = reader.csv(path).schema  # header line only: nothing is inferred from the rows
-    return reader.schema(header).option("enforceSchema", True).option("mode", "DROPMALFORMED").csv(path)
 
 
 def with_row_order(df: DataFrame, file_ord: int) -> DataFrame:
     """Position columns: configured file number, then place within the file."""
-    return df.withColumns({
-        FILE_ORDER: F.lit(file_ord),
-        ROW_ORDER: F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("n"),
-        ),
-    })
+    return df.withColumns({FILE_ORDER: F.lit(file_ord), **({} if ROW_ORDER in df.columns else {ROW_ORDER: _place()})})
 
 
 def news_files(spark: SparkSession, folder: str, master: str = MASTER_NEWS, skip_prefix: str = "") -> list[str]:
@@ -102,11 +126,11 @@ def read_news(
     frames = []
     for i, name in enumerate(news_files(spark, folder, master, skip_prefix)):
         try:
-            raw = read_csv(spark, posixpath.join(folder, name), multi_line)  # one rule, whatever the file's name
+            raw = read_csv(spark, posixpath.join(folder, name), multi_line, places=True)  # one rule, whatever the file's name
         except Exception as exc:  # an unreadable file is reported and left out
             print(f"[skip] {name}: {exc}")
             continue
-        if raw.columns:
+        if set(raw.columns) - {ROW_ORDER}:
             frames.append(snake_headers(with_row_order(raw, i)))
     return union_by_name(frames) if frames else None
 
