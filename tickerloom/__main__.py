@@ -14,7 +14,7 @@ from .settings import Settings, apply_profile, load
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tickerloom", description="News and price signal stages on Spark")
     p.add_argument("command", choices=(
-        "ingest", "merge", "clean", "split-prices", "generate-data", "sentiment", "features", "fuse", "train", "eval", "predict", "cases",
+        "ingest", "merge", "clean", "split-prices", "generate-data", "fit-second-language", "sentiment", "features", "fuse", "train", "train-epochs", "eval", "predict", "cases",
         "tier1", "tier2", "tier3", "run-all"))
     p.add_argument("--root", required=True, help="workspace folder on a shared file system")
     p.add_argument("--config", help="YAML or JSON settings")
@@ -57,6 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         "split-prices": lambda: stages.split_prices(ws, first),
         "generate-data": lambda: stages.generate_data(ws), "sentiment": lambda: stages.sentiment(ws),
         "features": lambda: stages.features(ws), "fuse": lambda: stages.fuse(ws), "train": lambda: stages.train(ws),
+        "fit-second-language": lambda: stages.second_language(ws), "train-epochs": lambda: stages.train_epochs(ws),
         "eval": lambda: stages.evaluate(ws, args.split)["overall"].show(truncate=False),
         "predict": lambda: stages.predict(ws, args.output).show(50, truncate=False),
         "cases": lambda: stages.run_cases(ws, first)[0].show(50, truncate=False),

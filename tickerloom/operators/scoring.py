@@ -54,13 +54,22 @@ def listed_words(text: Column | str, words: WordLists) -> Column:
 
 def score_by_language(df: DataFrame, text: str, lang: str, english: WordLists = MARKET_WORDS,
                       other: WordLists = MIXED_LANGUAGE_WORDS,
-                      other_langs: Sequence[str] = ("hi", "hinglish")) -> DataFrame:
+                      other_langs: Sequence[str] = ("hi", "hinglish"), other_model=None) -> DataFrame:
     """Route every row to its language's scorer in place; no split-and-rejoin.
 
     pos = hits / (hits + misses + 1), neg alike, neu the rest; text without
     list words is neutral, and so are rows of neither language class.  The text
     is tokenised once; the counts run over the few listed words that are left.
+    A fitted ``other_model`` (see ``second_language``) scores the other languages in place of their list.
     """
+    if other_model is not None:
+        from .second_language import model_scores
+
+        listed = score_by_language(df, text, lang, english, other, other_langs)
+        kept = listed.withColumn("_listed", F.struct(*SCORES))
+        fitted = model_scores(kept, F.when(F.col(lang).isin(*other_langs), F.col(text)), other_model)
+        chosen = {c: F.when(F.col(lang).isin(*other_langs), F.col(c)).otherwise(F.col("_listed")[c]) for c in SCORES}
+        return fitted.withColumns(chosen).drop("_listed")
     is_en, is_other = F.col(lang) == "en", F.col(lang).isin(*other_langs)
     kept = F.when(is_en, listed_words(text, english)).when(is_other, listed_words(text, other)).otherwise(
         F.array().cast("array<string>"))

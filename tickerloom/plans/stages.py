@@ -9,18 +9,20 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import hashlib
+import json
 import posixpath
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import detect_language
 from ..functions.timing import rolling_retrain_bounds
 from ..operators import adaptive as A, direction_model as M, evaluation as E, fusion, normalize as N, predict as P
-from ..operators import dedup, price_features as pf, scoring, sentiment as S, sequences, splits, textgen
+from ..operators import dedup, price_features as pf, scoring, second_language as second_language_model, sentiment as S, sequences, splits, textgen, training
 from ..operators.news import prepare_news
 from ..session import materialize
 from ..settings import Settings
@@ -43,18 +45,26 @@ class Workspace:
     def manifest(self) -> Manifest:
         return Manifest(self.spark, self.path("stage"))
 
-    def stage(self, name: str, ttl_days: float, sections: Sequence[str], build, upstream: Sequence[str] = (), also: str = "") -> DataFrame:
+    def stage(
+        self, name: str, ttl_days: float, sections: Sequence[str], build, upstream: Sequence[str] = (), also: str = "",
+        inputs: Callable[[str], list[tuple[str, int, int]]] | None = None,
+    ) -> DataFrame:
         """The stage's rows of this workspace's tickers.
 
         Each ticker has its own entry in the manifest: it is built when it is missing, stale, from other settings
-        (``sections``, ``also``) or from an ``upstream`` stage's earlier run.  ``build(path, tickers)`` gets only the
-        tickers that need it, and all other tickers' rows stay on disk.
+        (``sections``, ``also``), from an ``upstream`` stage's earlier run or from other contents of its ``inputs`` (a ticker's raw
+        files).  ``build(path, tickers)`` gets only the tickers that need it and returns their rows, which replace the old
+        ones once they are written; all other tickers' rows stay on disk.  A stage may be without rows.
         """
         path, manifest = self.path("stage", name), self.manifest
         sources = [manifest.tickers(u) for u in upstream]
         base = self.settings.signature(*sections) + also
+        files = {t: inputs(t) if inputs else [] for t in self.tickers}
+        digests = readers.known_digests(self.spark, [f for some in files.values() for f in some], manifest.read(name).get("inputs", {}))
         signatures = {
-            t: hashlib.md5("|".join([base, *[str(s.get(t, {}).get("completed_at")) for s in sources]]).encode()).hexdigest()
+            t: hashlib.md5("|".join([
+                base, *[str(s.get(t, {}).get("completed_at")) for s in sources], *[digests[p][2] for p, _, _ in files[t]],
+            ]).encode()).hexdigest()
             for t in self.tickers
         }
         # a forced stage is rebuilt once per workspace, not on every use
@@ -63,18 +73,24 @@ class Workspace:
         if stale:
             manifest.forget(name, stale)
             folder = readers.Folder(self.spark, path)
+            before = {t: folder.partition_files("ticker", t) for t in stale}
+            rows = build(path, stale)
+            if rows is not None:
+                writers.write_by_ticker(rows, path)
             for ticker in stale:  # a ticker that ends up without rows must not keep old ones
-                folder.drop_partition("ticker", ticker)
-            build(path, stale)
-            manifest.mark_tickers(name, {t: signatures[t] for t in stale})
+                if before[ticker] and folder.partition_files("ticker", ticker) == before[ticker]:
+                    folder.drop_partition("ticker", ticker)
+            manifest.mark_tickers(name, {t: signatures[t] for t in stale}, digests, rows.schema.json() if rows is not None else None)
             self.rebuilt.add(name)
-        return readers.read_by_ticker(self.spark, path).filter(F.col("ticker").isin(self.tickers))
+        written = manifest.read(name).get("schema")
+        schema = T.StructType.fromJson(json.loads(written)) if written else None
+        return readers.read_by_ticker(self.spark, path, schema).filter(F.col("ticker").isin(self.tickers))
 
     @property
     def tickers(self) -> list[str]:
         if self.settings.tickers is not None:
             return sorted(set(self.settings.tickers))
-        return readers.price_tickers(self.spark, self.path("raw", "ohlcv"))
+        return sorted({*readers.price_tickers(self.spark, self.path("raw", "ohlcv")), *readers.table_tickers(self.spark, self.path("raw", "prices"))})
 
 
 def ingest(ws: Workspace, sources: dict[str, str], multi_line: bool | None = None) -> DataFrame:
@@ -112,6 +128,25 @@ def split_prices(ws: Workspace, path: str) -> None:
     writers.split_master_prices(readers.read_csv(ws.spark, path), ws.path("raw", "prices"))
 
 
+TEXT_MODELS, SECOND = "text_models", "second_language"
+
+
+def second_language(ws: Workspace, per_label: int = 1700) -> str:
+    """Fit the second-language scorer on generated texts and save it; the sentiment stage uses it from then on."""
+    seeds = ws.spark.range(max(s.mixes for s in textgen.DEFAULT_SETS)).withColumnRenamed("id", "seed")
+    other = [s for s in textgen.DEFAULT_SETS if s.lang != "en"]
+    texts = materialize(textgen.generate(seeds, "seed", other, target_per_label=per_label), "texts")
+    path = ws.path(TEXT_MODELS, SECOND)
+    second_language_model.save_scorer(second_language_model.fit_scorer(texts), path)
+    return path
+
+
+def load_second_language(ws: Workspace):
+    """The saved scorer, or None."""
+    there = readers.Folder(ws.spark, ws.path(TEXT_MODELS)).has(SECOND)
+    return second_language_model.load_scorer(ws.path(TEXT_MODELS, SECOND)) if there else None
+
+
 def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
     """Rolling daily sentiment of all tickers from the news folder.
 
@@ -120,34 +155,71 @@ def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
     """
     opts = ws.settings
     version, weights = newest_weights(ws)
+    text_models = readers.Folder(ws.spark, ws.path(TEXT_MODELS))
+    scorer = f"|{text_models.modified(SECOND)}" if text_models.has(SECOND) else ""
 
-    def build(path: str, tickers: Sequence[str]) -> None:
+    def build(path: str, tickers: Sequence[str]) -> DataFrame:
         raw = readers.read_news(ws.spark, ws.path("raw", "news"))
         if raw is None:
             raise FileNotFoundError(f"no news files in {ws.path('raw', 'news')}")
         news = prepare_news(raw, tickers, [readers.FILE_ORDER, readers.ROW_ORDER])
         labelled = detect_language(news, "headline", "detected_lang", opts.nlp.lang_confidence_threshold)
         if english is None:
-            scored = scoring.score_by_language(labelled, "headline", "detected_lang")
+            scored = scoring.score_by_language(labelled, "headline", "detected_lang", other_model=load_second_language(ws))
         else:
             chosen = F.when(F.col("detected_lang") == "en", english("headline")).when(
                 F.col("detected_lang").isin("hi", "hinglish"), (other or english)("headline"))
             scored = scoring.score_with_store(labelled, chosen, ws.path("scores"))
         daily = S.daily_sentiment(
             scored, opts.nlp.hindi_min_articles, lang="detected_lang", weights=weights)
-        writers.write_by_ticker(S.rolling_sentiment(daily, opts.nlp.sentiment_windows), path)
+        return S.rolling_sentiment(daily, opts.nlp.sentiment_windows)
 
-    return ws.stage("sentiment", opts.cache.sentiment_ttl_days, ("nlp", "source_weights"), build, also=version)
+    folder = readers.Folder(ws.spark, ws.path("raw"))
+    return ws.stage(
+        "sentiment", opts.cache.sentiment_ttl_days, ("nlp", "source_weights"), build, also=version + scorer,
+        inputs=lambda _: folder.files("news"))
+
+
+def raw_bars(ws: Workspace, tickers: Sequence[str]) -> DataFrame | None:
+    """Bars of the tickers that have any: from ``raw/ohlcv``, one file per ticker, else from the table ``raw/prices``.
+
+    Of the table only the partitions of these tickers are read. Tickers without prices, and those with two bars for a day, are
+    left out and listed in ``reports/skipped_prices``. None if no ticker is left.
+    """
+    have, parts = set(readers.Folder(ws.spark, ws.path("raw", "ohlcv")).names()), set(readers.table_tickers(ws.spark, ws.path("raw", "prices")))
+    own = [t for t in tickers if readers.price_file(have, t)]
+    split = [t for t in tickers if t not in own and t in parts]
+    skipped = [(t, "no prices") for t in tickers if t not in own and t not in split]
+    frames = [readers.read_prices(ws.spark, ws.path("raw", "ohlcv"), own)] if own else []
+    if split:
+        frames.append(readers.read_price_table(ws.spark, ws.path("raw", "prices"), split))
+    bars = N.union_by_name(frames) if frames else None
+    if bars is not None:
+        twice = bars.groupBy("ticker", "trade_date").count().where("count > 1").select("ticker").distinct().collect()  # of the asked tickers
+        skipped += [(r.ticker, "two bars for a day") for r in twice]
+        bars = bars.where(~F.col("ticker").isin([r.ticker for r in twice])) if twice else bars
+    if skipped:
+        writers.write_json_lines(ws.spark.createDataFrame(skipped, "ticker string, reason string"), ws.path("reports", "skipped_prices"))
+    return bars
 
 
 def features(ws: Workspace) -> DataFrame:
-    """Warm price-feature rows of all tickers."""
+    """Warm price-feature rows of all tickers that have prices."""
+
+    def build(path: str, tickers: Sequence[str]) -> DataFrame:
+        bars = raw_bars(ws, tickers)
+        if bars is None:
+            raise FileNotFoundError(f"no prices for {', '.join(tickers)} in {ws.path('raw')}")
+        return pf.warm_rows(pf.price_features(bars, ws.settings.features))
+
+    raw = readers.Folder(ws.spark, ws.path("raw"))
+    have = readers.Folder(ws.spark, ws.path("raw", "ohlcv")).names()
 
-    def build(path: str, tickers: Sequence[str]) -> None:
-        bars = N.unique_days(readers.read_prices(ws.spark, ws.path("raw", "ohlcv"), tickers))
-        writers.write_by_ticker(pf.warm_rows(pf.price_features(bars, ws.settings.features)), path)
+    def files(ticker: str) -> list[tuple[str, int, int]]:
+        name = readers.price_file(have, ticker)
+        return raw.files(f"ohlcv/{name}") if name else raw.partition_files("ticker", ticker, "prices")
 
-    return ws.stage("features", ws.settings.cache.features_ttl_days, ("features",), build)
+    return ws.stage("features", ws.settings.cache.features_ttl_days, ("features",), build, inputs=files)
 
 
 def fuse(ws: Workspace) -> DataFrame:
@@ -157,7 +229,7 @@ def fuse(ws: Workspace) -> DataFrame:
     scored = ws.manifest.tickers("sentiment")
     scores = readers.read_sentiment(ws.spark, ws.path("stage", "sentiment")) if scored else None
 
-    def build(path: str, tickers: Sequence[str]) -> None:
+    def build(path: str, tickers: Sequence[str]) -> DataFrame:
         prices, table = all_prices.filter(F.col("ticker").isin(tickers)), scores
         if table is not None:
             table = table.filter(F.col("ticker").isin(tickers))
@@ -167,7 +239,7 @@ def fuse(ws: Workspace) -> DataFrame:
         joined = fusion.attach_sentiment(prices, table)
         labelled = fusion.forward_label(joined, opts.training.label_horizon_days, opts.training.label_threshold)
         ranked = pf.with_window_length(pf.with_atr_percentile(labelled), opts.features)
-        writers.write_by_ticker(sequences.training_sequences(fusion.with_position(ranked), opts.features), path)
+        return sequences.training_sequences(fusion.with_position(ranked), opts.features)
 
     sections = ("features", "training")
     return ws.stage("samples", opts.cache.fusion_ttl_days, sections, build, upstream=("features", "sentiment"))
@@ -207,6 +279,18 @@ def train(ws: Workspace, bounds=None) -> str:
     return _save_model(ws, model, M.fisher(rows.filter("split = 'train'"), model))
 
 
+def train_epochs(ws: Workspace, epochs: int | None = None, bounds=None) -> str:
+    """Epoch-wise training with stored state: continued where an earlier run stopped, the best epoch becomes a new model version."""
+    rows = materialize(split_samples(ws, bounds), "train-samples")
+    path = ws.path(MODEL + "_epochs")
+    training.train_epochs(rows, path, epochs or ws.settings.training.epochs, decay=ws.settings.training.weight_decay)
+    training.promote(ws.spark, path)
+    model = training.promoted(ws.spark, path).model()
+    writers.write_json_lines(training.history(ws.spark, path), ws.path("reports", "epochs"))
+    training.prune(ws.spark, path)
+    return _save_model(ws, model, M.fisher(rows.filter("split = 'train'"), model))
+
+
 def scored_split(ws: Workspace, split: str) -> DataFrame:
     """Only the asked split is scored; the result is a table because the report reads it often."""
     model, _ = _load_model(ws)
@@ -240,7 +324,7 @@ def run_cases(ws: Workspace, path: str) -> tuple[DataFrame, DataFrame]:
     prices = features(ws)
     kept = detect_language(P.supported_cases(cases, prices), "news_input", "language")
     kept = kept.withColumn("language", F.when(F.col("language") == "unknown", "en").otherwise(F.col("language")))
-    scored = scoring.score_by_language(kept, "news_input", "language")
+    scored = scoring.score_by_language(kept, "news_input", "language", other_model=load_second_language(ws))
     ranked = pf.with_window_length(pf.with_atr_percentile(prices), ws.settings.features)
     latest = sequences.latest_sequence(fusion.with_position(ranked), ws.settings.features)
     joined = scored.join(latest, "ticker").withColumn(

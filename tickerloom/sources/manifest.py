@@ -59,12 +59,17 @@ class Manifest:
         return ((time.time() if now is None else now) - done) / 86400.0 <= ttl_days
 
     def forget(self, output: str, tickers: list[str]) -> None:
-        self.mark(output, tickers={t: e for t, e in self.tickers(output).items() if t not in tickers})
+        old = self.read(output)
+        kept = {t: e for t, e in self.tickers(output).items() if t not in tickers}
+        self.mark(output, tickers=kept, inputs=old.get("inputs", {}), schema=old.get("schema"))
 
-    def mark_tickers(self, output: str, signatures: dict[str, str]) -> None:
+    def mark_tickers(self, output: str, signatures: dict[str, str], inputs: dict[str, list] | None = None, schema: str | None = None) -> None:
+        """Entries of rebuilt tickers; digests of the input files and the table's schema, where known, are kept beside them."""
         now = dt.datetime.now(dt.timezone.utc).isoformat()
         fresh = {t: {"signature": s, "completed_at": now} for t, s in signatures.items()}
-        self.mark(output, tickers={**self.tickers(output), **fresh})
+        old = self.read(output)
+        self.mark(
+            output, tickers={**self.tickers(output), **fresh}, inputs={**old.get("inputs", {}), **(inputs or {})}, schema=schema or old.get("schema"))
 
     def read(self, output: str) -> dict:
         """The sidecar's content; empty when missing or unreadable."""

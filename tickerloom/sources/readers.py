@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +44,44 @@ class Folder:
         """Modification time in epoch seconds."""
         return self._fs.getFileStatus(self._new(self._path, name)).getModificationTime() / 1000.0
 
+    def files(self, name: str) -> list[tuple[str, int, int]]:
+        """Path, length and modification time of a file, or of all data files of a folder, by path."""
+        if not self.has(name):
+            return []
+        found, more = [], self._fs.listFiles(self._new(self._path, name), True)
+        while more.hasNext():
+            s = more.next()
+            if not s.getPath().getName().startswith(("_", ".")):
+                found.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+        return sorted(found)
+
     def join(self, name: str) -> str:
         return posixpath.join(self.path, name)
 
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._new(self._path, name), True)
+
+    def write_text(self, name: str, text: str) -> None:
+        out = self._fs.create(self._new(self._path, name), True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    def read_text(self, name: str) -> str:
+        """One small file."""
+        size = self._fs.getFileStatus(self._new(self._path, name)).getLen()
+        came = self._fs.open(self._new(self._path, name))
+        try:
+            return bytes(b & 0xFF for b in came.readNBytes(size)).decode("utf-8")
+        finally:
+            came.close()
+
+    def partition_files(self, column: str, value: str, table: str = "") -> list[tuple[str, int, int]]:
+        """Files of one partition value of this table, or of one in this folder."""
+        name = self._utils.getPartitionPathString(column, value)
+        return self.files(posixpath.join(table, name) if table else name)
+
     def drop_partition(self, column: str, value: str) -> None:
         """Remove the folder of one partition value, if there."""
         name = self._utils.getPartitionPathString(column, value)
@@ -139,6 +175,11 @@ def price_candidates(ticker: str) -> tuple[str, ...]:
     return (f"{ticker}.parquet", f"{ticker.upper()}.parquet", f"{ticker}.csv", f"{ticker.upper()}.csv")
 
 
+def price_file(have: Iterable[str], ticker: str) -> str | None:
+    """The file of a ticker among the names of a folder: the first candidate that is there."""
+    return next((c for c in price_candidates(ticker) if c in have), None)
+
+
 def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> DataFrame:
     """Bars of the tickers from one file per ticker, first existing candidate wins.
 
@@ -148,7 +189,7 @@ def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> Dat
     have = set(Folder(spark, folder).names())
     groups: dict[tuple[str, ...], list[str]] = {}
     for ticker in tickers:
-        name = next((c for c in price_candidates(ticker) if c in have), None)
+        name = price_file(have, ticker)
         if name is None:
             raise FileNotFoundError(f"no price file for {ticker} in {folder}: expected one of {price_candidates(ticker)}")
         path = posixpath.join(folder, name)
@@ -166,18 +207,24 @@ def _open_prices(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     return spark.read.parquet(*paths) if kind == "parquet" else read_csv(spark, paths)
 
 
-def read_by_ticker(spark: SparkSession, path: str) -> DataFrame:
-    """A table partitioned by ticker; all-digit tickers stay text."""
-    schema = spark.read.parquet(path).schema
+def read_by_ticker(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table partitioned by ticker; all-digit tickers stay text. With a ``schema`` it may be without files."""
+    schema = schema or spark.read.parquet(path).schema
     fixed = T.StructType([
         T.StructField("ticker", T.StringType()) if f.name == "ticker" else f for f in schema.fields
     ])
     return spark.read.schema(fixed).parquet(path)
 
 
-def read_price_table(spark: SparkSession, path: str) -> DataFrame:
-    """Bars from one Parquet table partitioned by ticker (the layout for large universes)."""
-    return price_table(read_by_ticker(spark, path))
+def read_price_table(spark: SparkSession, path: str, tickers: Sequence[str] | None = None) -> DataFrame:
+    """Bars from one Parquet table partitioned by ticker (the layout for large universes), of all or only some of them."""
+    rows = read_by_ticker(spark, path)
+    return price_table(rows if tickers is None else rows.where(F.col("ticker").isin(list(tickers))))
+
+
+def table_tickers(spark: SparkSession, path: str) -> list[str]:
+    """Tickers of a table partitioned by ticker, from its folder names."""
+    return sorted(unquote(n.split("=", 1)[1]) for n in Folder(spark, path).names() if n.startswith("ticker="))
 
 
 def price_tickers(spark: SparkSession, folder: str, skip: Sequence[str] = ()) -> list[str]:
@@ -224,12 +271,27 @@ def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("trade_date", F.to_date("trade_date"))
 
 
-def file_digest(spark: SparkSession, path: str) -> DataFrame:
-    """md5 per file of a folder or glob, one task per file."""
+#: Longest file whose content is read for a digest; beyond, length and time stand for it.
+DIGEST_BYTES = 1 << 30
+
+
+def file_digest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """md5 per file of a folder, glob or list, one task per file."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.md5("content").alias("md5"))
 
 
+def known_digests(spark: SparkSession, files: Sequence[tuple[str, int, int]], before: dict[str, list]) -> dict[str, list]:
+    """Length, time and digest of each file; only files that are new or have changed length or time are read."""
+    out = {p: before[p] if before.get(p, [])[:2] == [n, at] else [n, at, f"{n}@{at}"] for p, n, at in files}
+    read = [p for p, n, _ in files if n <= DIGEST_BYTES and out[p] is not before.get(p)]
+    if read:
+        by_name = {p.split(":", 1)[-1].lstrip("/"): p for p in read}
+        for r in file_digest(spark, read).select("path", "md5").collect():  # a row per changed input file
+            out[by_name[r.path.split(":", 1)[-1].lstrip("/")]][2] = r.md5
+    return out
+
+
 def read_split_table(spark: SparkSession, path: str, split: str) -> DataFrame:
     """One split of the samples written by ``write_split_tables``; only its folder is read."""
     return spark.read.parquet(path).filter(F.col("split") == split)
