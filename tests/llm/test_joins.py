@@ -194,6 +194,18 @@ def test_block_max_walk_equals_full_scoring():
         assert not want or k in admitted
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, docs, monkeypatch):
+    """One index or many: the same scores; items without an id count as well."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").withColumn("item_id", F.when(F.col("item_id") % 3 != 0, F.col("item_id")))
+    whole = {tuple(r) for r in dec.contaminated(docs, items).collect()}
+    kept = {r.doc_id for r in dec.clean_only(docs, items).collect()}
+    monkeypatch.setattr(dec, "BLOCK_CHARS", 2000)
+    parts = {tuple(r) for r in dec.contaminated(docs, items).collect()}
+    assert {r[:3] for r in whole} == {r[:3] for r in parts} and any(r[1] < 0 for r in whole)
+    assert np.allclose(sorted(r[3] for r in whole), sorted(r[3] for r in parts))
+    assert kept == {r.doc_id for r in dec.clean_only(docs, items).collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - {r[0] for r in whole}
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "Same text here. Same text here."), (2, None), (3, ""), (None, "tie"), (4, "tie"), (5, "Same text here. Same text here.")], "item_id long, text string")
     got = collections.Counter((r.doc_id, r.item_id) for r in dec.contaminated(odd, items).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from ..session import materialize
 #: Bytes of text that one Python step works on; a single longer text is a step of its own.
 STEP_BYTES = 6 << 20
 #: Bytes of one Arrow batch sent to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -43,6 +44,24 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return materialize(df, purpose)
 
 
+def _heap():
+    """The C library's ``malloc_trim``, where there is one; arrays of a megabyte and more then come straight from the system."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; set once, it no longer grows with what has been freed
+        return libc.malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release(trim=[]) -> None:  # noqa: B006  one handle per worker
+    """Give back what the last step has freed: Spark uses its Python workers again, and they would keep it."""
+    if not trim:
+        trim.append(_heap())
+    pa.default_memory_pool().release_unused()
+    trim[0](0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each piece stay within ``limit`` bytes; NULL texts become empty."""
     for batch in batches:
@@ -57,6 +76,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            release()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:

@@ -10,9 +10,11 @@ A passage is searched only if some item can reach the threshold with it: per ite
 as they stay below a part (``light``) of the threshold together; the weights of the others in the passage and the total of
 those set aside bound the score. This skips most passages and no result.
 
-The index is sent to the tasks in blocks of items of at most ``BLOCK_CHARS`` characters; more items make more passes.
+The index is sent to the tasks in blocks of items of about ``BLOCK_CHARS`` characters; more items make more passes. Word weights,
+mean and longest length are those of all items, so that results do not depend on the blocks.
 
-Cases: NULL or empty texts and items match nothing; an item without a word is left out; items that are equal are each
+Cases: NULL or empty texts and items match nothing; an item without a word is left out; an item
+without an id gets one below zero, made of its text; items that are equal are each
 reported; a repeated document row is reported once per (doc_id, item_id); a NULL doc_id is kept as NULL; clashing or extra
 columns are ignored; empty tables give an empty result.
 """
@@ -24,6 +26,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, keyed, out_batch, steps, table
+from .common import bounded_batches, kept, keyed, out_batch, steps, stored, table
 from .license_scan import words_in
 
 BLOCK_CHARS = 8 << 20
@@ -54,27 +57,40 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all test items, whatever block they are in: their number, words, the longest one's words, and each word's items."""
+
+    items: int
+    words: int
+    longest: int
+    holders: dict[bytes, int]
+
+
 class BlockMaxIndex:
     """Postings of items with BM25 weights as shares of each item's total, in blocks with their largest weight."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, n: int = 3, block: int = 16, light: float = 0.5, k1: float = 1.2, b: float = 0.75):
+    def __init__(
+        self, items: list[tuple[int, str]], threshold: float, n: int = 3, block: int = 16, light: float = 0.5, k1: float = 1.2, b: float = 0.75,
+        whole: Statistics | None = None,
+    ):
         self.threshold, self.block = threshold, block
         split = [(i, *question_and_answer(t)) for i, t in items]
         split = sorted(((i, q, a) for i, q, a in split if q), key=lambda x: x[0])
         self.ids = [i for i, _, _ in split]
         self.parts = [(grams(q, n), grams(a, n)) for _, q, a in split]
         counts = [Counter(q + a) for _, q, a in split]
-        holders = Counter(w for c in counts for w in c)
-        self.terms = {w: k for k, w in enumerate(sorted(holders))}
         lengths = [sum(c.values()) for c in counts]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
+        whole = whole or Statistics(len(split), sum(lengths), max(lengths, default=1), Counter(w for c in counts for w in c))
+        holders, mean = whole.holders, whole.words / max(1, whole.items)
+        self.terms = {w: k for k, w in enumerate(sorted({w for c in counts for w in c}))}
+        self.longest = whole.longest
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         essential: list[tuple[int, int, float]] = []
         self.aside = np.zeros(len(split))
         for d, c in enumerate(counts):
             raw = {
-                w: math.log(1 + (len(split) - holders[w] + 0.5) / (holders[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[d] / mean))
+                w: math.log(1 + (whole.items - holders[w] + 0.5) / (holders[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * lengths[d] / mean))
                 for w, f in c.items()
             }
             total = sum(raw.values())
@@ -196,14 +212,37 @@ def _stands(gram: tuple[bytes, ...], have: set, part: list[bytes], n: int) -> bo
     return any(tuple(part[i:i + len(gram)]) == gram for i in range(len(part) - len(gram) + 1))
 
 
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item, by block, and its number of words (without a word)."""
+    for batch in batches:
+        rows = []
+        for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            question, answer = question_and_answer(text)
+            if question:
+                rows += [(block, None, len(question + answer)), *((block, w, 0) for w in set(question + answer))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], ["block", "word", "n"])
+
+
 def indexes(items: DataFrame, threshold: float, n: int, key: str, text: str) -> Iterator[BlockMaxIndex]:
-    """An index for each block of items; blocks have a bounded number of characters on average."""
-    tests = items.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    tests = tests.where("item_id IS NOT NULL AND text IS NOT NULL")
+    """An index for each block of items; blocks have a bounded number of characters on average.
+
+    Weights come from all items: with more than one block their words are counted in Spark first. Items without an id get
+    one made of their text, below zero.
+    """
+    tests = items.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    tests = tests.withColumn("item_id", F.coalesce("item_id", -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 62))))
     blocks = 1 + (tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    if blocks > 1:
+        each = stored(tests.select("block", "text").mapInArrow(_item_words, "block long, word binary, n long"), "item-words")
+        count, total, longest = each.where("word IS NULL").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+        holders = stored(each.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("items")), "item-holders")
     for k in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = BlockMaxIndex([(r.item_id, r.text) for r in part.collect()], threshold, n)
+        whole = None
+        if blocks > 1:  # the words of the block, with their counts over all blocks
+            own = holders.join(each.where((F.col("block") == k) & F.col("word").isNotNull()).select("word").distinct(), "word").collect()
+            whole = Statistics(count, total, longest, {bytes(r.word): r["items"] for r in own})
+        index = BlockMaxIndex([(r.item_id, r.text) for r in tests.where(F.col("block") == k).collect()], threshold, n, whole=whole)
         if index.ids:
             yield index
 

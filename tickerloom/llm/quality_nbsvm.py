@@ -36,7 +36,7 @@ def shapes(words: pa.Array) -> pa.Array:
     s = pc.replace_substring_regex(s, r"[A-Z]([A-Z])+", "AA")
     s = pc.replace_substring_regex(s, r"[0-9]+", "0")
     s = pc.replace_substring_regex(s, r"([!?.,;:#$%&*=_~+|-])[!?.,;:#$%&*=_~+|-]+", r"\1\1")
-    return pc.utf8_slice_codeunits(s, 0, 12)
+    return s
 
 
 def indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

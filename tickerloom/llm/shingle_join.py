@@ -79,11 +79,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Record
 def outline_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of each document the size and a 128-bit mark of its set; of each task the sketch of its tokens, in packed pieces."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark1", pa.int64()), ("mark2", pa.int64()), ("piece", pa.int32()), ("data", pa.binary())])
-    sketch = np.zeros(CELLS, np.uint32)
+    sketch = np.zeros(CELLS, np.uint16)
     for batch, sets in _sets(batches, n):
         tokens = np.concatenate(sets)
         cut = np.cumsum([0, *map(len, sets)])
-        np.add.at(sketch, (mixed(tokens, 50) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+        cell, times = np.unique((mixed(tokens, 50) & np.uint64(CELLS - 1)).astype(np.int32), return_counts=True)
+        sketch[cell] = np.minimum(sketch[cell] + times, MOST)
         marks = []
         with np.errstate(over="ignore"):
             for seed in (60, 61):
@@ -97,7 +98,7 @@ def outline_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Re
     some = np.flatnonzero(pieces.any(axis=1))
     pack = zstandard.ZstdCompressor(level=1)
     none = pa.nulls(len(some), pa.int64())
-    yield out_batch(schema, doc_id=none, n=none, mark1=none, mark2=none, piece=some.astype(np.int32), data=[pack.compress(np.minimum(pieces[i], MOST).astype(np.uint16).tobytes()) for i in some])
+    yield out_batch(schema, doc_id=none, n=none, mark1=none, mark2=none, piece=some.astype(np.int32), data=[pack.compress(pieces[i].tobytes()) for i in some])
 
 
 def _summed(rows: pa.Table) -> pa.Table:
