@@ -267,9 +267,26 @@ DATES = {
     "20240105": "2024-01-05 00:00:00", "05 Jan 2024 10:30": "2024-01-05 10:30:00", "2024/01/05 10:30:00": "2024-01-05 10:30:00",
     "2024-01-05 10:30:00 UTC": "2024-01-05 10:30:00", "05-Jan-2024": "2024-01-05 00:00:00", "January 05, 2024 10:30": "2024-01-05 10:30:00",
     "01/25/2024": "2024-01-25 00:00:00", "5.1.2024": "2024-01-05 00:00:00", "2024-01-05 10:30:00.125Z": "2024-01-05 10:30:00", "soon": None, "": None,
+    "05/01/24": "2024-01-05 00:00:00", "05-Jan-24": "2024-01-05 00:00:00", "5 Jan 98 10:30": "1998-01-05 10:30:00", "20240105103000": "2024-01-05 10:30:00",
+    "202401051030": "2024-01-05 10:30:00", "2024-01-05 10.30": "2024-01-05 10:30:00", "2024-01-05 10.30.15": "2024-01-05 10:30:15",
+    "2024-01-05T10:30:00+05": "2024-01-05 10:30:00", "2024-01-05 10:30:00 EST": "2024-01-05 10:30:00", "1704450600": "2024-01-05 10:30:00",
+    "1704450600123": "2024-01-05 10:30:00", "20240105T103000": "2024-01-05 10:30:00", "31/31/2024": None, "99999999": None,
 }
 
 
+def test_written_zones(spark):
+    from tickerloom.functions.timing import parse_market, parse_utc
+
+    cases = {
+        "2024-01-05T10:30:00+05": "05:30", "2024-01-05 10:30:00 EST": "15:30", "2024-01-05 10:30:00 JST": "01:30", "2024-01-05 10:30:00 IST": "05:00",
+        "1704450600": "10:30", "2024-01-05 10:30": "10:30", "2024-01-05 10:30:00 -0330": "14:00",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: (str(r.u)[11:16], str(r.m)[11:16]) for r in df.select("t", parse_utc("t").alias("u"), parse_market("t").alias("m")).collect()}
+    assert {k: v[0] for k, v in got.items()} == cases
+    assert got["1704450600"][1] == "16:00" and got["2024-01-05 10:30"][1] == "10:30" and got["2024-01-05 10:30:00 IST"][1] == "10:30"
+
+
 def test_date_layouts(spark):
     from tickerloom.functions.timing import parse_naive, wall_date
 
@@ -279,7 +296,7 @@ def test_date_layouts(spark):
         assert got[text][0] == want, text
         assert str(got[text][1]) == (want[:10] if want else "None")
     counts = N.unreadable_dates(df.withColumn("source", F.lit("s")), "t").first()
-    assert (counts.unreadable, counts.dated) == (1, len(DATES) - 1)
+    assert (counts.unreadable, counts.dated) == (3, len(DATES) - 1)
 
 
 def test_two_bars_for_a_day_are_an_error(spark):

@@ -11,16 +11,24 @@ from pyspark.sql import functions as F
 from ..settings import MARKET_CLOSE_SECONDS, MARKET_ZONE
 from .numeric import as_col
 
-# Date layouts, tried in this order on canonical text (see ``_canonical``); of two readings the day-first one wins.
-DATES = ("yyyy-M-d", "d-M-yyyy", "M-d-yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d yyyy", "yyyy MMM d")
-LAYOUTS = tuple(f"{d}{clock}" for d in DATES for clock in ("[ H:mm[:ss]]", " h:mm[:ss] a"))
-# Zone written at the end: UTC names, the market's own zone, or an offset.
-ZONE_SUFFIX = "\\s*(Z|UTC|GMT|IST|[+-][0-9]{2}:?[0-9]{2})$"
-MARKET_OFFSET = 19_800
+# Date layouts by the look of canonical text (see ``_canonical``); of two readings the day-first one wins.
+DATES = (
+    ("[0-9]{4}-[0-9]", ("yyyy-M-d",)), ("[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", ("d-M-yyyy", "M-d-yyyy")), ("[0-9]{8}", ("yyyyMMdd",)),
+    ("[0-9]{1,2} [A-Za-z]", ("d MMM yyyy",)), ("[A-Za-z]", ("MMM d yyyy",)), ("[0-9]{4} [A-Za-z]", ("yyyy MMM d",)),
+)
+# Zone names that may stand at the end, with their offset in seconds. CST and the like are the American ones.
+ZONES = {
+    "Z": 0, "UTC": 0, "GMT": 0, "IST": 19_800, "EST": -18_000, "EDT": -14_400, "CST": -21_600, "CDT": -18_000, "MST": -25_200, "MDT": -21_600,
+    "PST": -28_800, "PDT": -25_200, "BST": 3_600, "CET": 3_600, "CEST": 7_200, "SGT": 28_800, "HKT": 28_800, "JST": 32_400,
+}
+# Zone written at the end: a name or an offset.
+ZONE_SUFFIX = f"\\s*({'|'.join(ZONES)}|[+-][0-9]{{2}}(?::?[0-9]{{2}})?)$"
+# Seconds or milliseconds since the epoch.
+EPOCH = "^[0-9]{10}(?:[0-9]{3})?$"
 
 
 def has_clock(text: Column | str) -> Column:
-    return as_col(text).rlike("[0-9]{1,2}:[0-9]{2}")
+    return as_col(text).rlike("[0-9]{1,2}:[0-9]{2}|[0-9]\\s[0-9]{1,2}\\.[0-9]{2}")
 
 
 def _canonical(text: Column | str) -> Column:
@@ -30,21 +38,38 @@ def _canonical(text: Column | str) -> Column:
     clock = F.regexp_replace(F.regexp_replace(bare, ZONE_SUFFIX, ""), "(:[0-9]{2})[.,][0-9]+", "$1")
     out = F.when(has_clock(bare), clock).otherwise(bare)
     for pattern, new in (
-        ("^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\\s+", ""), ("(?<=[0-9])T(?=[0-9])", " "), ("(?<=[0-9])[/.](?=[0-9])", "-"),
+        ("^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\\s+", ""), ("^([0-9]{8})T?([0-9]{2})([0-9]{2})([0-9]{2})$", "$1 $2:$3:$4"),
+        ("^([0-9]{8})T?([0-9]{2})([0-9]{2})$", "$1 $2:$3"), ("(?<=[0-9]\\s)([0-9]{1,2})\\.([0-9]{2})(?:\\.([0-9]{2}))?$", "$1:$2:0$3"), (":0([0-9]{2})$", ":$1"), (":0$", ""), ("(?<=[0-9])T(?=[0-9])", " "), ("(?<=[0-9])[/.](?=[0-9])", "-"),
         ("(?<=[0-9])(st|nd|rd|th)\\b", ""), ("([A-Za-z]{3})[a-z]+", "$1"), ("(?<=[A-Za-z0-9])-(?=[A-Za-z])|(?<=[A-Za-z])-(?=[0-9])", " "),
-        ("[,\\s]+", " "), ("(?i)\\s?([ap])\\.?m\\.?$", " $1M"),
+        ("[,\\s]+", " "), ("^([0-9]{1,2}[- ](?:[0-9]{1,2}|[A-Za-z]{3})[- ])([0-6][0-9])(?![0-9:])", "$120$2"),
+        ("^([0-9]{1,2}[- ](?:[0-9]{1,2}|[A-Za-z]{3})[- ])([7-9][0-9])(?![0-9:])", "$119$2"), ("(?i)\\s?([ap])\\.?m\\.?$", " $1M"),
     ):
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 
 
-def parse_naive(text: Column | str, layouts: Sequence[str] = LAYOUTS) -> Column:
-    """Wall-clock timestamp without zone; NULL where nothing fits."""
+def parse_naive(text: Column | str) -> Column:
+    """Wall-clock timestamp without zone (of an epoch number in UTC); NULL where nothing fits.
+
+    The look of the text picks its one or two layouts, so that few are tried.
+    """
     # Read as UTC instants and counted from the zone-less epoch: the session's own
     # zone, with its skipped and repeated hours, plays no part.
-    utc = F.concat(_canonical(text), F.lit(" +0000"))
-    instant = F.coalesce(*[F.try_to_timestamp(utc, F.lit(f + " Z")) for f in layouts])
-    return F.timestamp_add("SECOND", F.unix_seconds(instant), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    def instant(clean: Column) -> Column:
+        utc, half_day, out = F.concat(clean, F.lit(" +0000")), clean.rlike("(?i) [ap]m$"), None
+        for look, layouts in DATES:
+            for clock, fits in ((" h:mm[:ss] a", half_day), ("[ H:mm[:ss]]", ~half_day)):
+                read = F.coalesce(*[F.try_to_timestamp(utc, F.lit(f"{f}{clock} Z")) for f in layouts])
+                here = clean.rlike("^" + look) & fits
+                out = F.when(here, read) if out is None else out.when(here, read)
+        return F.unix_seconds(out)
+
+    # As the argument of a lambda the canonical text is worked out once, not once a branch.
+    written = F.transform(F.array(_canonical(text)), instant)[0]
+    bare = F.trim(as_col(text).cast("string"))
+    number = F.when(F.length(bare) == 13, F.floor(bare.try_cast("long") / 1000)).otherwise(bare.try_cast("long"))
+    seconds = F.when(bare.rlike(EPOCH), number).otherwise(written)
+    return F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def zone_offset_seconds(text: Column | str) -> Column:
@@ -52,12 +77,12 @@ def zone_offset_seconds(text: Column | str) -> Column:
     suffix = F.regexp_extract(F.trim(as_col(text)), ZONE_SUFFIX, 1)
     digits = F.regexp_replace(suffix, ":", "")
     sign = F.when(F.substring(digits, 1, 1) == "-", -1).otherwise(1)
-    span = F.substring(digits, 2, 2).try_cast("int") * 3600 + F.substring(digits, 4, 2).try_cast("int") * 60
+    span = F.substring(digits, 2, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 4, 2).try_cast("int"), F.lit(0)) * 60
     none = F.lit(None).cast("int")
-    return (
-        F.when(~has_clock(text) | (suffix == ""), none).when(suffix.isin("Z", "UTC", "GMT"), 0)
-        .when(suffix == "IST", MARKET_OFFSET).otherwise(sign * span)
-    )
+    out = F.when(F.trim(as_col(text)).rlike(EPOCH), 0).when(~has_clock(text) | (suffix == ""), none)
+    for seconds in sorted(set(ZONES.values())):
+        out = out.when(suffix.isin([name for name, s in ZONES.items() if s == seconds]), seconds)
+    return out.otherwise(sign * span)
 
 
 def parse_utc(text: Column | str) -> Column:

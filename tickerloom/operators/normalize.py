@@ -218,6 +218,9 @@ LAYOUTS = {
 }
 
 
+DATE_COLUMNS = {"merged": ("datetime",), "context": ("datetime",), "archive": ("datePublished",)}
+
+
 def to_master(df: DataFrame, file_name: str, layout: str, carry: Sequence[str] = ()) -> DataFrame:
     """One input file in master schema; rows without datetime or headline are dropped.
 
@@ -229,6 +232,12 @@ def to_master(df: DataFrame, file_name: str, layout: str, carry: Sequence[str] =
     return rows.na.drop(subset=["datetime", "headline"]).filter(strip("headline") != "")
 
 
+def master_dates(df: DataFrame, file_name: str, layout: str) -> DataFrame | None:
+    """The written dates of one input file of :func:`to_master`, as ``source_file, datetime``; None without such a column."""
+    column = next((c for c in DATE_COLUMNS[layout] if c in df.columns), None)
+    return None if column is None else df.select(F.lit(file_name).alias("source_file"), F.col(column).cast("string").alias("datetime"))
+
+
 def price_table(df: DataFrame) -> DataFrame:
     """Typed bars from a raw price table; missing columns are an error.
 

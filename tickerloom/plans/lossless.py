@@ -34,7 +34,9 @@ LAYOUT_CASES = (
     ("dd MMM yyyy HH:mm", "", "date_trunc('minute', stamp)"), ("yyyy/MM/dd HH:mm:ss", "", "stamp"),
     ("yyyy-MM-dd HH:mm:ss", " UTC", "stamp"), ("dd-MMM-yyyy", "", "date_trunc('day', stamp)"),
     ("MMMM dd, yyyy HH:mm", "", "date_trunc('minute', stamp)"), ("yyyy-MM-dd HH:mm:ss", " IST", "stamp - INTERVAL 330 MINUTE"),
-    ("yyyy-MM-dd HH:mm:ss.SSS", "Z", "stamp"), ("'on the' dd", "", "NULL"),
+    ("yyyy-MM-dd HH:mm:ss.SSS", "Z", "stamp"), ("dd/MM/yy", "", "date_trunc('day', stamp)"), ("dd-MMM-yy", "", "date_trunc('day', stamp)"),
+    ("yyyyMMddHHmmss", "", "stamp"), ("yyyy-MM-dd HH.mm", "", "date_trunc('minute', stamp)"), ("yyyy-MM-dd'T'HH:mm:ss", "+05", "stamp - INTERVAL 5 HOUR"),
+    ("yyyy-MM-dd HH:mm:ss", " EST", "stamp + INTERVAL 5 HOUR"), ("'on the' dd", "", "NULL"),
 )
 _STAMP_SQL = "(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 7919 % 31536000))"
 
@@ -49,7 +51,7 @@ def _dated(spark, sf_dir):
 
 
 def date_layouts(spark, sf_dir):
-    """The same instants in fourteen layouts, the last of which is no date."""
+    """The same instants in many layouts, the last of which is no date."""
     return _dated(spark, sf_dir).select("doc_id", parse_utc("written").alias("read"))
 
 
@@ -90,9 +92,79 @@ def stage_partial_rebuild(spark, sf_dir):
     return stored.select("ticker", "trade_date", *[rounded(c).alias(c) for c in PRICE_FEATURES])
 
 
+SHORT_DAYS = 20
+
+
+def stage_empty(spark, sf_dir):
+    """A ticker with too few days, then one without prices beside a whole one: stages give what there is."""
+    ws = stages.Workspace(spark, shared_folder(spark, "empty"), Settings(tickers=("F",)))
+    bars = V.bars(spark, sf_dir).withColumnRenamed("trade_date", "date")
+    for ticker, own in (("F", bars.filter("ticker = 'F'").orderBy("date").limit(SHORT_DAYS)), ("O", bars.filter("ticker = 'O'"))):
+        own.drop("ticker").write.parquet(ws.path("raw", "ohlcv", f"{ticker}.parquet"))
+    short = stages.features(ws)
+    samples = stages.fuse(ws)
+    all_ = dataclasses.replace(ws, settings=dataclasses.replace(ws.settings, tickers=("F", "O", "Q")), rebuilt=set())
+    rows = stages.features(all_)
+    skipped = spark.read.json(ws.path("reports", "skipped_prices")).select(
+        "ticker", F.lit(None).cast("date").alias("trade_date"), *[F.lit(None).cast("double").alias(c) for c in PRICE_FEATURES])
+    own = [c for c in rows.columns if c in PRICE_FEATURES]
+    built = rows.unionByName(short).select("ticker", "trade_date", *[rounded(c).alias(c) for c in own])
+    return built.unionByName(samples.select("ticker", "trade_date", *[F.lit(-1.0).alias(c) for c in own])).unionByName(skipped)
+
+
+def stage_changed_input(spark, sf_dir):
+    """One price file is replaced by one without the newest days: only that ticker is rebuilt."""
+    ws = _workspace(spark, sf_dir, "changed")
+    stages.features(ws)
+    before = ws.manifest.tickers("features")
+    shorter = V.bars(spark, sf_dir, before=CHANGED_FROM).withColumnRenamed("trade_date", "date").filter("ticker = 'O'").drop("ticker")
+    materialize(shorter, "shorter").write.mode("overwrite").parquet(ws.path("raw", "ohlcv", "O.parquet"))
+    rows = stages.features(dataclasses.replace(ws, rebuilt=set()))
+    after = ws.manifest.tickers("features")
+    moved = [t for t in after if after[t]["completed_at"] != before[t]["completed_at"]]
+    return rows.select("ticker", "trade_date", *[rounded(c).alias(c) for c in PRICE_FEATURES], F.col("ticker").isin(moved).alias("moved"))
+
+
+CHANGED_FROM = "1999-01-01"
+
+
+def stage_split_prices(spark, sf_dir):
+    """One many-ticker price file is split, and the features stage reads the ticker partitions."""
+    ws = stages.Workspace(spark, shared_folder(spark, "split"), Settings())
+    suffix = F.when(F.col("ticker") == "P", ".BO").otherwise(".NS")
+    master = V.bars(spark, sf_dir).select(
+        F.concat("ticker", suffix).alias("Ticker"), F.col("trade_date").cast("string").alias("Date"), *[F.col(c).alias(c.title()) for c in N.BAR_COLUMNS])
+    writers.write_csv(master, ws.path("raw", "all_prices"))
+    stages.split_prices(ws, ws.path("raw", "all_prices"))
+    return stages.features(ws).select("ticker", "trade_date", *[rounded(c).alias(c) for c in PRICE_FEATURES])
+
+
+def unreadable_reports(spark, sf_dir):
+    """Dates that no layout reads, counted by the merge, news and price steps."""
+    ws = stages.Workspace(spark, shared_folder(spark, "reports"), Settings(tickers=("A0", "A1", "A2")))
+    d = _dated(spark, sf_dir)
+    ticker = F.concat(F.lit("A"), F.col("doc_id") % 3)
+    text = F.concat(F.lit("report "), F.col("doc_id"))
+    news = d.select(F.col("written").alias("datetime"), ticker.alias("ticker"), text.alias("headline"), "source", F.col("doc_id").cast("string").alias("url"))
+    writers.write_csv(news, ws.path("inputs", "news.csv"))
+    stages.merge_master(ws, [(ws.path("inputs", "news.csv"), "merged")])
+    writers.write_csv(news, ws.path("raw", "news", readers.MASTER_NEWS))
+    stages.sentiment(ws)
+    day = F.when(F.col("doc_id") % len(LAYOUT_CASES) == len(LAYOUT_CASES) - 1, F.col("written")).otherwise(
+        F.date_add(F.lit("2000-01-01").cast("date"), F.col("doc_id").cast("int")).cast("string"))
+    bars = d.select(ticker.alias("ticker"), day.alias("date"), *[F.lit(1.0).alias(c) for c in N.BAR_COLUMNS])
+    for k in range(3):
+        bars.filter(F.col("ticker") == f"A{k}").drop("ticker").write.parquet(ws.path("raw", "ohlcv", f"A{k}.parquet"))
+    stages.features(ws)
+    parts = [
+        spark.read.json(ws.path("reports", f"unreadable_dates_{step}")).select(F.lit(step).alias("step"), F.col(by).alias("of"), "unreadable", "dated")
+        for step, by in (("merge", "source_file"), ("news", "source"), ("prices", "ticker"))
+    ]
+    return N.union_by_name(parts)
+
+
 def _logged(spark, sf_dir, ws: stages.Workspace, day: str) -> None:
-    log = V.prediction_log(spark, sf_dir).filter(F.col("row_id") < 400)  # as in the SQL
-    writers.write_prediction_log(log, ws.path("logs", "predictions", f"{day}.json"))
+    writers.write_prediction_log(V.prediction_log(spark, sf_dir), ws.path("logs", "predictions", f"{day}.json"))
 
 
 def tier1_rerun(spark, sf_dir):
@@ -130,10 +202,11 @@ def sentiment_updated_weights(spark, sf_dir):
 QUERIES = {
     f.__name__: f for f in (
         csv_master_roundtrip, date_layouts, unreadable_dates, devanagari_scores, stage_partial_rebuild, tier1_rerun,
-        sentiment_updated_weights,
+        sentiment_updated_weights, stage_empty, stage_changed_input, stage_split_prices, unreadable_reports,
     )
 }
 
+_BAD = f"doc_id % {len(LAYOUT_CASES)} = {len(LAYOUT_CASES) - 1}"
 _CASES = " ".join(f"WHEN {i} THEN {sql}" for i, (_, _, sql) in enumerate(LAYOUT_CASES))
 _LOG_STEPS = "list_reduce(list_prepend({old}, steps), lambda w, a: round(least(greatest(0.95::DOUBLE * w + (1 - 0.95::DOUBLE) * a, 0.1::DOUBLE), 1.0::DOUBLE), 4))"
 _KEYS = ", ".join(f"('{k}', {w}::DOUBLE, {i})" for i, (k, w) in enumerate(V.TRUST))
@@ -143,7 +216,7 @@ _WEIGHTS = f"""
     FROM (VALUES {_KEYS}) k(key, weight, ord) LEFT JOIN (
       SELECT key, list(accuracy ORDER BY first_seen, source) AS steps FROM (
         SELECT source, {_FIRST_KEY} AS key, min(row_id) AS first_seen, avg(CASE WHEN correct THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
-        FROM (SELECT row_id, coalesce(source, 'default') AS source, correct FROM prediction_log WHERE row_id < 400 AND correct IS NOT NULL)
+        FROM (SELECT row_id, coalesce(source, 'default') AS source, correct FROM prediction_log WHERE correct IS NOT NULL)
         GROUP BY 1, 2) GROUP BY 1) s USING (key)"""
 
 ORACLES = {
@@ -159,6 +232,16 @@ ORACLES = {
                {r6('1 / (good + bad + 1)::DOUBLE')} AS neu
         FROM (SELECT doc_id, doc_id % 4 AS good, doc_id % 3 AS bad FROM documents)""",
     "stage_partial_rebuild": with_views("warm", f"SELECT ticker, trade_date, {r6_all(PRICE_FEATURES)} FROM warm"),
+    "stage_empty": with_views("warm", f"""
+        SELECT ticker, trade_date, {r6_all(PRICE_FEATURES)} FROM warm WHERE ticker = 'O'
+        UNION ALL SELECT 'Q', NULL, {", ".join("NULL" for _ in PRICE_FEATURES)}"""),
+    "stage_changed_input": with_views("warm", f"""
+        SELECT ticker, trade_date, {r6_all(PRICE_FEATURES)}, ticker = 'O' AS moved FROM warm WHERE ticker <> 'O' OR trade_date < DATE '{CHANGED_FROM}'"""),
+    "stage_split_prices": with_views("warm", f"SELECT ticker, trade_date, {r6_all(PRICE_FEATURES)} FROM warm"),
+    "unreadable_reports": f"""
+        SELECT 'merge' AS step, 'news.csv' AS of, count(*) FILTER ({_BAD}) AS unreadable, count(*) AS dated FROM documents
+        UNION ALL SELECT 'news', source, count(*) FILTER ({_BAD}), count(*) FROM documents GROUP BY source
+        UNION ALL SELECT 'prices', 'A' || (doc_id % 3), count(*) FILTER ({_BAD}), count(*) FROM documents GROUP BY doc_id % 3""",
     "tier1_rerun": with_views(
         "prediction_log", f"SELECT '2024-01-02' AS version, key, {r6('weight', 4)} AS weight FROM ({_WEIGHTS})"),
     "sentiment_updated_weights": with_views("prediction_log", f"""

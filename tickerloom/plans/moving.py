@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rounded
 from ..operators import normalize as N
 from ..operators.dedup import dedup_articles
-from ..operators.sentiment import blend_classes
+from ..operators.sentiment import blend_classes, class_means
 from ..session import materialize, shared_folder
+from ..settings import sentiment_columns
 from ..sources import readers, writers
 from ..streaming import daily as S
 from . import views as V
@@ -88,7 +89,23 @@ def stream_backfill(spark, sf_dir):
     return _stream_result(S.summed(spark, f"{work}/rows"))
 
 
-QUERIES = {f.__name__: f for f in (csv_news_roundtrip, split_by_ticker, stream_daily_sentiment, stream_backfill)}
+def stream_rolling_sentiment(spark, sf_dir):
+    """Rolling sentiment kept by a stream: day sums of all even orders first, then of the odd ones, which come late for their days."""
+    work = shared_folder(spark, "rolling")
+    orders = V.table(spark, sf_dir, "orders")
+    articles = _stream_articles(spark, sf_dir, orders)
+    timed = S.with_gate_time(articles).withColumn("trade_date", S.gate_day(S.GATE_TIME))
+    for rest in (0, 1):
+        part = class_means(timed.filter(F.col("doc_id") % 2 == rest), other_langs=V.OTHER_LANGS, weights=V.TRUST)
+        part.select("ticker", "trade_date", *[F.col(c).cast("double").alias(c) for c in S.SUMS]).write.mode("append").parquet(f"{work}/in")
+        schema = spark.read.parquet(f"{work}/in").schema
+        arriving = spark.readStream.schema(schema).parquet(f"{work}/in")
+        S.upsert_by_batch(S.rolling_by_ticker(arriving), f"{work}/out", f"{work}/state", "append").awaitTermination()
+    newest = S.latest_state(spark.read.parquet(f"{work}/out"), ["ticker", "trade_date"])
+    return newest.select("ticker", "trade_date", *[rounded(c).alias(c) for c in sentiment_columns()])
+
+
+QUERIES = {f.__name__: f for f in (csv_news_roundtrip, split_by_ticker, stream_daily_sentiment, stream_backfill, stream_rolling_sentiment)}
 
 ORACLES = {
     "csv_news_roundtrip": """
@@ -104,3 +121,4 @@ ORACLES = {
         f"FROM ({_daily('news')})"),
 }
 ORACLES["stream_backfill"] = ORACLES["stream_daily_sentiment"]
+ORACLES["stream_rolling_sentiment"] = with_views("rolling", f"SELECT ticker, trade_date, {r6_all(sentiment_columns())} FROM rolling")

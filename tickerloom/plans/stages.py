@@ -23,7 +23,7 @@ from ..functions.text import detect_language
 from ..functions.timing import rolling_retrain_bounds
 from ..operators import adaptive as A, direction_model as M, evaluation as E, fusion, normalize as N, predict as P
 from ..operators import dedup, price_features as pf, scoring, second_language as second_language_model, sentiment as S, sequences, splits, textgen, training
-from ..operators.news import prepare_news
+from ..operators.news import prepare_news, published_column
 from ..session import materialize
 from ..settings import Settings
 from ..sources import readers, writers
@@ -109,15 +109,25 @@ def ingest(ws: Workspace, sources: dict[str, str], multi_line: bool | None = Non
 
 def merge_master(ws: Workspace, inputs: Sequence[tuple[str, str]], multi_line: bool | None = None) -> DataFrame:
     """Merge (path, layout) inputs into the master news table, sorted by time, ticker and headline."""
-    frames = []
+    frames, dated = [], []
     for order, (path, layout) in enumerate(inputs):
         raw = readers.with_row_order(readers.read_csv(ws.spark, path, multi_line, places=True), order)
+        dated.append(N.master_dates(raw, posixpath.basename(path), layout))
         frames.append(N.to_master(raw, posixpath.basename(path), layout, carry=[readers.FILE_ORDER, readers.ROW_ORDER]))
     master = dedup.merge_masters(frames).orderBy("datetime", "ticker", "headline", *[readers.FILE_ORDER, readers.ROW_ORDER])
     writers.write_csv(master.select(*N.MASTER_COLUMNS), ws.path("raw", "news", readers.MASTER_NEWS))
+    _report_dates(ws, "merge", dated, "source_file")
     return master
 
 
+def _report_dates(ws: Workspace, step: str, dated: Sequence[DataFrame], by: str) -> None:
+    """How many dates of each source no layout reads: those rows are dropped."""
+    found = [d for d in dated if d is not None]
+    if found:
+        counts = N.unreadable_dates(N.union_by_name(found), by=by)
+        writers.write_json_lines(counts, ws.path("reports", f"unreadable_dates_{step}"))
+
+
 def clean(ws: Workspace, path: str, out: str, clean_first: bool = True, limit: int | None = None) -> None:
     """Clean one scraped CSV; rows with a wrong field count are dropped, the input stays, bodies are cut at ``limit``."""
     writers.write_csv(N.clean_scraped(readers.read_csv(ws.spark, path, strict=True), clean_first, limit), out)
@@ -162,6 +172,8 @@ def sentiment(ws: Workspace, english=None, other=None) -> DataFrame:
         raw = readers.read_news(ws.spark, ws.path("raw", "news"))
         if raw is None:
             raise FileNotFoundError(f"no news files in {ws.path('raw', 'news')}")
+        source = F.coalesce(F.col("source"), F.lit("unknown")) if "source" in raw.columns else F.lit("unknown")
+        _report_dates(ws, "news", [raw.select(published_column(raw.columns).alias("datetime"), source.alias("source"))], "source")
         news = prepare_news(raw, tickers, [readers.FILE_ORDER, readers.ROW_ORDER])
         labelled = detect_language(news, "headline", "detected_lang", opts.nlp.lang_confidence_threshold)
         if english is None:
@@ -190,10 +202,11 @@ def raw_bars(ws: Workspace, tickers: Sequence[str]) -> DataFrame | None:
     own = [t for t in tickers if readers.price_file(have, t)]
     split = [t for t in tickers if t not in own and t in parts]
     skipped = [(t, "no prices") for t in tickers if t not in own and t not in split]
-    frames = [readers.read_prices(ws.spark, ws.path("raw", "ohlcv"), own)] if own else []
+    raw = readers.raw_prices(ws.spark, ws.path("raw", "ohlcv"), own)
     if split:
-        frames.append(readers.read_price_table(ws.spark, ws.path("raw", "prices"), split))
-    bars = N.union_by_name(frames) if frames else None
+        raw.append(readers.read_by_ticker(ws.spark, ws.path("raw", "prices")).where(F.col("ticker").isin(split)))
+    bars = N.union_by_name([N.price_table(r) for r in raw]) if raw else None
+    _report_dates(ws, "prices", [N.lower_headers(r).select("ticker", F.col("date").cast("string").alias("datetime")) for r in raw], "ticker")
     if bars is not None:
         twice = bars.groupBy("ticker", "trade_date").count().where("count > 1").select("ticker").distinct().collect()  # of the asked tickers
         skipped += [(r.ticker, "two bars for a day") for r in twice]

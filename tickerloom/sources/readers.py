@@ -183,8 +183,15 @@ def price_file(have: Iterable[str], ticker: str) -> str | None:
 def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> DataFrame:
     """Bars of the tickers from one file per ticker, first existing candidate wins.
 
-    A ticker without a file raises FileNotFoundError.  Files of one format and
-    header are one scan; the ticker comes from the file name.
+    A ticker without a file raises FileNotFoundError.
+    """
+    return union_by_name([price_table(raw) for raw in raw_prices(spark, folder, tickers)])
+
+
+def raw_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> list[DataFrame]:
+    """The files of :func:`read_prices` as they are, with the ticker from the file name.
+
+    Files of one format and header are one scan.
     """
     have = set(Folder(spark, folder).names())
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -199,8 +206,8 @@ def read_prices(spark: SparkSession, folder: str, tickers: Sequence[str]) -> Dat
     frames = []
     for (kind, *columns), paths in groups.items():
         own = [c for c in columns if c.strip().lower() != "ticker"]
-        frames.append(price_table(_open_prices(spark, kind, paths).select(*[F.col(f"`{c}`") for c in own], stem.alias("ticker"))))
-    return union_by_name(frames)
+        frames.append(_open_prices(spark, kind, paths).select(*[F.col(f"`{c}`") for c in own], stem.alias("ticker")))
+    return frames
 
 
 def _open_prices(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
