@@ -44,6 +44,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return materialize(df, purpose)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored``, once all that was read from it is stored itself."""
+    jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _heap():
     """The C library's ``malloc_trim``, where there is one; arrays of a megabyte and more then come straight from the system."""
     try:

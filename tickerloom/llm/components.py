@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = stored(now, "stars"), None
     for _ in range(rounds):
-        now = stored(_stars(_stars(now, True), False), "stars")
+        last, now = now, stored(_stars(_stars(now, True), False), "stars")
+        discard(last)
         size = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if size == before:
             break

@@ -30,16 +30,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, coded, keyed, mixed, out_batch, split_words, steps, stored, table, word_hashes
+from .common import bounded_batches, coded, discard, keyed, mixed, out_batch, split_words, steps, stored, table, word_hashes
 from .components import components
 
 #: Counters of the sketch, of one of its pieces, and largest count of a task kept.
 CELLS, PIECE, MOST = 1 << 24, 1 << 16, 65535
 ORDERS = 3
-#: Documents of a block of a large flock; documents that share a token and are still paired one by one.
-BLOCK, HOT = 512, 64
+#: Documents of a block of a large flock, and bytes of their sets; documents that share a token and are still paired one by one.
+BLOCK, BLOCK_BYTES, HOT = 512, 4 << 20, 64
 #: Bytes of texts worked on at once; a word takes about a hundred bytes of working arrays.
-STEP = 4 << 20
+STEP = 2 << 20
 #: Candidate ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -255,11 +255,15 @@ class JaccardJoin:
             pairs = pairs.where(F.arrays_overlap(f"{c}a", f"{c}b"))
         edges = near.distinct().union(pairs.select("a", "b"))
         flock = stored(components(edges), "shingle-flocks")
+        discard(shared)
+        discard(prefix)
 
         sets = self.docs.join(self._small(flock.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(
             lambda it: set_batches(it, shingle, t, order), "doc_id long, tokens binary, prefixes binary",
         )
-        blocks = flock.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        sized = flock.join(nodes.select(F.col("doc_id").alias("node"), "n"), "node")
+        # a set takes eight bytes a token, its prefixes as much at most
+        blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 16 / BLOCK_BYTES)).cast("int").alias("blocks"))
         dealt = flock.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
             F.col("node").alias("doc_id"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
