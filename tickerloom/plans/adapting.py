@@ -152,21 +152,60 @@ def match_rate(spark, sf_dir):
     return E.match_rate(_judged_cases(spark, sf_dir)).select("matched", "total", *_r("match_rate"))
 
 
-def model_fit_score(spark, sf_dir):
-    """Default model fitted on the train split, dropout scores on the test split, overall metrics."""
+_MODELS: dict[tuple[str, str], M.DirectionModel] = {}
+
+
+def _model_samples(spark, sf_dir):
     samples = splits.assign_split(sequences.flat_features(V.samples(spark, sf_dir)), V.SAMPLE_BOUNDS)
-    samples = materialize(samples.select("ticker", "trade_date", "label", "split", "features"), "samples")
-    model = M.fit(samples, TrainingSettings(epochs=10))
-    scored = M.mc_scores(samples.filter(F.col("split") == "test"), model, ModelSettings(mc_dropout_passes=10))
-    judged = E.judge(materialize(scored.drop("features"), "scored"))
-    return E.overall(judged).select("n_total", "n_active", *_r("accuracy", "macro_f1", "coverage"))
+    return samples.select("ticker", "trade_date", "label", "split", "features")
+
+
+def _fitted(spark, sf_dir, samples=None) -> M.DirectionModel:
+    """The default model of the train split, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        rows = _model_samples(spark, sf_dir) if samples is None else samples
+        _MODELS[key] = M.fit(materialize(rows.filter("split = 'train'").select("label", "split", "features"), "train-samples"), TrainingSettings())
+    return _MODELS[key]
+
+
+def model_fit_score(spark, sf_dir):
+    """Default model fitted on the train split, dropout scores on the validation and test splits, overall metrics of each."""
+    samples = materialize(_model_samples(spark, sf_dir), "samples")
+    model = _fitted(spark, sf_dir, samples)
+    scored = materialize(M.mc_scores(samples.filter("split <> 'train'"), model, ModelSettings()).drop("features"), "scored")
+    parts = [
+        E.overall(E.judge(scored.filter(F.col("split") == name))).select(F.lit(name).alias("split"), "n_total", "n_active", *_r("accuracy", "macro_f1", "coverage"))
+        for name in ("val", "test")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def model_predictions(spark, sf_dir):
+    """The newest labelled sample of each ticker, judged by the fitted model's dropout passes."""
+    rows = _model_samples(spark, sf_dir)
+    counts = rows.groupBy("ticker").agg(F.count("*").alias("n_samples"))
+    newest = sequences.latest_samples(rows.select("ticker", "trade_date", "label", "features")).join(counts, "ticker")
+    return P.judge_latest(M.mc_scores(newest, _fitted(spark, sf_dir), ModelSettings(), digits=12))
+
+
+def model_cases(spark, sf_dir):
+    """Cases judged by the fitted model on each ticker's latest sequence, with the case's scores as its sentiment."""
+    cases = V.case_language(P.supported_cases(V.cases(spark, sf_dir), _price_tickers(spark, sf_dir)))
+    scored = scoring.score_by_language(cases, "news_input", "language", V.ENGLISH_WORDS, V.ENGLISH_WORDS)
+    joined = scored.join(sequences.latest_sequence(V.fused(spark, sf_dir), V.FEATURES), "ticker").withColumn(
+        "sentiment_seq", sequences.repeated_sentiment(F.col("pos"), F.col("neg"), F.col("neu"), V.FEATURES.window_max))
+    judged = P.judge_cases(M.mc_scores(sequences.flat_features(joined), _fitted(spark, sf_dir), ModelSettings(), digits=12))
+    return judged.select(
+        "case_id", "ticker", "language", "sentiment_polarity", "expected_model_output", "actual_model_output", "match_expected",
+        *_r("prob_up", "variance", "confidence"), F.col("trade_date").alias("latest_price_date_used"))
 
 
 QUERIES = {
     f.__name__: f for f in (
         tier1_source_accuracy, tier1_ema, fisher_diagonal, ewc_nudge_step, ewc_penalty, mc_mean_var, predict_latest, polarity_map,
         temperature_softmax, distill_loss, supported_cases_semi, dropped_anti, qualitative_cases, match_rate,
-        model_fit_score,
+        model_fit_score, model_predictions, model_cases,
     )
 }
 
