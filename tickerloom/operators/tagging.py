@@ -58,6 +58,8 @@ def tag_names(df: DataFrame, text: str, names: DataFrame, limit: int = LIMIT) ->
     out = df.withColumns({"_low": F.lower(text), "_best": F.lit(None).cast("long"), "n_names": F.lit(0).cast("long")})
     for block in range(count):
         held = [(r.name, r.ord) for r in listed.where(out_of == block).select("name", "ord").collect()]  # about ``limit`` bytes
+        if not held:
+            continue
         found = out.withColumn("_f", _finder(held)("_low"))
         out = found.withColumns({"_best": F.greatest("_best", "_f.best"), "n_names": F.col("n_names") + F.col("_f.n")}).drop("_f")
         if block + 1 < count:
