@@ -103,7 +103,7 @@ def test_secrets_of_odd_rows(odd, none, field):
     assert len(rows) == len(data.ODD)
     check_secrets(rows, {r[0]: r[1] for r in data.ODD})
     assert crf.secret_scan(none, field).collect() == []
-    assert crf.fit(none) is None and crf.secret_scan(odd, None).count() == len(data.ODD)
+    assert crf.fit(none) is None and crf.fit(odd) is not None and crf.secret_scan(odd, None).count() == len(data.ODD)
 
 
 def test_secret_patterns_at_their_edges(spark, field):
@@ -127,6 +127,64 @@ def test_field_finds_what_patterns_find_in_unseen_texts(spark, field):
     assert want > 100 and hit >= 0.95 * want and extra <= 0.05 * want
 
 
+def test_field_finds_forms_that_no_pattern_has(texts, field):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    some = [t for t in texts.values() if t][:200]
+    hit = want = wrong = 0
+    for text, spans, decoys in (crf.seeded(t, rng) for t in some):
+        got = crf.find_spans([text], field)[0]
+        want += len(spans)
+        covered = {p for a, b, _ in got for p in range(a, b)}
+        hit += sum(covered.issuperset(range(x, y)) for x, y, _, _ in spans)
+        wrong += sum(x in covered for x in decoys)
+    assert want == 2 * len(some) and hit >= 0.9 * want and wrong <= 0.03 * want
+
+
+def test_masking_leaves_nothing_of_a_key_around_a_find(field):
+    text = "é the key sk_0123456789abcdef0123456789abcdefXYZ9q was used here"
+    spans = crf.find_spans([text], field)[0]
+    assert (text.index("0"), text.index("XYZ"), 2) in spans
+    assert crf.masked(text, spans, "*").replace("*", "") == "é the key  was used here"
+
+
+def test_uncovered_parts_equal_sets_of_positions():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(60), 8))
+        added = list(zip(cuts[0::2], cuts[1::2], strict=True))
+        base = sorted((a, a + rng.randint(1, 20)) for a in rng.sample(range(60), 4))
+        want = {p for a, b in added for p in range(a, b)} - {p for a, b in base for p in range(a, b)}
+        got = crf.uncovered(added, crf._merged(base), "x" * 100)
+        assert {p for a, b in got for p in range(a, b)} == want and sum(b - a for a, b in got) == len(want)
+    assert crf.uncovered([(0, 9)], [(1, 7)], '"abcdef-+"') == []
+
+
+def test_many_finds_in_one_text_take_linear_time(field):
+    import time
+
+    def seconds(n):
+        text = "é " + "token=abcdefgh12 and " * n
+        start = time.perf_counter()
+        assert sum(k == 0 for _, _, k in crf.find_spans([text], field)[0]) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(16_000) < 16 * max(0.05, seconds(2_000))
+
+
+def test_windows_cover_the_whole_text():
+    import numpy as np
+
+    feats = np.zeros((500, len(crf.SIZES)), np.int32)
+    feats[470, 0] = 7 * 16 + 10
+    got = crf._suspects(feats, 2, np.random.default_rng(0))
+    assert 470 in got and len(got) <= 2 and len(crf._suspects(feats[:0], 2, np.random.default_rng(0))) == 0
+
+
 def test_viterbi_equals_all_paths(field):
     import itertools
 

@@ -3,15 +3,21 @@
 Texts become tokens: runs of letters, digits and ``+/_.-``, and runs of other marks. Each token has a dozen categorical features: its
 shape (kinds of characters, alternations, share of digits) against its length, keywords and marks among its neighbours, and
 features of the file (density of marks, whether a keyword occurs). A field over the tags *begin*, *inside* and *outside* is
-trained by gradient on the exact log-likelihood (forward-backward in numpy), on windows of a bounded sample of documents:
-the patterns' finds are the labels. Texts are decoded by Viterbi; a text in which no token could leave *outside* even with
-the best transitions is skipped, which changes nothing.
+trained by gradient on the exact log-likelihood (forward-backward in numpy), on windows of a bounded sample of documents.
 
-The patterns' own finds always stay; the field adds spans of kind ``crf`` that overlap none of them.
+Labels come from two sides: the patterns' finds, and secrets in forms that no pattern expresses (prefixed keys, signed web
+tokens, passwords after other words), made up from a seed and put into sampled texts, beside look-alikes (addresses, paths,
+versions, days, row ids, names with capitals inside) that are taught as outside. Tokens of texts without finds are outside too; their
+windows lie anywhere in the whole text, at tokens that look most like secrets first. Texts are decoded by Viterbi; a text
+in which no token could leave *outside* even with the best transitions is skipped, which changes nothing.
+
+The patterns' own finds always stay. The field adds spans of kind ``crf`` of ``SHORTEST`` code points and more; what
+a find covers is cut out of them and the rest, where it holds a letter or digit, is a span of any length, so that masking
+leaves no part of a token that is a secret.
 
 Cases: NULL and empty texts have no span (counts 0, ``spans`` empty, the digest that of the empty text); equal rows give equal
-results, one each; positions are code points, also after characters outside the basic plane; where no pattern finds
-anything to learn from, only (zero) pattern finds are returned; clashing or extra columns are ignored; an empty table gives
+results, one each; positions are code points, also after characters outside the basic plane; where no text has any
+token to learn from, only pattern finds are returned; clashing or extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -42,7 +48,10 @@ KEYWORDS = re.compile(rb"password|passwd|pwd|secret|token|api_?key|access|privat
 #: Bytes worked on at once.
 STEP = 2 << 20
 #: Tokens of a training window, and shortest span that the field may add.
-WINDOW, SHORTEST = 48, 8
+WINDOW, SHORTEST = 32, 8
+#: Signs of the secrets that are made up for training, and what may stand before one.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+BEFORE = ("bearer ", "authorization: bearer ", "auth ", "key ", "access key is ", "private key: ", "credential = ", "pwd: ", "use ", "")
 #: Sizes of the feature tables; see ``featured``.
 SIZES = (32 * 16, 8 * 16, 8 * 16, 8, 8, 8, 8, 8 * 16, 4 * 2 * 16, 8 * 8)
 COLUMNS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long"
@@ -196,7 +205,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def train(windows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 150, decay: float = 1e-3) -> Field | None:
+def train(windows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 80, decay: float = 1e-3) -> Field | None:
     """Maximum likelihood with squared-norm decay; windows: (features, tags)."""
     windows = [w for w in windows if len(w[1])]
     if not any((tags != O).any() for _, tags in windows):
@@ -216,8 +225,8 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 150, decay
     np.add.at(pairs, (tags[:, :-1][both], tags[:, 1:][both]), 1)
     flat = feats[real]
     for epoch in range(1, epochs + 1):
-        e = w[feats].sum(axis=2)
-        e[~real] = 0
+        e = np.zeros((n, most, 3))
+        e[real] = sum(w[flat[:, k]] for k in range(len(SIZES)))
         move = s + ban
         alpha = np.empty((n, most, 3))
         alpha[:, 0] = e[:, 0] + np.array([0, -1e4, 0])
@@ -252,64 +261,158 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, bytes, np.ndarray, list[bytes
     return np.frombuffer(data, np.uint8), low, np.cumsum(sizes) - sizes, parts
 
 
-def _byte_at(part: bytes, text: str, points: list[int]) -> list[int]:
+def _bytes_at(part: bytes, text: str, points: list[int]) -> list[int]:
+    """Byte offsets of code points, in one walk over the text."""
     if len(part) == len(text):
         return points
-    return [len(text[:p].encode()) for p in points]
+    at, offset, out = 0, 0, {}
+    for p in sorted(set(points)):
+        offset += len(text[at:p].encode())
+        at = p
+        out[p] = offset
+    return [out[p] for p in points]
+
+
+def _points_at(part: bytes, offsets: list[int]) -> list[int]:
+    """Code points of byte offsets, in one walk over the text."""
+    at, point, out = 0, 0, {}
+    for b in sorted(set(offsets)):
+        point += len(part[at:b].decode())
+        at = b
+        out[b] = point
+    return [out[b] for b in offsets]
 
 
 def _tagged_spans(texts: list[str], parts: list[bytes], spans: list[list], doc_start: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Tags of the tokens by the patterns' finds."""
+    """Tags of the tokens by spans (.., end, .., start of the secret)."""
     tags = np.full(len(starts), O)
     for d, found in enumerate(spans):
-        for _, end, _, inner in found:
-            a, b = _byte_at(parts[d], texts[d], [inner, end])
-            lo = int(np.searchsorted(ends, doc_start[d] + a, side="right"))
-            hi = int(np.searchsorted(starts, doc_start[d] + b, side="left"))
+        if not found:
+            continue
+        at = np.array(_bytes_at(parts[d], texts[d], [p for _, end, _, inner in found for p in (inner, end)]), np.int64) + doc_start[d]
+        lows, highs = np.searchsorted(ends, at[0::2], side="right"), np.searchsorted(starts, at[1::2], side="left")
+        for lo, hi in zip(lows.tolist(), highs.tolist(), strict=True):
             if lo < hi:
                 tags[lo:hi] = I
                 tags[lo] = B
     return tags
 
 
+def _signs(rng: np.random.Generator, n: int, signs: str = SIGNS) -> str:
+    return "".join(signs[i] for i in rng.integers(0, len(signs), n).tolist())
+
+
+def made_secret(rng: np.random.Generator) -> str:
+    """A secret in a form that the patterns do not know: prefixed key, signed web token, plain random signs, key around hex digits."""
+    form, name = rng.integers(0, 5), _signs(rng, int(rng.integers(2, 6)), SIGNS[26:52])
+    if form == 0:
+        return name + "_-"[rng.integers(0, 2)] + _signs(rng, int(rng.integers(16, 48)))
+    if form == 1:
+        return ".".join(_signs(rng, n, SIGNS + "_-") for n in rng.integers(18, 120, 3).tolist())
+    if form == 2:
+        return _signs(rng, int(rng.integers(14, 64)), SIGNS + "+/")
+    if form == 3:
+        return name + "_" + _signs(rng, 32, "0123456789abcdef") + _signs(rng, int(rng.integers(0, 8)))
+    return _signs(rng, int(rng.integers(20, 40)), SIGNS[:26] + SIGNS[52:])
+
+
+def made_decoy(rng: np.random.Generator) -> str:
+    """Something clean that is long or mixes kinds of characters."""
+    def word(least: int = 3, most: int = 10) -> str:
+        return _signs(rng, int(rng.integers(least, most)), SIGNS[26:52])
+
+    number = rng.integers(1, 2030, 4).tolist()
+    return (
+        lambda: f"www.{word()}.{word(2, 4)}/{word()}/{word()}-{word()}.html", lambda: f"{word()}/{word()}/{word()}_{word()}.{word(1, 4)}",
+        lambda: f"v{number[0] % 20}.{number[1] % 20}.{number[2] % 99}", lambda: f"{number[0]}-{number[1] % 12 + 1:02}-{number[2] % 28 + 1:02}",
+        lambda: word() + word().title() + word().title(), lambda: "_".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(3)),
+        lambda: f"{word().upper()}-{number[0]}-{number[1] % 9}", lambda: ".".join(str(x % 256) for x in number), lambda: f"{word()}{number[3] % 100}",
+        lambda: word(14, 30), lambda: word(10, 20).upper(), lambda: "-".join(str(x) for x in number),
+        lambda: "-".join(_signs(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
+    )[rng.integers(0, 14)]()
+
+
+def seeded(text: str, rng: np.random.Generator, each: int = 2) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
+    """The text with made-up secrets and look-alikes between its words: (new text, spans of the secrets, starts of the look-alikes)."""
+    places = np.sort(rng.integers(0, len(text) + 1, 2 * each)).tolist()
+    out, size, at, spans, decoys = [], 0, 0, [], []
+    for place, secret in zip(places, rng.permutation(2 * each) < each, strict=True):
+        place = text.find(" ", max(at, place))
+        place = len(text) if place < 0 else place
+        lead = text[at:place] + " " + BEFORE[rng.integers(0, len(BEFORE))]
+        thing = made_secret(rng) if secret else made_decoy(rng)
+        start = size + len(lead)
+        out += [lead, thing, " "]
+        size, at = start + len(thing) + 1, place
+        if secret:
+            spans.append((start, start + len(thing), 3, start))
+        else:
+            decoys.append(start)
+    return "".join([*out, text[at:]]), spans, decoys
+
+
+def _suspects(features: np.ndarray, most: int, rng: np.random.Generator) -> np.ndarray:
+    """Tokens of a clean text to learn from: most turns and kinds of characters first, and one anywhere."""
+    n = len(features)
+    if not n:
+        return np.zeros(0, np.int64)
+    kinds = features[:, 0] // 16
+    odd = np.sum([(kinds & 7) > 4, (kinds & 3) == 3, features[:, 2] // 16 >= 2, features[:, 0] % 16 >= 8], axis=0)
+    top = np.argpartition(-odd, most - 1)[:most - 1] if n >= most else np.arange(n)
+    return np.unique(np.append(top[odd[top] > 0], rng.integers(0, n)))
+
+
 def window_batches(batches: Iterator[pa.RecordBatch], windows: int, rest: int) -> Iterator[pa.RecordBatch]:
-    """Training windows: around finds of every document that has any, at the start of one in ``rest`` of the others."""
+    """Training windows: around finds of every document that has any; of one in ``rest`` of the others, clean and with seeded secrets."""
     schema = pa.schema([("found", pa.bool_()), ("mark", pa.int64()), ("n", pa.int32()), ("features", pa.binary()), ("tags", pa.binary())])
     for batch in steps(batches, limit=STEP):
-        texts = batch.column("text").to_pylist()
-        marks = batch.column("mark").to_numpy(zero_copy_only=False)
-        spans = [pattern_spans(t, t.encode().lower()) for t in texts]
-        some = [i for i, s in enumerate(spans) if s or (texts[i] and marks[i] % rest == 0)]
+        work: list[tuple[str, list, int, bool, list[int] | None]] = []  # text, spans, mark, found, look-alikes (None: clean as it is)
+        for text, mark in zip(batch.column("text").to_pylist(), batch.column("mark").to_pylist(), strict=True):
+            spans = pattern_spans(text, text.encode().lower())
+            if spans:
+                work.append((text, spans, mark, True, []))
+            elif text and mark % rest == 0:
+                work.append((text, [], mark, False, None))
+                new, spans, decoys = seeded(text, np.random.default_rng(mark))
+                work.append((new, spans, mark, False, decoys))
         rows: dict[str, list] = {f.name: [] for f in schema}
-        if some:
-            texts, spans, marks = [texts[i] for i in some], [spans[i] for i in some], marks[some]
+        if work:
+            texts, all_spans = [w[0] for w in work], [w[1] for w in work]
             raw, low, doc_start, parts = _joined(texts)
             starts, ends, doc, feats = featured(raw, low, doc_start)
-            tags = _tagged_spans(texts, parts, spans, doc_start, starts, ends)
+            tags = _tagged_spans(texts, parts, all_spans, doc_start, starts, ends)
             edges = np.searchsorted(doc, np.arange(len(texts) + 1))
-            for d in range(len(texts)):
-                lo, hi = edges[d], edges[d + 1]
-                begins = lo + np.flatnonzero(tags[lo:hi] == B)[:windows] if spans[d] else np.array([lo])
+            for d, (text, _, mark, found, decoys) in enumerate(work):
+                lo, hi = int(edges[d]), int(edges[d + 1])
+                if decoys is None:
+                    begins = lo + _suspects(feats[lo:hi], windows // 2, np.random.default_rng(mark))
+                else:
+                    begins = lo + np.flatnonzero(tags[lo:hi] == B)[:windows]
+                    at = np.array(_bytes_at(parts[d], text, decoys), np.int64) + doc_start[d]
+                    begins = np.sort(np.append(begins, np.searchsorted(starts, at)))
                 done = lo
-                for at in begins:
-                    a = max(done, at - WINDOW // 2) if spans[d] else at
+                for at in begins.tolist():
+                    a = max(done, at - WINDOW // 2)
                     b = min(hi, a + WINDOW)
+                    while a < b and tags[a] == I:
+                        a += 1
                     if at < done or a >= b:
                         continue
-                    while b < hi and tags[b] == I:
+                    while b < hi and b > a and tags[b] == I:
                         b -= 1
                     done = max(b, a + 1)
-                    part = (bool(spans[d]), int(marks[d]), b - a, feats[a:b].tobytes(), tags[a:b].astype(np.uint8).tobytes())
+                    part = (found, int(mark), b - a, feats[a:b].tobytes(), tags[a:b].astype(np.uint8).tobytes())
                     for name, value in zip(rows, part, strict=True):
                         rows[name].append(value)
         yield out_batch(schema, **rows)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 400, windows: int = 4) -> Field | None:
-    """Train on windows of at most ``sample`` documents with finds and as many without (smallest by a hash)."""
+    """Train on at most ``windows * sample`` windows of documents with finds, and as many of documents without (smallest by a hash)."""
     bounded_batches(docs.sparkSession)
+    rest = max(1, docs.count() // (8 * sample))  # a bounded number of texts without finds is looked at, at every size
     own = keyed(docs, key, text).select("text", F.abs(F.xxhash64("doc_id", F.length("text")) % (1 << 40)).alias("mark"))
-    cut = own.mapInArrow(lambda it: window_batches(it, windows, 16), "found boolean, mark long, n int, features binary, tags binary")
+    cut = own.mapInArrow(lambda it: window_batches(it, windows, rest), "found boolean, mark long, n int, features binary, tags binary")
     halves = [cut.where(c).orderBy("mark", "n", "features").limit(windows * sample) for c in ("found", "NOT found")]
     got = halves[0].union(halves[1]).collect()
     pairs = [(np.frombuffer(r.features, np.int32).reshape(r.n, -1).astype(np.int64), np.frombuffer(r.tags, np.uint8).astype(np.int64)) for r in got]
@@ -335,19 +438,48 @@ def field_spans(texts: list[str], field: Field | None) -> list[list[tuple[int, i
                 begun = -1
             if tag == B:
                 begun = k
-        if len(parts[d]) != len(texts[d]):
-            spans = [(len(parts[d][:a].decode()), len(parts[d][:b].decode())) for a, b in spans]
+        if spans and len(parts[d]) != len(texts[d]):
+            flat = _points_at(parts[d], [x for span in spans for x in span])
+            spans = list(zip(flat[0::2], flat[1::2], strict=True))
         out[d] = [(a, b) for a, b in spans if b - a >= SHORTEST]
     return out
 
 
+def uncovered(added: list[tuple[int, int]], base: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
+    """What of the added spans no base span covers, where it holds a letter or digit; one sweep over both lists, sorted by start."""
+    out, i = [], 0
+    for a, b in added:
+        while i < len(base) and base[i][1] <= a:
+            i += 1
+        at, k = a, i
+        while k < len(base) and base[k][0] < b:
+            if base[k][0] > at:
+                out.append((at, base[k][0]))
+            at = max(at, base[k][1])
+            k += 1
+        i = max(i, k - 1)
+        if at < b:
+            out.append((at, b))
+    return [(a, b) for a, b in out if any(c.isalnum() for c in text[a:b])]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find_spans(texts: list[str], field: Field | None) -> list[list[tuple[int, int, int]]]:
     """(start, end, kind) of all spans of every text: the patterns' finds, and what the field adds beside them."""
     out = []
     for text, added in zip(texts, field_spans(texts, field), strict=True):
         found = [(a, b, k) for a, b, k, _ in pattern_spans(text, text.encode().lower())]
-        base = list(found)
-        found += [(a, b, 3) for a, b in added if not any(a < y and x < b for x, y, _ in base)]
+        if added:
+            found += [(a, b, 3) for a, b in uncovered(added, _merged([(a, b) for a, b, _ in found]), text)]
         out.append(sorted(found, key=lambda s: (s[0], s[2], s[1])))
     return out
 
