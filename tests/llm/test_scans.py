@@ -70,6 +70,32 @@ def test_a_verified_phrase_gives_its_label_whatever_stands_around_it(spark):
     assert all(0 < r.score <= 1 and r.n_matches > 0 for r in rows)
 
 
+def test_score_tells_a_whole_notice_from_a_mention(spark):
+    notices = [n for n, _, _ in lic.TEMPLATES] + list(lic.NOTICES.values())
+    whole = [(i, f"foo bar {n.title()}. baz", "en", "a") for i, n in enumerate(notices)]
+    mentions = [(1000 + i, f"we do not speak of {p} here", "en", "a") for i, (p, _) in enumerate(lic.BASE)]
+    filler = [(2000 + i, "the quick brown fox and other words", "en", "a") for i in range(200)]
+    got = {r.doc_id: r for r in lic.license_scan(data.make(spark, whole + mentions + filler)).collect()}
+    assert all(abs(got[i].score - 1) < 1e-9 and got[i].labels for i, *_ in whole)
+    assert all(0 < got[i].score < 0.6 and got[i].n_base == 1 and got[i].first_word == 5 for i, *_ in mentions)
+    assert all(got[i].score == 0 for i, *_ in filler)
+
+
+def test_lookup_equals_a_plain_search_for_every_number_of_words():
+    import random
+
+    rng = random.Random(4)
+    found = lic.templates()
+    pool = sorted({w for t in found for w in t.words})
+    for _ in range(200):
+        words = [w for _ in range(rng.randint(0, 6)) for w in (rng.choice(found).key if rng.random() < 0.5 else rng.choices(pool, k=3))]
+        want = sorted((k, at - t.key_at) for k, t in enumerate(found) for at in range(len(words)) if tuple(words[at:at + len(t.key)]) == t.key)
+        holders = {w: rng.randint(0, 50) for w in pool}
+        for rare in (1, 2, 3, 9):
+            got = lic.RareIndex(found, holders, 50, rare).matches(words)
+            assert sorted((k, s) for k, s, _ in got) == want and all(0 < x <= 1 for *_, x in got)
+
+
 def spans_of(t):
     t = t or ""
     key = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))

@@ -1,12 +1,15 @@
 """License scans by a positional rare-token index.
 
-The licence templates below are indexed once: every template lists its words with their positions. How rare a licence
-word is comes from the scanned corpus itself (documents that hold it, over all of them). Of each template only the rarest
-words are looked up in a file; the template positions behind each hit are subtracted from the hit's position, and starts
-on which enough rare words agree are verified: the template's mandatory phrase must stand there, word by word. The share
-of the template's words found in place is its score; it decides nothing else.
+The licence templates below are indexed once: a word's postings name the templates that hold it and its positions there. How
+rare a licence word is comes from the scanned corpus itself (documents that hold it, over all of them). Of each file the licence
+words are looked up from the rarest to the most common one; the first of them that a template's mandatory phrase needs proposes
+starts (its positions in the file less those in the template), the next ones are intersected with these by relative
+position, and a start on which ``rare`` of them agree is verified: the mandatory phrase must stand there, word by word.
 
-The four base phrases are templates of their own whose mandatory phrase is all of them, so that every place is found.
+The score tells a whole notice from a mention: the share of the template's words found in place, each counted by its
+rarity. A phrase alone has a small score, the whole notice has 1; it decides nothing else.
+
+The four base phrases are the mandatory phrases of notices of their own, so that every place is found.
 
 Cases: NULL and empty texts have 0 words, empty labels, NULL positions and score 0; equal rows give equal results, one each;
 ties in rarity are broken by the word; other columns are ignored; an empty table gives an empty result.
@@ -32,6 +35,13 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
+#: The notice around each base phrase, for the score; other notices of the licence are templates below.
+NOTICES = {
+    "gnu general public license": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    "apache license": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "cc by": "this work is licensed under a creative commons attribution license cc by",
+    "mit license": "this software is released under the terms of the mit license",
+}
 #: Own list of short public notices: text, mandatory phrase, label.
 TEMPLATES = (
     ("licensed under the apache license version 2 0", "apache license version 2 0", "apache-2.0"),
@@ -87,41 +97,55 @@ def templates() -> tuple[Template, ...]:
     own = [(text, key, label, False) for text, key, label in TEMPLATES]
     return tuple(
         Template(tuple(words_in(text)), tuple(words_in(key)), label, base)
-        for text, key, label, base in [(p, p, label, True) for p, label in BASE] + own
+        for text, key, label, base in [(NOTICES[p], p, label, True) for p, label in BASE] + own
     )
 
 
 class RareIndex:
-    """Postings (template, position) of the rarest words of every template."""
+    """Postings (template, position) of the words of the mandatory phrases, and how rare every licence word is."""
 
     def __init__(self, found: tuple[Template, ...], holders: dict[bytes, int], n_docs: int, rare: int):
-        self.templates = found
-        idf = lambda w: math.log((n_docs + 1) / (holders.get(w, 0) + 1))
+        self.templates, self.rare = found, rare
+        self.idf = {w: math.log(1 + (n_docs + 1) / (holders.get(w, 0) + 1)) for t in found for w in t.words}
+        order = sorted(self.idf, key=lambda w: (-self.idf[w], w))
+        self.rank = {w: r for r, w in enumerate(order)}
+        self.weight = [sum(self.idf[w] for w in t.words) for t in found]
+        self.distinct = [min(rare, len(set(t.key))) for t in found]
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed: list[int] = []
         for k, t in enumerate(found):
-            top = sorted(set(t.key), key=lambda w: (-idf(w), w))[:rare]  # mandatory words: where they lack, nothing is verified
-            places = [(i, w) for i, w in enumerate(t.key, t.key_at) if w in top]
-            self.needed.append(len(places))
-            for i, w in places:
+            for i, w in enumerate(t.key, t.key_at):  # where one of these lacks, nothing is verified
                 self.postings.setdefault(w, []).append((k, i))
 
     def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start, share of its words in place) of every verified place."""
-        postings, votes = self.postings, Counter()
+        """(template, start, share of its words in place, by rarity) of every verified place."""
+        places: dict[bytes, list[int]] = {}
         for at, word in enumerate(words):
-            if word in postings:
-                for k, i in postings[word]:
-                    votes[k, at - i] += 1
+            if word in self.postings:
+                places.setdefault(word, []).append(at)
+        starts: dict[int, set[int]] = {}  # of a template: the starts on which all looked up words agree
+        looked: Counter = Counter()
+        for word in sorted(places, key=self.rank.__getitem__):
+            of: dict[int, list[int]] = {}
+            for k, i in self.postings[word]:
+                of.setdefault(k, []).append(i)
+            for k, inside in of.items():
+                if looked[k] < self.rare:
+                    looked[k] += 1
+                    for i in inside:
+                        if k not in starts:
+                            starts[k] = {at - i for at in places[word]}
+                        elif starts[k]:
+                            starts[k] = starts[k].intersection([at - i for at in places[word]])
         out, n = [], len(words)
-        for (k, start), agreed in votes.items():
+        for k, agreed in starts.items():
             t = self.templates[k]
-            if agreed < self.needed[k]:
-                continue
-            at = start + t.key_at
-            if tuple(words[at:at + len(t.key)]) != t.key:
+            if looked[k] < self.distinct[k]:
                 continue
-            out.append((k, start, sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)))
+            for start in sorted(agreed):
+                at = start + t.key_at
+                if tuple(words[at:at + len(t.key)]) == t.key:
+                    stand = sum(self.idf[w] for i, w in enumerate(t.words, start) if 0 <= i < n and words[i] == w)
+                    out.append((k, start, min(1.0, stand / self.weight[k])))
         return out
 
 
@@ -131,7 +155,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], index: RareIndex) -> Iterato
         for text in batch.column("text").to_pylist():
             words = words_in(text)
             found = index.matches(words)
-            base = [(index.templates[k].label, start) for k, start, _ in found if index.templates[k].base]
+            base = [(index.templates[k].label, start + index.templates[k].key_at) for k, start, _ in found if index.templates[k].base]
             starts = [start for _, start in base]
             row = (
                 len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _ in base})),
@@ -158,11 +182,11 @@ def license_scan(
 ) -> DataFrame:
     """One row per document: words, base places, labels of all verified templates, best score, number of verified places.
 
-    ``rare``: words looked up per template.
+    ``rare``: a file's words looked up per template.
     """
     bounded_batches(docs.sparkSession)
     found = templates()
-    vocabulary = frozenset(w for t in found for w in t.key)
+    vocabulary = frozenset(w for t in found for w in t.words)
     own = keyed(docs, key, text)
     counts = own.select("text").mapInArrow(lambda it: holder_batches(it, vocabulary), "word binary, n long")
     holders = {bytes(r.word): r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per licence word
