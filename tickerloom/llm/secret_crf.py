@@ -7,7 +7,7 @@ trained by gradient on the exact log-likelihood (forward-backward in numpy), on
 
 Labels come from two sides: the patterns' finds, and secrets in forms that no pattern expresses (prefixed keys, signed web
 tokens, passwords after other words), made up from a seed and put into sampled texts, beside look-alikes (addresses, paths,
-versions, days, row ids, names with capitals inside) that are taught as outside. Tokens of texts without finds are outside too; their
+versions, days, row ids, long numbers, names with capitals inside) that are taught as outside. Tokens of texts without finds are outside too; their
 windows lie anywhere in the whole text, at tokens that look most like secrets first. Texts are decoded by Viterbi; a text
 in which no token could leave *outside* even with the best transitions is skipped, which changes nothing.
 
@@ -329,7 +329,8 @@ def made_decoy(rng: np.random.Generator) -> str:
         lambda: f"{word().upper()}-{number[0]}-{number[1] % 9}", lambda: ".".join(str(x % 256) for x in number), lambda: f"{word()}{number[3] % 100}",
         lambda: word(14, 30), lambda: word(10, 20).upper(), lambda: "-".join(str(x) for x in number),
         lambda: "-".join(_signs(rng, n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
-    )[rng.integers(0, 14)]()
+        lambda: _signs(rng, int(rng.integers(6, 20)), SIGNS[52:]),
+    )[rng.integers(0, 15)]()
 
 
 def seeded(text: str, rng: np.random.Generator, each: int = 2) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
