@@ -221,3 +221,34 @@ def test_contexts_are_counted_exactly_over_shards(spark):
         assert seen == len(words)
         fits.append(cm.fitted(table, 4))
     assert np.allclose(fits[0].weights, fits[1].weights) and np.allclose(fits[0].map, fits[1].map)
+
+
+def test_decisions_take_bounded_texts(spark):
+    """A step's working arrays stand beside the whole batch, so that it is held to less than the batch."""
+    from tickerloom.llm import common
+
+    texts = ["ab " * 100_000 + str(k) for k in range(12)]
+    whole = pa.RecordBatch.from_pydict({"text": texts, "n": list(range(12))})
+    sizes = []
+
+    def decide(part):
+        sizes.append(sum(map(len, part.to_pylist())))
+        return np.array([t.endswith(("1", "5")) for t in part.to_pylist()])
+
+    got = [n for b in common._kept_batches(iter([whole]), "text", decide) for n in b.column("n").to_pylist()]
+    assert got == [1, 5, 11] and sum(sizes) == sum(map(len, texts)) and max(sizes) <= 1 << 20
+
+
+def test_every_stage_begins_with_heaps_given_back(spark, tmp_path):
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, docs, sf)
+        assert collections() > before
