@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -88,6 +89,56 @@ def test_join_of_near_copies(spark, t, n):
     check_join(spark, dict(zip(ids, texts.values(), strict=True)), t, n)
 
 
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return {f for f in found.split() if "/shuffle_" in f}
+
+
+def near_copies_of_two(rng):
+    texts = [edited(rng, [f"o{origin}w{i}" for i in range(150)], rng.randrange(5)) for origin in range(2) for _ in range(40)]
+    return dict(enumerate(texts + texts[:3] + [f"alone {i} and on its own" for i in range(20)]))
+
+
+def test_join_shuffles_prefix_tokens_once_and_keeps_no_shuffle_files(spark, monkeypatch):
+    plans, whole = {}, sj.stored
+
+    def noted(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        before = shuffle_files(spark)
+        out = whole(df, purpose)
+        end = time.time() + 20
+        while (left := shuffle_files(spark) - before) and time.time() < end:
+            time.sleep(0.2)
+        assert not left, purpose
+        return out
+
+    monkeypatch.setattr(sj, "stored", noted)
+    check_join(spark, near_copies_of_two(random.Random(6)), Fraction(4, 5), 5)
+    assert plans["shingle-shared"].count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("ids", [0, 10, 1000])
+def test_join_of_more_ids_than_are_broadcast(spark, monkeypatch, ids):
+    """Also with hot tokens and with flocks of many blocks."""
+    monkeypatch.setattr(sj, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(sj, "HOT", 8)
+    monkeypatch.setattr(sj, "BLOCK", 7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check_join(spark, near_copies_of_two(random.Random(7)), Fraction(4, 5), 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_join_of_an_id_with_two_texts(spark):
+    """Its rows' sets are compared each and link what they are like, also where one of them is another document's copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(2, a), (4, a), (4, b), (5, b + " more"), (6, c), (7, c + " more"), (7, c + " more"), (8, ""), (8, c + " most")]
+    got = {(r.doc_id, r.component_id) for r in sj.jaccard_components(data.make(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == {(2, 2), (4, 2), (5, 2), (6, 6), (7, 6), (8, 6), (8, 8)}
+
+
 def test_join_of_odd_rows(odd, none):
     rows = sj.jaccard_components(odd).collect()
     assert len(rows) == len(data.ODD)

@@ -27,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, coded, discard, keyed, mixed, out_batch, split_words, steps, stored, table, word_hashes
@@ -131,8 +131,8 @@ def prefix_length(n, t: Fraction):
 
 
 def prefix_batches(batches: Iterator[pa.RecordBatch], n: int, t: Fraction, order) -> Iterator[pa.RecordBatch]:
-    """Of each document the prefix under the first order, and short codes of those under the others."""
-    schema = pa.schema([("doc_id", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(f"codes{k}", pa.list_(pa.int32())) for k in range(1, ORDERS)]])
+    """Of each document the size, the prefix under the first order, and short codes of those under the others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), *[(f"codes{k}", pa.list_(pa.int32())) for k in range(1, ORDERS)]])
     for batch, sets in _sets(batches, n):
         lists = {}
         for k in range(ORDERS):
@@ -140,7 +140,7 @@ def prefix_batches(batches: Iterator[pa.RecordBatch], n: int, t: Fraction, order
             flat = np.concatenate(prefixes)
             flat = (flat >> np.uint64(20)).astype(np.uint32).view(np.int32) if k else flat.view(np.int64)
             lists[f"codes{k}" if k else "prefix"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(flat))
-        yield out_batch(schema, doc_id=batch.column("doc_id"), **lists)
+        yield out_batch(schema, doc_id=batch.column("doc_id"), n=np.array([len(own) for own in sets], np.int64), **lists)
 
 
 def prefix_of(order: Order, tokens: np.ndarray, k: int, t: Fraction) -> np.ndarray:
@@ -152,11 +152,14 @@ def prefix_of(order: Order, tokens: np.ndarray, k: int, t: Fraction) -> np.ndarr
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], n: int, t: Fraction, order) -> Iterator[pa.RecordBatch]:
-    """Of each document its sorted set and its prefixes under all orders, packed."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary()), ("prefixes", pa.binary())])
+    """Of each document its sorted set and its prefixes under all orders, packed, and where it belongs."""
+    places = ("component", "block", "blocks")
+    schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("tokens", pa.binary()), ("prefixes", pa.binary())])
     for batch, sets in _sets(batches, n):
         prefixes = [b"".join(prefix_of(order.value, own, k, t).tobytes() for k in range(ORDERS)) for own in sets]
-        yield out_batch(schema, doc_id=batch.column("doc_id"), tokens=[own.tobytes() for own in sets], prefixes=prefixes)
+        yield out_batch(
+            schema, doc_id=batch.column("doc_id"), **{c: batch.column(c) for c in places}, tokens=[own.tobytes() for own in sets], prefixes=prefixes,
+        )
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,52 +227,66 @@ class JaccardJoin:
         outline = stored(self.docs.mapInArrow(
             lambda it: outline_batches(it, shingle), "doc_id long, n long, mark1 long, mark2 long, piece int, data binary",
         ), "shingle-outline")
-        self.outline = outline.where("piece IS NULL").select("doc_id", "n", "mark1", "mark2")
+        self.outline = stored(outline.where("piece IS NULL").select("doc_id", "n", "mark1", "mark2"), "shingle-marks")
+        pieces = outline.where("piece IS NOT NULL").select("piece", "data").groupBy("piece").applyInArrow(_summed, "piece int, data binary")
+        pieces = stored(pieces, "shingle-levels")
         levels = np.zeros((CELLS // PIECE, PIECE), np.uint8)
         unpack = zstandard.ZstdDecompressor()
-        for r in outline.where("piece IS NOT NULL").select("piece", "data").groupBy("piece").applyInArrow(_summed, "piece int, data binary").collect():
+        for r in pieces.collect():
             levels[r.piece] = np.frombuffer(unpack.decompress(bytes(r.data)), np.uint8)
+        discard(pieces)
+        discard(outline)
         self.order = self.spark.sparkContext.broadcast(Order(levels.ravel()))  # of fixed size
         named = self.outline.where("doc_id IS NOT NULL AND n > 0")
-        self.members = named.groupBy("n", "mark1", "mark2").agg(F.min("doc_id").alias("node")).join(named, ["n", "mark1", "mark2"]).select("doc_id", "node", "n")
+        members = named.groupBy("n", "mark1", "mark2").agg(F.min("doc_id").alias("node")).join(named, ["n", "mark1", "mark2"])
+        self.members = stored(members.select("doc_id", "node", "n"), "shingle-members")
 
     def links(self) -> DataFrame:
-        """``a, b``: enough links between different sets to connect all that are connected by links."""
+        """``a, b``: enough links between different sets to connect all that are connected by links.
+
+        What a step leaves is stored, and goes once the next one is done, so that few of them share the disk.
+        """
         t, order, shingle = self.t, self.order, self.shingle
-        nodes = self.members.where("doc_id = node").select("doc_id", "n").distinct()
+        copies = self.members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("node")).alias("own")).where("NOT own").select("doc_id")
         codes = [f"codes{k}" for k in range(1, ORDERS)]
-        columns = ", ".join(["doc_id long, prefix array<long>", *[f"{c} array<int>" for c in codes]])
+        columns = ", ".join(["doc_id long, n long, prefix array<long>", *[f"{c} array<int>" for c in codes]])
         prefix = self.docs.where("doc_id IS NOT NULL").mapInArrow(lambda it: prefix_batches(it, shingle, t, order), columns)
-        prefix = stored(prefix.join(self._small(nodes), "doc_id"), "shingle-prefixes")
+        prefix = stored(prefix.where("n > 0").join(self._small(copies), "doc_id", "left_anti"), "shingle-prefixes")
         own = prefix.select("doc_id", "n", F.posexplode("prefix").alias("place", "token"))
-        tokens = own.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("place", "doc_id")).alias("lead")).where("k > 1")
-        shared = stored(own.join(tokens, "token").select("token", "doc_id", "n", "place", "k", F.col("lead.doc_id").alias("leader")), "shingle-shared")
+        # rows are shuffled once: a window takes both how many have the token and the first of them
+        held = Window.partitionBy("token").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        shared = own.select("token", "doc_id", "n", "place", F.count("*").over(held).alias("k"), F.first("doc_id").over(held).alias("leader"))
+        shared = stored(shared.where("k > 1"), "shingle-shared")
         near = shared.where(f"k > {HOT}").where("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+        near = stored(near.distinct(), "shingle-near")
         cold = shared.where(f"k <= {HOT}").select("token", "doc_id", "n", "place")
         x, y = cold.alias("x"), cold.alias("y")
         pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & self._possible())
-        pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        for end in "ab":  # what the other orders say about both documents
-            pairs = pairs.join(prefix.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{c}{end}") for c in codes]), end)
-        for c in codes:
-            pairs = pairs.where(F.arrays_overlap(f"{c}a", f"{c}b"))
-        edges = near.distinct().union(pairs.select("a", "b"))
-        flock = stored(components(edges), "shingle-flocks")
+        pairs = stored(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "shingle-pairs")
         discard(shared)
+        for c in codes:  # what each of the other orders says about both documents
+            met, last = pairs, pairs
+            for end in "ab":
+                met = met.join(prefix.select(F.col("doc_id").alias(end), F.col(c).alias(f"{c}{end}")), end)
+            pairs = stored(met.where(F.arrays_overlap(f"{c}a", f"{c}b")).select("a", "b"), "shingle-pairs")
+            discard(last)
         discard(prefix)
+        flock = stored(components(near.union(pairs)), "shingle-flocks")
+        discard(near)
+        discard(pairs)
 
-        sets = self.docs.join(self._small(flock.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(
-            lambda it: set_batches(it, shingle, t, order), "doc_id long, tokens binary, prefixes binary",
-        )
-        sized = flock.join(nodes.select(F.col("doc_id").alias("node"), "n"), "node")
+        sized = flock.join(self.members.where("doc_id = node").select("node", "n").distinct(), "node")
         # a set takes eight bytes a token, its prefixes as much at most
         blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 16 / BLOCK_BYTES)).cast("int").alias("blocks"))
-        dealt = flock.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-            F.col("node").alias("doc_id"), "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = stored(flock.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", block.alias("block"), "blocks"), "shingle-blocks")
+        sets = self.docs.join(self._small(dealt), "doc_id").mapInArrow(
+            lambda it: set_batches(it, shingle, t, order), "doc_id long, component long, block int, blocks int, tokens binary, prefixes binary",
+        )
+        met = sets.select("*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
+            "doc_id", "tokens", "prefixes", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block",
         )
-        met = sets.join(self._small(dealt), "doc_id").groupBy("component", "one", "two")
-        return met.applyInArrow(lambda table: compared(table, t), "a long, b long")
+        return met.groupBy("component", "one", "two").applyInArrow(lambda table: compared(table, t), "a long, b long")
 
     def _small(self, ids: DataFrame) -> DataFrame:
         """Marked for a broadcast if its rows are counted and few."""
